@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import secrets
+from spanweave.llm import licenses, mixing, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
+        "op5_arc_to_warc": lambda spark, d: warc.warc_round_trip(spark.read.parquet(f"{d}/pages.parquet")),
+        "op7_license_scan": lambda spark, d: licenses.license_digest(_documents(spark, d)),
         "op10_secret_scan": lambda spark, d: secrets.secret_digest(_documents(spark, d)),
     }
 
