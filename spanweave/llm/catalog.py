@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import licenses, mixing, packing, secrets, warc
+from spanweave.llm import jaccard, licenses, mixing, packing, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
         "op5_arc_to_warc": lambda spark, d: warc.warc_round_trip(spark.read.parquet(f"{d}/pages.parquet")),
         "op7_license_scan": lambda spark, d: licenses.license_digest(_documents(spark, d)),
+        "op8_ngram_jaccard": lambda spark, d: jaccard.jaccard_join(_documents(spark, d)),
         "op9_configuration_packing": lambda spark, d: packing.pack(_documents(spark, d)),
         "op10_secret_scan": lambda spark, d: secrets.secret_digest(_documents(spark, d)),
     }
