@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import jaccard, licenses, mixing, packing, secrets, warc
+from spanweave.llm import jaccard, licenses, lines, mixing, packing, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": lambda spark, d: lines.line_dedup_digest(_documents(spark, d)),
         "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
         "op5_arc_to_warc": lambda spark, d: warc.warc_round_trip(spark.read.parquet(f"{d}/pages.parquet")),
         "op7_license_scan": lambda spark, d: licenses.license_digest(_documents(spark, d)),
