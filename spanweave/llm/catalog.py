@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import jaccard, licenses, lines, mixing, packing, secrets, warc
+import corpus_pipeline
+from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_nb_svm_quality": lambda spark, d: quality.score_digest(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op3_line_dedup": lambda spark, d: lines.line_dedup_digest(_documents(spark, d)),
         "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
         "op5_arc_to_warc": lambda spark, d: warc.warc_round_trip(spark.read.parquet(f"{d}/pages.parquet")),
@@ -22,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": lambda spark, d: jaccard.jaccard_join(_documents(spark, d)),
         "op9_configuration_packing": lambda spark, d: packing.pack(_documents(spark, d)),
         "op10_secret_scan": lambda spark, d: secrets.secret_digest(_documents(spark, d)),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
