@@ -25,10 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the smallest doc_id (of rows that share it, one)."""
-    classes = jaccard.jaccard_join(docs.select("doc_id", "text")).where("class_id IS NULL OR doc_id = class_id").select("doc_id").distinct()
-    kept = docs.withColumn("_row", F.struct(*docs.columns)).join(classes.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    return kept.select("doc_id", "_row").dropDuplicates(["doc_id"]).select("_row.*")
+    """One document of each class of near duplicates stays: the one with the smallest doc_id."""
+    return jaccard.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

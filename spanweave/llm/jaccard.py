@@ -142,27 +142,40 @@ def compare(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray, th
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the shingle set), n (shingles) and bands."""
+    """doc_id, place (a hash of the text), key (of the shingle set), n (shingles) and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, place, text in zip(pdf["doc_id"], pdf["place"], pdf["text"], strict=True):
                 own = shingles(text)
-                rows.append((doc, _key(own), len(own), bands(minhash(own)) if len(own) else np.empty(0, np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "bands"])
+                rows.append((doc, place, _key(own), len(own), bands(minhash(own)) if len(own) else np.empty(0, np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "key", "n", "bands"])
 
-    texts = docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "coalesce(text, '') AS text")
-    return texts.mapInPandas(run, "doc_id string, key binary, n long, bands array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "xxhash64(coalesce(text, '')) AS place", "coalesce(text, '') AS text")
+    return texts.mapInPandas(run, "doc_id string, place long, key binary, n long, bands array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _key(own: np.ndarray) -> bytes:
     return blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-5, block_shingles: int = 1 << 20, block_texts: int = 1024) -> DataFrame:
+def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (other documents at or above the threshold, copies included) and
     copies (documents with the same shingle set, itself included)."""
+    return _classified(docs, **settings).select("doc_id", "class_id", "n_links", "copies")
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """The columns of docs, one row of each class: that with the smallest doc_id (null last), then text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "place"))
+    kept = _classified(docs, **settings).groupBy("class").agg(first.alias("k")).select("k.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"))
+    return rows.join(kept, ["none", "id", "place"]).dropDuplicates(["none", "id", "place"]).select("row.*")
+
+
+def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-5, block_shingles: int = 1 << 20, block_texts: int = 1024) -> DataFrame:
+    """doc_id, place, class (a key), class_id, n_links and copies of every document."""
     sketch = saved(_sketches(docs), "sketch")
     sets = saved(sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
 
@@ -226,5 +239,5 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     found = sets.select("key", "doc_id", "copies").join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("component", "key"))
     found = saved(found.select("key", "doc_id", "class", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     ids = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    found = found.join(ids, "class").select("key", "class_id", "n_links", "copies")
-    return sketch.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copies")
+    found = found.join(ids, "class").select("key", "class", "class_id", "n_links", "copies")
+    return sketch.select("doc_id", "place", "key").join(found, "key").drop("key")
