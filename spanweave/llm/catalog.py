@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, warc
+from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, syncmers, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_closed_syncmers": lambda spark, d: syncmers.fingerprint_digest(_documents(spark, d)),
         "op2_nb_svm_quality": lambda spark, d: quality.score_digest(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op3_line_dedup": lambda spark, d: lines.line_dedup_digest(_documents(spark, d)),
         "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
