@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, syncmers, warc
+from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, syncmers, topk, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": lambda spark, d: lines.line_dedup_digest(_documents(spark, d)),
         "op4_sainte_lague_mix": lambda spark, d: mixing.mix_digest(_documents(spark, d)),
         "op5_arc_to_warc": lambda spark, d: warc.warc_round_trip(spark.read.parquet(f"{d}/pages.parquet")),
+        "op6_norm_bucket_topk": lambda spark, d: topk.topk_digest(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op7_license_scan": lambda spark, d: licenses.license_digest(_documents(spark, d)),
         "op8_ngram_jaccard": lambda spark, d: jaccard.jaccard_join(_documents(spark, d)),
         "op9_configuration_packing": lambda spark, d: packing.pack(_documents(spark, d)),
