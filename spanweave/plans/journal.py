@@ -1,0 +1,166 @@
+"""A journal of batches: Parquet outputs that become visible by an exclusively created manifest.
+
+commits/<generation>.json names the directory that was written before it; its creation fails if it exists, which is the only
+compare-and-set needed. Readers list manifests, so a directory without one is invisible. Manifests form a chain: each holds the
+digest of the one before, the graph's identity, source positions, and the range of output numbers. All file work goes through
+Hadoop's file system, so the journal lives wherever Spark reads.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanweave.schema import ConflictError, ValidationError
+
+
+@dataclass(frozen=True)
+class Receipt:
+    generation: int
+    request_id: str
+    request_digest: str
+    before: str
+    positions: dict[str, int]
+    first_output: int
+    outputs: int
+    directory: str
+
+    def payload(self, identity: str) -> str:
+        return json.dumps(self.__dict__ | {"identity": identity}, sort_keys=True)
+
+
+@dataclass(frozen=True)
+class Cursor:
+    """A place in a fixed prefix of the outputs: reading doesn't move the journal, and later commits don't move the prefix."""
+
+    generation: int
+    digest: str
+    next_output: int
+    stop: int
+
+
+class Journal:
+    def __init__(self, spark: SparkSession, path: str, identity: str):
+        self.spark, self.path, self.identity = spark, path.rstrip("/"), identity
+        jvm = spark.sparkContext._jvm
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = jvm
+
+    def _list(self) -> list[str]:
+        folder = self._path("commits")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"commits/{name}"))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def receipts(self) -> list[Receipt]:
+        """All receipts, with the chain checked: contiguous generations and outputs, digests, one identity."""
+        out, before, outputs = [], self.identity, 0
+        for k, name in enumerate(self._list(), 1):
+            text = self._text(name)
+            try:
+                fields = json.loads(text)
+                identity = fields.pop("identity")
+                receipt = Receipt(**fields)
+            except (ValueError, KeyError, TypeError) as error:
+                raise ConflictError(f"{name}: not a receipt") from error
+            if identity != self.identity:
+                raise ConflictError(f"{name}: written for another flow")
+            if receipt.generation != k or name != f"{k:012d}.json" or receipt.before != before or receipt.first_output != outputs:
+                raise ConflictError(f"{name}: the chain is broken")
+            out.append(receipt)
+            before, outputs = hashlib.sha256(text.encode()).hexdigest(), outputs + receipt.outputs
+        return out
+
+    def head(self) -> tuple[int, str, dict[str, int], int]:
+        """(generation, digest, source positions, outputs so far)."""
+        receipts = self.receipts()
+        if not receipts:
+            return 0, self.identity, {}, 0
+        last = receipts[-1]
+        return last.generation, hashlib.sha256(last.payload(self.identity).encode()).hexdigest(), last.positions, last.first_output + last.outputs
+
+    def commit(self, request_id: str, expected_generation: int, positions: dict[str, int], outputs: DataFrame, order: list[str], request_digest: str = "") -> Receipt:
+        """Writes outputs, numbered in the given order, as the next generation.
+
+        A request that is known by the same id, digest and generation gets its receipt again; the same id with anything else,
+        or a head that isn't at expected_generation, is a conflict, and nothing becomes visible.
+        """
+        digest = request_digest or hashlib.sha256(json.dumps([request_id, expected_generation, positions], sort_keys=True).encode()).hexdigest()
+        for r in self.receipts():
+            if r.request_id == request_id:
+                if r.request_digest == digest and r.generation == expected_generation + 1:
+                    return r
+                raise ConflictError(f"request {request_id!r} is known with other content")
+        generation, before, old, first = self.head()
+        if generation != expected_generation:
+            raise ConflictError(f"the journal is at generation {generation}, not {expected_generation}")
+        if any(positions.get(s, -1) < p for s, p in old.items()):
+            raise ValidationError("source positions can't go back")
+        directory = f"data/{uuid.uuid4().hex}"
+        seq = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1 + first
+        outputs.withColumn("seq", seq.cast("long")).write.parquet(f"{self.path}/{directory}")
+        n = self.spark.read.parquet(f"{self.path}/{directory}").count()
+        receipt = Receipt(generation + 1, request_id, digest, before, dict(positions), first, n, directory)
+        self._create(f"commits/{receipt.generation:012d}.json", receipt.payload(self.identity))
+        return receipt
+
+    def _create(self, name: str, text: str) -> None:
+        """Exclusive creation: the temporary file is complete before its name exists, and a rename never replaces."""
+        part = self._path(f"tmp/{uuid.uuid4().hex}")
+        stream = self._fs.create(part, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._fs.mkdirs(self._path(name).getParent())
+        if self._fs.exists(self._path(name)):
+            raise ConflictError(f"{name} was committed meanwhile")
+        try:
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(part, self._path(name), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:
+            raise ConflictError(f"{name} was committed meanwhile") from error
+
+    def cursor(self) -> Cursor:
+        generation, digest, _, outputs = self.head()
+        return Cursor(generation, digest, 0, outputs)
+
+    def read(self, cursor: Cursor, limit: int) -> tuple[DataFrame, Cursor]:
+        """Outputs from the cursor on, at most limit, and the cursor after them."""
+        receipts = self.receipts()[: cursor.generation]
+        digest = hashlib.sha256(receipts[-1].payload(self.identity).encode()).hexdigest() if receipts else self.identity
+        if len(receipts) != cursor.generation or digest != cursor.digest:
+            raise ConflictError("the cursor belongs to another history")
+        stop = min(cursor.stop, cursor.next_output + limit)
+        held = [f"{self.path}/{r.directory}" for r in receipts if r.outputs and r.first_output < stop and r.first_output + r.outputs > cursor.next_output]
+        if not held:
+            paths = [f"{self.path}/{r.directory}" for r in receipts[:1]]
+            page = self.spark.read.parquet(*paths).limit(0) if paths else self.spark.createDataFrame([], "seq long")
+        else:
+            page = self.spark.read.parquet(*held).where((F.col("seq") >= cursor.next_output) & (F.col("seq") < stop)).orderBy("seq")
+        return page, Cursor(cursor.generation, cursor.digest, stop, cursor.stop)
+
+
+def stream_to_journal(df: DataFrame, journal: Journal, order: list[str], source: str, checkpoint: str):
+    """A streaming query whose micro-batches become generations, once each: the batch number is the request."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = {r.request_id for r in journal.receipts()}
+        if f"batch-{number}" not in known:
+            generation, _, positions, _ = journal.head()
+            journal.commit(f"batch-{number}", generation, positions | {source: number}, batch, order)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
