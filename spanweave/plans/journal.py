@@ -62,6 +62,8 @@ class Journal:
         stream = self._fs.open(self._path(f"commits/{name}"))
         try:
             return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        except Exception as error:
+            raise ConflictError(f"{name} can't be read") from error
         finally:
             stream.close()
 

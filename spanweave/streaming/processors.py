@@ -95,6 +95,7 @@ class WindowSum(StatefulProcessor):
         mark = self.mark.get()[0] if self.mark.exists() else None
         out = []
         for op, tick, value in _sorted(rows)[["op", "timestamp", "value"]].astype(object).itertuples(index=False):
+            tick = None if tick is None or tick != tick else int(tick)  # pandas makes a column with nulls double
             if op == "process":
                 if mark is not None and tick < mark:
                     continue
