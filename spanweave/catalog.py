@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 from spanweave.functions import clock
 from spanweave.operators import align as A
 from spanweave.operators import bandjoin, folds, joins, sessions, steps
+from spanweave.plans.flow import Edge, Graph, Node, linear
+from spanweave.plans.journal import Journal, stream_to_journal
 from spanweave.schema import AlignConfig, ClockDrift
+from spanweave.session import shared_dir
+from spanweave.sources import jsonl
+from spanweave.streaming import processors
 
 HOUR = 3_600_000.0
 ORIGIN = 1_704_067_200_000.0
@@ -164,8 +170,64 @@ def _band(spark: SparkSession, d: str, indexes: bool) -> DataFrame:
     return out.withColumn("window_indexes", F.array_join(F.col("window_indexes").cast("array<string>"), ",")) if indexes else out.drop("window_indexes")
 
 
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """A graph with fan-out: high values are doubled and expanded, low ones renamed, both merged; high ones also end apart."""
+    v = F.col("value")
+    g = Graph(
+        "orders", "1",
+        (Node("in", "entry"), Node("high", "branch", v >= 5000), Node("double", "map", v * 2), Node("parts", "flat_map", F.array(v, v - 1)), Node("low", "key_by", F.concat(F.lit("low"), F.pmod(v, F.lit(3)).cast("string"))), Node("all", "merge"), Node("apart", "drop_key")),
+        (Edge("in", "high"), Edge("high", "double", True), Edge("high", "low", False), Edge("double", "parts"), Edge("double", "apart"), Edge("low", "all"), Edge("parts", "all")),
+    )
+    return g.outputs({"in": _records(spark, d)})
+
+
+def _window_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Prefix filter, window, suffix map: sums of positive values per closed window, as text."""
+    c = _control(spark, d)
+    data = c.where("op = 'process'").select("pos", "key", "value", "timestamp", F.lit(0).cast("long").alias("ordinal"))
+    spec = {"spec": SPECS["sliding"], "aggregates": {"total": F.sum("value")}, "control": c.where("op <> 'process'").select("pos", "op", "timestamp")}
+    g = linear("windows", "1", [Node("keep", "filter", F.col("value") % 2 == 0), Node("window", "window", spec), Node("total", "map", F.get_json_object("value", "$.total"))])
+    return g.outputs({"input": data}).select("pos", "key", "value")
+
+
+def _streamed_total(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals by a stateful stream into a journal, read back from the journal's outputs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.ROCKSDB)
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _records(spark, d).drop("ordinal").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("pos long, key string, value long").parquet(f"{base}/in")
+    journal = Journal(spark, f"{base}/journal", "running-total")
+    stream_to_journal(processors.stateful(stream, processors.RunningTotal()), journal, ["pos"], "events", f"{base}/check").awaitTermination()
+    cursor = journal.cursor()
+    return journal.read(cursor, cursor.stop)[0].select("pos", "key", "value", "total", "seen")
+
+
+def _journal_page(spark: SparkSession, d: str) -> DataFrame:
+    """Two generations of orders; a cursor opened after the first reads a page that the second doesn't change."""
+    journal = Journal(spark, f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}", "orders")
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    journal.commit("open", 0, {"orders": 1}, rows.where("o_orderstatus = 'O'"), ["o_orderkey"])
+    cursor = journal.cursor()
+    journal.commit("rest", 1, {"orders": 2}, rows.where("o_orderstatus <> 'O'"), ["o_orderkey"])
+    _, cursor = journal.read(cursor, 10)
+    return journal.read(cursor, 1000)[0].select("seq", "o_orderkey", "o_orderstatus")
+
+
+def _json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON lines and read back by the strict reader, positions in the order of the file."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    fields = ["id", "stream", "modality", "timestamp_ms", "duration_ms"]
+    _events(spark, d).select(*fields).coalesce(1).sortWithinPartitions("timestamp_ms").write.json(path)
+    return jsonl.load_events(spark, path).select("arrival_pos", "id", "stream", F.round("timestamp_ms", 3).alias("timestamp_ms"), "duration_ms")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
+        "graph_branches": _graph,
+        "graph_window_suffix": _window_graph,
+        "stream_running_total": _streamed_total,
+        "journal_page": _journal_page,
+        "json_lines_round_trip": _json_lines,
         "align_tumbling": lambda s, d: _windows(A.align(_events(s, d), TUMBLING)),
         "align_sliding": lambda s, d: _windows(A.align(_events(s, d), SLIDING)),
         "align_gapped": lambda s, d: _windows(A.align(_events(s, d), GAPPED)),
@@ -351,5 +413,13 @@ SELECT stream, round(p + {4 * HOUR / 10}::DOUBLE, 3) AS start_ms, round(t, 3) AS
         "fold_with_suffix": f"WITH w AS ({_fold_sql('tumbling', 'sum(value)::BIGINT AS value')}) SELECT idx AS pos, key, value, sum(value) OVER (PARTITION BY key ORDER BY idx ROWS UNBOUNDED PRECEDING)::BIGINT AS running_total FROM w WHERE value > 100",
         "multi_source_reconcile": "WITH l AS (SELECT l_orderkey AS k, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS v FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS v FROM orders) SELECT coalesce(o.k, l.k)::VARCHAR AS key, o.k IS NOT NULL AS order_present, o.v AS order_value, l.k IS NOT NULL AS lines_present, l.v AS lines_value FROM o FULL JOIN l ON o.k = l.k",
     }
+    out["graph_branches"] = f"""WITH {_R}, h AS (SELECT pos, key, value * 2 AS value FROM r WHERE value >= 5000)
+SELECT 'apart' AS terminal, 1 AS rank, pos, 0::BIGINT AS ordinal, NULL AS key, value::VARCHAR AS value FROM h
+UNION ALL SELECT 'all', 0, pos, 0, key, value::VARCHAR FROM h UNION ALL SELECT 'all', 0, pos, 1, key, (value - 1)::VARCHAR FROM h
+UNION ALL SELECT 'all', 0, pos, 0, 'low' || (value % 3), value::VARCHAR FROM r WHERE value < 5000"""
+    out["graph_window_suffix"] = "SELECT idx AS pos, key, total AS value FROM (" + _fold_sql("sliding", "sum(value)::BIGINT::VARCHAR AS total").replace("WHERE op = 'process')", "WHERE op = 'process' AND value % 2 = 0)") + ")"
+    out["stream_running_total"] = f"WITH {_R} SELECT pos, key, value, sum(value) OVER w::BIGINT AS total, count(*) OVER w AS seen FROM r WINDOW w AS (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    out["journal_page"] = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' QUALIFY seq BETWEEN 10 AND 1009"
+    out["json_lines_round_trip"] = f"WITH {_E} SELECT row_number() OVER (ORDER BY t) - 1 AS arrival_pos, id, stream, round(t, 3) AS timestamp_ms, d AS duration_ms FROM e"
     out |= {f"fold_{n}_sum": _fold_sql(n, sums) for n in SPECS}
     return out | {f"join_{i}_{e}": _join_sql(i, e) for i in joins.INSERT for e in ("final", "running")}
