@@ -40,7 +40,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -156,6 +156,17 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id string, place long, key binary, n long, bands array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _may_hold(texts: DataFrame, family: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
+    """The rows of texts whose doc_id is in the family, and few others: a bitmap of hashed doc_ids, of at most most_bits bits
+    (a broadcast table of most_bits / 64 rows at most), so that other texts needn't be sent to the join after it. A full
+    bitmap lets all pass."""
+    bits = min(most_bits, 1 << max(10, (16 * family.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bitmap = family.select(place.alias("_p")).groupBy(F.expr("_p div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_p % 64 as int)))").alias("_bits"))
+    held = texts.withColumn("_p", place).withColumn("_word", F.expr("_p div 64")).join(F.broadcast(bitmap), "_word")
+    return held.where(F.expr("(shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1) = 1")).drop("_word", "_bits", "_p")
+
+
 def _key(own: np.ndarray) -> bytes:
     return blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -179,10 +190,11 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     sketch = saved(_sketches(docs), "sketch")
     sets = saved(sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
 
-    member = sets.select("key", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b <> last").drop("last")
-    near = components(member.join(shared, "bucket").select(F.col("key").alias("a"), "b"))
-    family = saved(near.withColumnRenamed("node", "key").join(sets.drop("bands"), "key"), "families")
+    # Nodes are 64-bit: keys that meet in one node only share a family, whose pairs are verified.
+    member = sets.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
+    near = components(member.join(shared, "bucket").select(F.col("node").alias("a"), "b"))
+    family = saved(near.join(sets.drop("bands").withColumn("node", F.xxhash64("key")), "node").drop("node"), "families")
 
     size = family.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("mass"))
     size = size.withColumn("blocks", F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("mass") / block_shingles), F.lit(1)).cast("int"))
@@ -200,8 +212,8 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
             yield out[right]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(family.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("key", "component", "copies", "blocks", "text")
-    loaded = joined.mapInPandas(load, "key binary, component binary, copies long, blocks int, shingles binary, signature binary")
+    joined = _may_hold(texts, family).join(family.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("key", "component", "copies", "blocks", "text")
+    loaded = joined.mapInPandas(load, "key binary, component long, copies long, blocks int, shingles binary, signature binary")
     loaded = loaded.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = loaded.select("*", other).select("key", "component", "copies", "shingles", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.when(F.col("blocks") > 1, F.col("component")).alias("large"))
