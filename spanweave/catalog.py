@@ -217,7 +217,7 @@ def _json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON lines and read back by the strict reader, positions in the order of the file."""
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     fields = ["id", "stream", "modality", "timestamp_ms", "duration_ms"]
-    _events(spark, d).select(*fields).coalesce(1).sortWithinPartitions("timestamp_ms").write.json(path)
+    _events(spark, d).select(*fields).orderBy("timestamp_ms").write.json(path)
     return jsonl.load_events(spark, path).select("arrival_pos", "id", "stream", F.round("timestamp_ms", 3).alias("timestamp_ms"), "duration_ms")
 
 

@@ -112,13 +112,22 @@ class Journal:
         if any(positions.get(s, -1) < p for s, p in old.items()):
             raise ValidationError("source positions can't go back")
         directory = f"data/{uuid.uuid4().hex}"
-        seq = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1 + first
-        outputs.withColumn("seq", seq.cast("long")).write.parquet(f"{self.path}/{directory}")
+        self._numbered(outputs, order, first).write.parquet(f"{self.path}/{directory}")
         n = self.spark.read.parquet(f"{self.path}/{directory}").count()
         receipt = Receipt(generation + 1, request_id, digest, before, dict(positions), first, n, directory)
         self._create(f"commits/{receipt.generation:012d}.json", receipt.payload(self.identity))
         return receipt
 
+    def _numbered(self, outputs: DataFrame, order: list[str], first: int) -> DataFrame:
+        """Adds seq without a window over all rows: ranges of the order are written, counted and numbered each."""
+        ranges = f"{self.path}/tmp/{uuid.uuid4().hex}"
+        outputs.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(ranges)
+        rows = self.spark.read.parquet(ranges)
+        counts = rows.groupBy("_range").count()
+        before = counts.select("_range", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("count")).alias("_before"))
+        own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+        return rows.withColumn("_own", own).join(before, "_range").withColumn("seq", (F.col("_before") + F.col("_own") - 1 + first).cast("long")).drop("_range", "_own", "_before")
+
     def _create(self, name: str, text: str) -> None:
         """Exclusive creation: the temporary file is complete before its name exists, and a rename never replaces."""
         part = self._path(f"tmp/{uuid.uuid4().hex}")
