@@ -87,3 +87,10 @@ def test_components(spark):
 def test_needed_matches():
     need = J.needed_matches(0.8, 1e-5, [28, 252])
     assert 8 < need[28] < 20 and 150 < need[252] < 190
+
+
+def test_one_row_of_each_class_stays(spark):
+    schema = "doc_id long, text string, row string"
+    rows = [(None, "a b c d e f g", "x"), (None, "q", "y"), (None, "q", "y"), (3, "a b c d e f g", "z"), (3, "other words", "w"), (3, "other words", "w"), (9, None, "n"), (8, "", "n")]
+    kept = J.keep_one(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(r.doc_id), r.text, r.row) for r in kept) == sorted([("None", "q", "y"), ("3", "a b c d e f g", "z"), ("3", "other words", "w"), ("8", "", "n")])
