@@ -90,10 +90,10 @@ def aligned_positions(first: tuple[list, list], later: tuple[list, list]) -> lis
 
 def line_marks(docs: DataFrame) -> DataFrame:
     """Rows (_doc, _pos, _words, _blank) of documents with aligned lines: those lines, in order; _doc as in _keyed()."""
-    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).dropDuplicates(["_doc"])
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     line = F.trim(F.regexp_replace("_line", r"^\s+|\s+$", ""))
     lines = keyed.select("_doc", F.posexplode(_pieces("text")).alias("_pos", "_line")).select("_doc", "_pos", line.alias("_line")).where("_line <> ''")
-    lines = saved(lines.select("_doc", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"), F.size(F.split("_line", r"\s+")).alias("_words")), "lines")
+    lines = saved(lines.select("_doc", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"), F.size(F.split("_line", r"\s+")).alias("_words")).distinct(), "lines")
 
     holders = lines.groupBy("_h", "_g").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first <> _last").drop("_last")
     shared = saved(lines.join(holders, ["_h", "_g"]), "shared")
