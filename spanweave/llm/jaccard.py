@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.arrow import small_batches
 from spanweave.llm.graph import components
 from spanweave.session import saved
 
@@ -187,6 +188,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
 
 def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 1e-5, block_shingles: int = 1 << 20, block_texts: int = 1024) -> DataFrame:
     """doc_id, place, class (a key), class_id, n_links and copies of every document."""
+    small_batches(docs.sparkSession)
     sketch = saved(_sketches(docs), "sketch")
     sets = saved(sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
 

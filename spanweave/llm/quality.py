@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.arrow import small_batches
+
 DIM, MOST, THRESHOLD = 1 << 18, 4000, 0.7
 
 
@@ -153,6 +155,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = 11) -> Model:
     """From labelled rows that aren't held out. Those sampled are few by their number, so they are the broadcast side."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id IS NOT NULL AND quality IS NOT NULL").where(~held_out("_id"))
     known = known.groupBy("_id").agg(F.min("quality").alias("_quality"))
     share = min(1.0, most / max(1, known.count()))

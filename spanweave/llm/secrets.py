@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.arrow import small_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -173,6 +175,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             spans = scan_block(pdf["text"].tolist(), rules)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "kinds": [[rules[k].kind for _, k, _ in s] for s in spans], "starts": [[a for a, _, _ in s] for s in spans], "ends": [[e for _, _, e in s] for s in spans]})
 
+    small_batches(docs.sparkSession)
     texts = docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "coalesce(text, '') AS text")
     return texts.mapInPandas(scan, _SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
