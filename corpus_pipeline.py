@@ -20,7 +20,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from the later document; documents of which they leave nothing go whole."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, every=True)
     return out.where((F.col("n_deleted") == 0) | (F.col("text") != "")).select(*docs.columns)
 
 

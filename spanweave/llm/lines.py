@@ -9,6 +9,9 @@ ones are ignored.
 2. A later document is paired with the first holders of its shared lines. That is one pair for each holder of a line, however
    frequent the line is, and none between two later holders: lines rare or frequent, the work stays linear in the lines.
    A text equal to an earlier one is wholly aligned with it, so it needs no pair.
+   With every=True (the registered queries) a shared line that is not aligned then is taken to its other earlier holders,
+   in rounds, until it is aligned or each of them has been tried: the result is that of aligning every document with every
+   earlier one. Documents with the same sequence of shared lines align alike, so the first of them stands for all.
 3. A pair's shared lines are aligned by patience diff: lines that are unique in both, in their longest increasing order,
    are anchors; what lies between anchors is trimmed at both ends and aligned in the same way.
 4. The later document's aligned lines, from all its pairs, form blocks of consecutive lines (blank lines don't interrupt).
@@ -88,7 +91,7 @@ def aligned_positions(first: tuple[list, list], later: tuple[list, list]) -> lis
     return [kept[j][0] for _, j in patience(a, [h for _, h in kept])]
 
 
-def line_marks(docs: DataFrame) -> DataFrame:
+def line_marks(docs: DataFrame, every: bool = False) -> DataFrame:
     """Rows (_doc, _pos, _words, _blank) of documents with aligned lines: those lines, in order; _doc as in _keyed()."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     line = F.trim(F.regexp_replace("_line", r"^\s+|\s+$", ""))
@@ -102,13 +105,27 @@ def line_marks(docs: DataFrame) -> DataFrame:
     heads = same.groupBy("n", "x", "y").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first <> _last").drop("_last")
     copies = saved(same.join(heads, ["n", "x", "y"]).where("_doc <> _first").select("_doc"), "copies")
 
-    rest = shared.join(copies, "_doc", "left_anti")
-    pairs = rest.where("_doc <> _first").select("_doc", "_first").distinct()
+    rest = shared.join(copies, "_doc", "left_anti").where("_doc <> _first")
     entry = F.struct("_pos", "_h", "_g")
-    lists = shared.groupBy("_doc").agg(F.array_sort(F.collect_list(entry)).alias("own"))
-    own = lists.select("_doc", *_columns("own", "later"))
-    first = lists.select(F.col("_doc").alias("_first"), *_columns("own", "first"))
-    sides = pairs.join(own, "_doc").join(first, "_first").select("_doc", "later_pos", "later_hash", "first_pos", "first_hash")
+    lists = shared.groupBy("_doc").agg(F.array_sort(F.collect_list(entry)).alias("own")).select("_doc", *_columns("own"))
+    if every:
+        lists = saved(lists, "lists")
+    aligned = _aligned(rest.select("_doc", F.col("_first").alias("_other")).distinct(), lists)
+    if every:
+        aligned = saved(aligned, "aligned")
+        for found in _other_holders(rest.join(aligned, ["_doc", "_pos"], "left_anti"), shared, lists):
+            aligned = aligned.unionByName(found)
+        aligned = aligned.distinct()
+    whole = lines.join(copies, "_doc", "left_semi").select("_doc", "_pos")
+    marked = aligned.unionByName(whole)
+    return lines.select("_doc", "_pos", "_words").join(marked.select("_doc").distinct(), "_doc", "left_semi").join(marked.withColumn("_marked", F.lit(1)), ["_doc", "_pos"], "left")
+
+
+def _aligned(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(_doc, _pos): the lines of _doc that its pairs (_doc, _other) align."""
+    own = lists.select("_doc", F.col("pos").alias("later_pos"), F.col("hash").alias("later_hash"))
+    other = lists.select(F.col("_doc").alias("_other"), F.col("pos").alias("first_pos"), F.col("hash").alias("first_hash"))
+    sides = pairs.join(own, "_doc").join(other, "_other")
     sides = sides.select(F.col("_doc._null").alias("_null"), F.col("_doc._id").cast("string").alias("_id"), F.col("_doc._hash").alias("_hash"), "later_pos", "later_hash", "first_pos", "first_hash")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,14 +135,40 @@ def line_marks(docs: DataFrame) -> DataFrame:
 
     aligned = sides.mapInPandas(align, "_null int, _id string, _hash long, marks array<int>")
     doc = F.struct("_null", F.col("_id").cast("long").alias("_id"), "_hash").alias("_doc")
-    aligned = aligned.select(doc, F.explode("marks").alias("_pos")).distinct()
-    whole = lines.join(copies, "_doc", "left_semi").select("_doc", "_pos")
-    marked = aligned.unionByName(whole)
-    return lines.select("_doc", "_pos", "_words").join(marked.select("_doc").distinct(), "_doc", "left_semi").join(marked.withColumn("_marked", F.lit(1)), ["_doc", "_pos"], "left")
-
-
-def _columns(name: str, side: str) -> list[Column]:
-    return [F.transform(name, lambda e: e["_pos"]).alias(f"{side}_pos"), F.transform(name, lambda e: F.xxhash64(e["_h"], e["_g"])).alias(f"{side}_hash")]
+    return aligned.select(doc, F.explode("marks").alias("_pos")).distinct()
+
+
+def _other_holders(left: DataFrame, shared: DataFrame, lists: DataFrame, growth: int = 8, salts: int = 16) -> list[DataFrame]:
+    """Tables (_doc, _pos) of the lines in left (shared lines that their first holder doesn't align) that another earlier
+    holder aligns. Round r takes about growth^(r+1) holders of each line, by a hash, and the last one all that remain, so
+    lines that are soon aligned never meet the rest of their holders."""
+    classes = lists.select("_doc", F.size("hash").alias("n"), F.xxhash64("hash").alias("x"), F.xxhash64(F.lit(1), "hash").alias("y"))
+    heads = classes.groupBy("n", "x", "y").agg(F.min("_doc").alias("_head"), F.max("_doc").alias("_last")).where("_head <> _last").drop("_last")
+    alike = saved(classes.join(heads, ["n", "x", "y"]).where("_doc <> _head").select("_doc"), "alike")
+    left = saved(left.select("_doc", "_pos", "_h", "_g"), "left")
+    found = [left.join(alike, "_doc", "left_semi").select("_doc", "_pos")]
+    left = saved(left.join(alike, "_doc", "left_anti"), "left")
+
+    others = shared.where("_doc <> _first").join(left.groupBy("_h", "_g").agg(F.max("_doc").alias("_to")), ["_h", "_g"]).where("_doc < _to")
+    others = saved(others.join(alike, "_doc", "left_anti").select("_h", "_g", F.col("_doc").alias("_other")).distinct(), "others")
+    part = (F.pmod(F.xxhash64("_other"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40)) * F.col("_n")
+    others = others.join(others.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")), ["_h", "_g"]).withColumn("_round", F.greatest(F.lit(0), F.ceil(F.log(float(growth), part)) - 1).cast("int"))
+    others = saved(others.drop("_n"), "others")
+    ends = saved(others.groupBy("_h", "_g").agg(F.max("_round").alias("_end")), "ends")
+    last = ends.agg(F.max("_end")).first()[0]
+    for r in range(0 if last is None else last + 1):
+        here = others.where(F.col("_round") == r)
+        salt, each = F.pmod(F.xxhash64("_doc" if r < 2 else "_other"), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+        met = left.select("*", salt if r < 2 else each).join(here.select("_h", "_g", "_other", each if r < 2 else salt), ["_h", "_g", "_salt"]).where("_other < _doc")
+        found.append(saved(_aligned(met.select("_doc", "_other").distinct(), lists), "aligned"))
+        left = saved(left.join(found[-1], ["_doc", "_pos"], "left_anti").join(ends.where(F.col("_end") > r), ["_h", "_g"], "left_semi"), "left")
+        if left.isEmpty():
+            break
+    return found
+
+
+def _columns(name: str) -> list[Column]:
+    return [F.transform(name, lambda e: e["_pos"]).alias("pos"), F.transform(name, lambda e: F.xxhash64(e["_h"], e["_g"])).alias("hash")]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -134,18 +177,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.struct(F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64(text).alias("_hash")))
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """(_doc, gone: numbers of the pieces to delete)."""
     by_doc = Window.partitionBy("_doc").orderBy("_pos")
-    lines = line_marks(docs).withColumn("_block", F.sum(F.when(F.col("_marked").isNull(), 1).otherwise(0)).over(by_doc)).where("_marked IS NOT NULL")
+    lines = line_marks(docs, every).withColumn("_block", F.sum(F.when(F.col("_marked").isNull(), 1).otherwise(0)).over(by_doc)).where("_marked IS NOT NULL")
     lines = lines.withColumn("_all", F.sum("_words").over(Window.partitionBy("_doc", "_block")))
     return lines.where(F.col("_all") >= min_words).groupBy("_doc").agg(F.collect_list("_pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of docs, with text without the deleted blocks and n_chars (if there) its length, and n_deleted (lines)."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
+    """The columns of docs, with text without the deleted blocks and n_chars (if there) its length, and n_deleted (lines).
+    every: align with all earlier holders of a line, not with its first one alone."""
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
-    gone = deletions(docs, min_words)
+    gone = deletions(docs, min_words, every)
     out = keyed.join(gone, "_doc", "left")
     kept = F.array_join(F.filter(_pieces("text"), lambda x, i: ~F.array_contains("gone", i)), "")
     out = out.withColumn("_new", F.when(F.col("gone").isNull(), F.col("text")).when(F.regexp_replace(kept, r"^\s+$", "") == "", F.lit("")).otherwise(kept))
@@ -155,4 +199,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the text that is kept, its length and the number of deleted lines."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "n_deleted")
+    return dedup_lines(docs.select("doc_id", "text"), every=True).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "n_deleted")
