@@ -2,8 +2,8 @@
 
 Documents become token ids and an end id, longer ones pieces of `capacity` tokens. Only the histogram of piece lengths (as
 many rows as the capacity) reaches the driver. There, a covering program whose columns are configurations (multisets of
-length classes that fit a sequence) is solved by multiplicative weights: each round prices the classes by how far they are
-from covered, finds the best configuration by knapsack dynamic programming, and takes some of it. The solution is rounded
+length classes that fit a sequence) is solved by column generation: the simplex method prices the classes, knapsack dynamic
+programming finds the best configuration, until the solution is within GAP of the dual's bound. The solution is rounded
 down to whole sequences; what is left goes best-fit, longest first, into the gaps or into new sequences. All of this works
 on runs of equal sequences, so its cost follows the number of lengths, not of documents. Pieces then look up their place by
 their rank among the pieces of their length; ranks are counted per (length, shard), so a hot length is no hot task.
@@ -29,6 +29,7 @@ from spanweave.llm.arrow import small_batches
 from spanweave.session import saved
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
+CLASSES, GAP = 192, 0.002  # of the configuration program
 _PUNCTUATION = ".,!?;:&%$#*"  # trailing signs that are split off
 
 
@@ -150,15 +151,17 @@ def _parts(ends: np.ndarray, most: int = 8_000_000) -> Iterator[tuple[int, int]]
 
 def best_configuration(weights: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack: how many of each item (by position; weights ascending) have the highest value within the capacity."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fit = np.searchsorted(weights, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fit[c]:
-            tried = best[c - weights[:k]] + values[:k]
-            j = int(tried.argmax())
-            if tried[j] > best[c]:
-                best[c], choice[c] = tried[j], j
+    least, pad = int(weights[0]), int(weights[-1])
+    best, choice = np.full(pad + capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    best[pad] = 0.0
+    for b in range(1, capacity + 1, least):  # what `least` cells in a row need lies before them
+        c = np.arange(b, min(b + least, capacity + 1))
+        tried = best[pad + c[:, None] - weights] + values
+        j = tried.argmax(1)
+        top = tried[np.arange(len(c)), j]
+        own = np.maximum.accumulate(np.concatenate([best[pad + b - 1 : pad + b], top]))
+        choice[c] = np.where(top > own[:-1], j, -1)
+        best[pad + c] = own[1:]
     out: dict[int, int] = {}
     c = capacity
     while c > 0:
@@ -170,24 +173,62 @@ def best_configuration(weights: np.ndarray, values: np.ndarray, capacity: int) -
     return out
 
 
-def solve_configurations(weights: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, step: float = 0.2, rate: float = 4.0) -> dict[tuple, float]:
-    """Multiplicative weights for: min sum x, each class covered. Returns configurations ((class, count), ...) and their x."""
-    covered, x = np.zeros(len(weights)), {}
-    for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        price = np.where(open_, np.exp(-rate * covered), 0) * weights  # a covered class has no price
-        found = {k: int(min(n, demand[k])) for k, n in best_configuration(weights, price, capacity).items() if open_[k]}
-        if not found:
-            break
-        most = min(demand[k] / n for k, n in found.items())
-        take = max(step * most, min(1.0, most))
-        for k, n in found.items():
-            covered[k] += take * n / demand[k]
-        key = tuple(sorted(found.items()))
-        x[key] = x.get(key, 0.0) + take
-    return x
+def solve_configurations(weights: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, gap: float = GAP) -> tuple[dict[tuple, float], float]:
+    """min sum x, each class covered, by column generation: the simplex method's prices, a knapsack for the best configuration.
+
+    Returns configurations ((class, count), ...) with their x, and a lower bound of the program. Ends when no configuration is
+    worth more than 1 + gap, so that sum x is at most (1 + gap) times the bound (or after `rounds` rounds, if given).
+    """
+    each = capacity // weights
+    shaken = demand * (1 + 1e-7 * np.random.default_rng(1).random(len(demand)))  # no ties between leaving rows
+    columns, cost = [((k, int(n)),) for k, n in enumerate(each)], np.ones(len(weights))
+    inverse, x, bound, done = np.diag(1.0 / each), shaken / each, 0.0, 0
+    while rounds is None or done < rounds:
+        done += 1
+        price = cost @ inverse
+        k = int(price.argmin())
+        if price[k] < -1e-9:  # more of a class than its demand is allowed
+            new, worth, column = (), 0.0, -inverse[:, k]
+        else:
+            found = best_configuration(weights, price, capacity)
+            value = sum(price[k] * n for k, n in found.items())
+            bound = max(bound, float(price @ demand) / max(value, 1.0))
+            if value <= 1 + gap:
+                break
+            new, worth, column = tuple(sorted(found.items())), 1.0, sum(n * inverse[:, k] for k, n in found.items())
+        ratio = np.where(column > 1e-9, np.maximum(x, 0) / np.where(column > 1e-9, column, 1), np.inf)
+        r = int(ratio.argmin())
+        x = x - ratio[r] * column
+        x[r], columns[r], cost[r] = ratio[r], new, worth
+        row = inverse[r] / column[r]
+        inverse = inverse - np.outer(column, row)
+        inverse[r] = row
+    out: dict[tuple, float] = {}
+    for c, v in zip(columns, x.tolist(), strict=True):
+        if c and v > 0:
+            out[c] = out.get(c, 0.0) + v
+    return out, bound
+
+
+def length_classes(counts: dict[int, int], capacity: int, grid: int = 1, most: int = CLASSES) -> dict[int, int]:
+    """The class of each length: the longest one in it. Classes are runs of lengths with about as many tokens each, about `most`
+    of them, so a hot length has its own. Lengths under a 64th of the capacity have none: they go into gaps."""
+    steps: dict[int, list[int]] = {}
+    for length in sorted(counts):
+        if length >= capacity // 64:
+            steps.setdefault(-(-length // grid), []).append(length)
+    part = sum(length * counts[length] for own in steps.values() for length in own) / most
+    out, run, tokens = {}, [], 0.0
+    for own in steps.values():
+        now = sum(length * counts[length] for length in own)
+        if run and len(steps) > most and tokens + now > part:
+            out |= dict.fromkeys(run, run[-1])
+            run, tokens = [], 0.0
+        elif len(steps) <= most and run:
+            out |= dict.fromkeys(run, run[-1])
+            run = []
+        run, tokens = run + own, tokens + now
+    return out | dict.fromkeys(run, run[-1] if run else 0)
 
 
 @dataclass
@@ -217,7 +258,7 @@ class Runs:
         self.runs = [r for r in self.runs if r[1]]
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grid: int = 1, rounds: int = 200) -> list[tuple[tuple[int, ...], int]]:
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grid: int = 1, rounds: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Groups of equal sequences: (lengths in a sequence, number of such sequences), that use up the counts exactly.
 
     The solution is rounded several times, keeping only configurations that fill a sequence to a given share and leaving
@@ -227,20 +268,21 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grid: int =
     whole = [((capacity,), counts.pop(capacity))] if capacity in counts else []
     if not counts:
         return whole
+    of = length_classes(counts, capacity, grid)
     demand: dict[int, int] = {}
-    for length, n in counts.items():
-        demand[-(-length // grid)] = demand.get(-(-length // grid), 0) + n
+    for length, k in of.items():
+        demand[k] = demand.get(k, 0) + counts[length]
     keys = sorted(demand)
-    x = solve_configurations(np.array(keys), np.array([demand[k] for k in keys], float), capacity // grid, rounds)
-    plans = [_rounded(counts, {tuple((keys[k], n) for k, n in c): v for c, v in x.items()}, capacity, grid, share) for share in (0, 0.9, 0.97, 0.99, 2)]
+    x = solve_configurations(np.array(keys), np.array([demand[k] for k in keys], float), capacity, rounds)[0] if keys else {}
+    plans = [_rounded(counts, of, {tuple((keys[k], n) for k, n in c): v for c, v in x.items()}, capacity, share) for share in (0, 0.9, 0.97, 0.99, 2)]
     return whole + min(plans, key=lambda p: sum(n for _, n in p))
 
 
-def _rounded(counts: dict[int, int], x: dict[tuple, float], capacity: int, grid: int, share: float) -> list:
+def _rounded(counts: dict[int, int], of: dict[int, int], x: dict[tuple, float], capacity: int, share: float) -> list:
     classes: dict[int, Runs] = {}
     for length in sorted(counts, reverse=True):
-        classes.setdefault(-(-length // grid), Runs()).runs.append([length, counts[length]])
-    groups, fill = [], {c: grid * sum(k * n for k, n in c) for c in x}
+        classes.setdefault(of.get(length, length), Runs()).runs.append([length, counts[length]])
+    groups, fill = [], {c: sum(k * n for k, n in c) for c in x}
     for config in sorted((c for c in x if fill[c] >= share * capacity), key=lambda c: (-fill[c], c)):
         times = int(x[config] + 1e-9)
         while times > 0 and all(classes[k].left() >= n for k, n in config):
