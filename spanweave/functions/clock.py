@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.schema import MAX_DRIFT_PPM, AlignConfig, ClockDrift, LimitError, ValidationError
+from spanweave.session import saved
 
 MAX_DRIFT_ANCHORS = 1024
 
@@ -34,13 +35,38 @@ def normalise(events: DataFrame, config: AlignConfig) -> DataFrame:
     return events.withColumn("t", F.col("timestamp_ms") + offset_at(config, F.col("stream"), F.col("timestamp_ms")))
 
 
+def _median(rows: DataFrame) -> float:
+    """Exact median of the column d, none of it null: ranges of values are counted, and ranks found in the middle ones alone."""
+    rows = saved(rows.repartitionByRange("d").select("d", F.spark_partition_id().alias("_p")), "ranges")
+    before, found = 0, []
+    counts = sorted(rows.groupBy("_p").count().collect())  # one row for each range
+    total = sum(n for _, n in counts)
+    for p, n in counts:
+        ranks = [k - before + 1 for k in {(total - 1) // 2, total // 2} if before <= k < before + n]
+        if ranks:
+            own = rows.where(F.col("_p") == p).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("d")))
+            found += [r["d"] for r in own.where(F.col("_k").isin(ranks)).collect()]
+        before += n
+    return sum(found) / len(found)
+
+
 def estimate_offset(anchors: DataFrame) -> DataFrame:
     """One row: offset_ms (median of reference - observed), mad_ms, max_residual_ms, anchors. Needs one anchor at least."""
-    d = anchors.select((F.col("reference_ms") - F.col("observed_ms")).alias("d"))
-    mid = d.agg(F.median("d").alias("offset_ms"), F.count("d").alias("anchors"))
-    residual = F.abs(F.col("d") - F.col("offset_ms"))
-    out = d.crossJoin(F.broadcast(mid)).groupBy("offset_ms", "anchors").agg(F.median(residual).alias("mad_ms"), F.max(residual).alias("max_residual_ms"))
-    return out.select("offset_ms", "mad_ms", "max_residual_ms", "anchors")
+    d = saved(anchors.select((F.col("reference_ms") - F.col("observed_ms")).alias("d")).where("d IS NOT NULL"), "offsets")
+    n, out = d.count(), []
+    if n:
+        mid = _median(d)
+        residual = d.select(F.abs(F.col("d") - F.lit(mid)).alias("d"))
+        out = [(mid, _median(residual), residual.agg(F.max("d")).first()[0], n)]
+    return d.sparkSession.createDataFrame(out, "offset_ms double, mad_ms double, max_residual_ms double, anchors long")
+
+
+def sliced_anchors(anchors: DataFrame, slices: int = MAX_DRIFT_ANCHORS) -> DataFrame:
+    """All anchors as `slices` anchors at most: the medians of equal slices of the reference time."""
+    ends = anchors.agg(F.min("reference_ms").alias("_a"), F.max("reference_ms").alias("_z"))
+    at = F.when(F.col("_z") > F.col("_a"), F.least(F.lit(slices - 1), F.floor((F.col("reference_ms") - F.col("_a")) * slices / (F.col("_z") - F.col("_a"))))).otherwise(0)
+    cut = anchors.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("_slice"))
+    return cut.agg(F.median("reference_ms").alias("reference_ms"), F.median("observed_ms").alias("observed_ms")).drop("_slice")
 
 
 def drift_pairs(anchors: DataFrame) -> DataFrame:
