@@ -41,21 +41,18 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
 
 
-_HASHES = _WordHashes()
-
-
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's word n-grams."""
+def shingles(text: str, n: int = WORDS, hashes: _WordHashes | None = None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the text's word n-grams. hashes: a store of words that calls may share."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map((_WordHashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
     n = min(n, len(own))
     out = np.zeros(len(own) - n + 1, np.uint64)
     for k in range(n):
@@ -146,10 +143,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, place (a hash of the text), key (of the shingle set), n (shingles) and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()  # ends with the task
         for pdf in batches:
             rows = []
             for doc, place, text in zip(pdf["doc_id"], pdf["place"], pdf["text"], strict=True):
-                own = shingles(text)
+                own = shingles(text, hashes=hashes)
                 rows.append((doc, place, _key(own), len(own), bands(minhash(own)) if len(own) else np.empty(0, np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "place", "key", "n", "bands"])
 
@@ -207,8 +205,9 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     need = needed_matches(threshold, tolerance, list(range(28, BANDS * ROWS + 1, 28)))
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
         for pdf in batches:
-            own = [shingles(t) for t in pdf["text"]]
+            own = [shingles(t, hashes=hashes) for t in pdf["text"]]
             right = [_key(s) == k for s, k in zip(own, pdf["key"], strict=True)]
             out = pdf.drop(columns="text").assign(shingles=[s.tobytes() for s in own], signature=[minhash(s).tobytes() for s in own])
             yield out[right]

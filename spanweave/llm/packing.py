@@ -2,9 +2,10 @@
 
 Documents become token ids and an end id, longer ones pieces of `capacity` tokens. Only the histogram of piece lengths (as
 many rows as the capacity) reaches the driver. There, a covering program whose columns are configurations (multisets of
-length classes that fit a sequence) is solved by column generation: the simplex method prices the classes, knapsack dynamic
-programming finds the best configuration, until the solution is within GAP of the dual's bound. The solution is rounded
-down to whole sequences; what is left goes best-fit, longest first, into the gaps or into new sequences. All of this works
+length classes that fit a sequence) is solved by multiplicative weights, priced by knapsack dynamic programming, until the
+solution is within GAP of the dual's bound or ROUNDS rounds are over. Half of the solution is rounded to whole sequences, the fullest configurations
+first, each sequence's shortest piece being exchanged for the longest one that fits; then the program of what is left is
+solved, and so on for PASSES passes. The few pieces then left go best-fit, longest first, into gaps or new sequences. All of this works
 on runs of equal sequences, so its cost follows the number of lengths, not of documents. Pieces then look up their place by
 their rank among the pieces of their length; ranks are counted per (length, shard), so a hot length is no hot task.
 
@@ -13,10 +14,12 @@ Null and empty texts are one end id. Repeated rows are packed each for itself; a
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from spanweave.llm.arrow import small_batches
 from spanweave.session import saved
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-CLASSES, GAP = 192, 0.002  # of the configuration program
+CLASSES, GAP, PASSES, ROUNDS = 192, 0.05, 7, 150  # of the configuration program
 _PUNCTUATION = ".,!?;:&%$#*"  # trailing signs that are split off
 
 
@@ -42,7 +45,7 @@ class WordIds:
     At most about `most` units are kept; beyond that the store starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,17 +88,21 @@ class WordIds:
         stem = pc.if_else(pc.and_(two, pc.string_is_ascii(stem)), pc.ascii_lower(stem), stem)
         units = pa.concat_arrays([stem, pc.if_else(two, pc.struct_field(found, "b"), "")]).dictionary_encode()
         ids = self._units(units.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         of, n = units.indices.to_numpy(), len(words.dictionary)
         codes = words.indices.to_numpy()
-        own = np.empty(2 * len(codes), np.int64)
+        own = np.empty(2 * len(codes), np.int32)
         own[0::2], own[1::2] = of[:n][codes], of[n:][codes]
         long = sizes[own]
-        ends = np.concatenate([[0], np.cumsum(long)])
-        at = np.repeat(first[own] - ends[:-1], long) + np.arange(ends[-1])
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(long, dtype=np.int32)])  # a batch has less than 2 GB, so fewer ids than 2^31
+        at = np.repeat(first[own] - ends[:-1], long)
+        at += np.arange(ends[-1], dtype=np.int32)
         offsets = split.offsets.to_numpy()
-        return flat[at], ends[2 * (offsets - offsets[0])]
+        return flat[at], ends[2 * (offsets - offsets[0])].astype(np.int64)
+
+    def forget(self) -> None:
+        self.known = {"": b""}
 
     def __call__(self, text: str) -> bytes:
         return self.many(pa.array([text]))[0].tobytes()
@@ -117,27 +124,42 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian 32-bit) if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(tokenizer), np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy())
-            for a, b in _parts(sizes):
-                ids, bounds = ids_of.many(batch["text"].slice(a, b - a))
-                rows = []
-                for doc, x, y in zip(batch["doc_id"].slice(a, b - a).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    data = ids[x:y].tobytes() + end
-                    for k, z in enumerate(range(0, len(data), 4 * capacity)):
-                        own = data[z : z + 4 * capacity]
-                        rows.append((doc, k, z // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+        ids_of = word_ids(tokenizer)
+        try:
+            for batch in batches:
+                sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy())
+                for a, b in _parts(sizes):
+                    yield _pieces_of(batch["doc_id"].slice(a, b - a), *ids_of.many(batch["text"].slice(a, b - a)), capacity, names)
+        finally:  # a worker serves many tasks, of other operators too
+            ids_of.forget()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def _parts(ends: np.ndarray, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _pieces_of(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int, names: list[str]) -> pa.RecordBatch:
+    """The pieces of documents whose ids lie between the bounds; each document gets its end id here."""
+    flat = np.insert(ids, bounds[1:], END_ID).astype("<u4", copy=False)
+    bounds = bounds + np.arange(len(bounds))
+    long = np.diff(bounds)
+    count = -(-long // capacity)
+    of = np.repeat(np.arange(len(long)), count)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = piece * capacity
+    length = np.minimum(long[of] - start, capacity)
+    begin = bounds[of] + start
+    data = memoryview(flat).cast("B")
+    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+    out = [docs.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+    if len(names) > len(out):  # pieces follow each other without a gap
+        offsets = pa.array(np.append(4 * begin, 4 * len(flat)), pa.int64())
+        out.append(pa.Array.from_buffers(pa.large_binary(), len(of), [None, offsets.buffers()[1], pa.py_buffer(flat)]).cast(pa.binary()))
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _parts(ends: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes, or of one row."""
     a = 0
     while a < len(ends):
@@ -149,8 +171,9 @@ def _parts(ends: np.ndarray, most: int = 8_000_000) -> Iterator[tuple[int, int]]
 # -- the plan, from the histogram ------------------------------------------------------------------------------------
 
 
-def best_configuration(weights: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack: how many of each item (by position; weights ascending) have the highest value within the capacity."""
+def knapsack(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity from 0 on the highest value of items (any number of each; weights ascending), and the item that
+    reaches it last (-1: none, the value is that of the capacity below)."""
     least, pad = int(weights[0]), int(weights[-1])
     best, choice = np.full(pad + capacity + 1, -np.inf), np.full(capacity + 1, -1)
     best[pad] = 0.0
@@ -162,51 +185,54 @@ def best_configuration(weights: np.ndarray, values: np.ndarray, capacity: int) -
         own = np.maximum.accumulate(np.concatenate([best[pad + b - 1 : pad + b], top]))
         choice[c] = np.where(top > own[:-1], j, -1)
         best[pad + c] = own[1:]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            out[int(choice[c])] = out.get(int(choice[c]), 0) + 1
-            c -= int(weights[choice[c]])
-    return out
-
-
-def solve_configurations(weights: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, gap: float = GAP) -> tuple[dict[tuple, float], float]:
-    """min sum x, each class covered, by column generation: the simplex method's prices, a knapsack for the best configuration.
-
-    Returns configurations ((class, count), ...) with their x, and a lower bound of the program. Ends when no configuration is
-    worth more than 1 + gap, so that sum x is at most (1 + gap) times the bound (or after `rounds` rounds, if given).
+    return best[pad:], choice
+
+
+def configurations(weights: np.ndarray, choice: np.ndarray, capacity: int) -> np.ndarray:
+    """Row k: how many of each item the best configuration with at least one item k holds, from knapsack()'s choices."""
+    rows = np.eye(len(weights), dtype=np.int64)
+    filled = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))  # the next capacity below with a choice
+    at = filled[capacity - weights]
+    while (live := np.flatnonzero(at > 0)).size:
+        j = choice[at[live]]
+        rows[live, j] += 1
+        at[live] = filled[at[live] - weights[j]]
+    return rows
+
+
+def solve_configurations(weights: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None, gap: float = GAP, rate: float = 0.5, slack: float = 0.05) -> tuple[dict[tuple, float], float]:
+    """min sum x, each class covered, by multiplicative weights: a class's price is its share of a sequence, lowered by the
+    factor exp(-rate) for every time that its demand has been covered. A round prices all configurations by one knapsack,
+    takes for each class the best one that holds it if its worth is within `slack` of the best of all, and raises them so
+    that no class is covered more than once over. Prices that are scaled to the best worth are a dual solution, so each
+    round gives a lower bound, and the cover so far, scaled to the least covered class, is a solution.
+
+    Returns configurations ((class, count), ...) with their x, and the best bound. Ends when sum x is at most (1 + gap) times
+    the bound (or after `rounds` rounds, if given).
     """
-    each = capacity // weights
-    shaken = demand * (1 + 1e-7 * np.random.default_rng(1).random(len(demand)))  # no ties between leaving rows
-    columns, cost = [((k, int(n)),) for k, n in enumerate(each)], np.ones(len(weights))
-    inverse, x, bound, done = np.diag(1.0 / each), shaken / each, 0.0, 0
+    n, base = len(weights), weights / capacity
+    cover, taken, total, bound, done = np.zeros(n), {}, 0.0, 0.0, 0
     while rounds is None or done < rounds:
         done += 1
-        price = cost @ inverse
-        k = int(price.argmin())
-        if price[k] < -1e-9:  # more of a class than its demand is allowed
-            new, worth, column = (), 0.0, -inverse[:, k]
-        else:
-            found = best_configuration(weights, price, capacity)
-            value = sum(price[k] * n for k, n in found.items())
-            bound = max(bound, float(price @ demand) / max(value, 1.0))
-            if value <= 1 + gap:
-                break
-            new, worth, column = tuple(sorted(found.items())), 1.0, sum(n * inverse[:, k] for k, n in found.items())
-        ratio = np.where(column > 1e-9, np.maximum(x, 0) / np.where(column > 1e-9, column, 1), np.inf)
-        r = int(ratio.argmin())
-        x = x - ratio[r] * column
-        x[r], columns[r], cost[r] = ratio[r], new, worth
-        row = inverse[r] / column[r]
-        inverse = inverse - np.outer(column, row)
-        inverse[r] = row
-    out: dict[tuple, float] = {}
-    for c, v in zip(columns, x.tolist(), strict=True):
-        if c and v > 0:
-            out[c] = out.get(c, 0.0) + v
+        price = base * np.exp(-rate * (cover - cover.min()))
+        best, choice = knapsack(weights, price, capacity)
+        bound = max(bound, float(price @ demand) / best[capacity])
+        rows = configurations(weights, choice, capacity)
+        own = np.flatnonzero(rows @ price >= (1 - slack) * best[capacity])
+        rows = rows[own]
+        amount = demand[own] / rows[np.arange(len(own)), own]
+        amount /= (amount @ rows / demand).max()
+        for row, x in zip(rows, amount.tolist(), strict=True):
+            config = row.tobytes()
+            taken[config] = taken.get(config, 0.0) + x
+        cover += amount @ rows / demand
+        total += float(amount.sum())
+        if cover.min() > 0 and total <= (1 + gap) * bound * cover.min():
+            break
+    out = {}
+    for config, x in taken.items():
+        row = np.frombuffer(config, np.int64)
+        out[tuple((int(k), int(row[k])) for k in np.flatnonzero(row))] = x / max(float(cover.min()), 1e-12)
     return out, bound
 
 
@@ -231,76 +257,120 @@ def length_classes(counts: dict[int, int], capacity: int, grid: int = 1, most: i
     return out | dict.fromkeys(run, run[-1] if run else 0)
 
 
-@dataclass
-class Runs:
-    """The pieces not yet packed of one class: (length, count), longest first."""
-
-    runs: list[list[int]] = field(default_factory=list)
-
-    def left(self) -> int:
-        return sum(n for _, n in self.runs)
-
-    def take(self, each: int) -> tuple[list[int], int]:
-        """Lengths for one sequence, and how many sequences can take the same."""
-        if self.runs[0][1] >= each:
-            return [self.runs[0][0]] * each, self.runs[0][1] // each
-        out = []
-        for length, n in self.runs:
-            out += [length] * min(n, each - len(out))
-        return out, 1
+@dataclass(frozen=True)
+class Plan:
+    """groups of equal sequences: (lengths in a sequence, number of such sequences), which use up the histogram exactly; how
+    many sequences configurations of the program opened, and the least number that their tokens need."""
+
+    groups: list[tuple[tuple[int, ...], int]]
+    by_program: int
+    least: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.groups)
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grid: int = 1, rounds: int | None = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    return make_plan(counts, capacity, grid, rounds).groups
+
+
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, grid: int = 1, rounds: int | None = ROUNDS, passes: int = PASSES, share: float = 0.97) -> Plan:
+    """The program is solved and rounded in passes. A pass takes half of the solution, rounded down, in configurations that fill
+    `share` of a sequence; what is left is a program of its own, whose solution knows which lengths have become scarce."""
+    left = {k: n for k, n in counts.items() if n}
+    least = -(-sum(k * n for k, n in left.items()) // capacity)
+    groups = [((capacity,), left.pop(capacity))] if capacity in left else []
+    rest = dict(left)
+    for _ in range(passes):
+        of = length_classes(left, capacity, grid)
+        if not of:
+            break
+        demand: dict[int, int] = {}
+        for length, k in of.items():
+            demand[k] = demand.get(k, 0) + left[length]
+        keys = sorted(demand)
+        x = solve_configurations(np.array(keys), np.array([demand[k] for k in keys], float), capacity, rounds)[0]
+        placed = _Left(left, of, capacity)
+        new = _rounded(placed, {tuple((keys[k], n) for k, n in c): v for c, v in x.items()}, capacity, share)
+        if not new:
+            break
+        groups += new
+        left = {k: n for k, n in enumerate(placed.n) if n}
+    by_program = sum(n for _, n in groups)
+    full = [g for g in groups if g[0] == (capacity,)]
+    return Plan(full + _best_fit([g for g in groups if g[0] != (capacity,)], rest, capacity), by_program, least)
+
+
+class _Left:
+    """The pieces not yet placed, by length and by class."""
+
+    def __init__(self, counts: dict[int, int], of: dict[int, int], capacity: int):
+        self.n = [0] * (capacity + 1)
+        for length, n in counts.items():
+            self.n[length] = n
+        self.of = of
+        self.classes: dict[int, list[int]] = {}
+        for length in sorted(of, reverse=True):
+            self.classes.setdefault(of[length], []).append(length)
+
+    def take(self, config: tuple, capacity: int) -> tuple[list[int], int] | None:
+        """Lengths for one sequence of the configuration and how many sequences can take the same; None if a class has too few.
+        Classes give their longest pieces; the gap that is left goes to the shortest one, for which the longest piece comes
+        that fits, of whatever class."""
+        out: list[int] = []
+        for k, need in config:
+            own = self.classes[k]
+            while own and not self.n[own[0]]:  # used up for good
+                own.pop(0)
+            for length in own:
+                now = min(need, self.n[length])
+                out += [length] * now
+                need -= now
+                if not need:
+                    break
+            if need:
+                return None
+        out.sort(reverse=True)
+        used = Counter(out[:-1])
+        last = capacity - sum(out[:-1])
+        while last > out[-1] and self.n[last] <= used[last]:
+            last -= 1
+        out[-1] = last
+        used = Counter(out)
+        return sorted(out, reverse=True), min(self.n[length] // n for length, n in used.items())
 
     def remove(self, lengths: list[int], times: int) -> None:
         for length in lengths:
-            for r in self.runs:
-                if r[0] == length:
-                    r[1] -= times
-                    break
-        self.runs = [r for r in self.runs if r[1]]
-
+            self.n[length] -= times
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, grid: int = 1, rounds: int | None = None) -> list[tuple[tuple[int, ...], int]]:
-    """Groups of equal sequences: (lengths in a sequence, number of such sequences), that use up the counts exactly.
 
-    The solution is rounded several times, keeping only configurations that fill a sequence to a given share and leaving
-    the others' pieces to best-fit; the plan with the fewest sequences is returned.
-    """
-    counts = {k: n for k, n in counts.items() if n}
-    whole = [((capacity,), counts.pop(capacity))] if capacity in counts else []
-    if not counts:
-        return whole
-    of = length_classes(counts, capacity, grid)
-    demand: dict[int, int] = {}
-    for length, k in of.items():
-        demand[k] = demand.get(k, 0) + counts[length]
-    keys = sorted(demand)
-    x = solve_configurations(np.array(keys), np.array([demand[k] for k in keys], float), capacity, rounds)[0] if keys else {}
-    plans = [_rounded(counts, of, {tuple((keys[k], n) for k, n in c): v for c, v in x.items()}, capacity, share) for share in (0, 0.9, 0.97, 0.99, 2)]
-    return whole + min(plans, key=lambda p: sum(n for _, n in p))
-
-
-def _rounded(counts: dict[int, int], of: dict[int, int], x: dict[tuple, float], capacity: int, share: float) -> list:
-    classes: dict[int, Runs] = {}
-    for length in sorted(counts, reverse=True):
-        classes.setdefault(of.get(length, length), Runs()).runs.append([length, counts[length]])
+def _rounded(left: _Left, x: dict[tuple, float], capacity: int, share: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole sequences of configurations that fill the share, the fullest ones first: half as often as the solution says, or
+    once where that is less than one and the solution near one. Takes the pieces out of left."""
     groups, fill = [], {c: sum(k * n for k, n in c) for c in x}
-    for config in sorted((c for c in x if fill[c] >= share * capacity), key=lambda c: (-fill[c], c)):
-        times = int(x[config] + 1e-9)
-        while times > 0 and all(classes[k].left() >= n for k, n in config):
-            parts = [(classes[k], *classes[k].take(n)) for k, n in config]
-            now = min(times, *(m for _, _, m in parts))
-            for own, lengths, _ in parts:
-                own.remove(lengths, now)
-            groups.append((tuple(sorted((v for _, lengths, _ in parts for v in lengths), reverse=True)), now))
+    for config in sorted((c for c in x if fill[c] >= share * capacity), key=lambda c: (-fill[c], -x[c], c)):
+        times = int(x[config] / 2) or int(x[config] > 0.5)
+        while times > 0 and (found := left.take(config, capacity)):
+            lengths, most = found
+            if sum(lengths) < share * capacity:
+                break
+            now = min(times, most)
+            left.remove(lengths, now)
+            groups.append((tuple(lengths), now))
             times -= now
-    rest = sorted(((length, n) for c in classes.values() for length, n in c.runs), reverse=True)
-    return _best_fit(groups, rest, capacity)
+    return groups
 
 
-def _best_fit(groups: list, rest: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Puts the rest, longest first, where the smallest gap holds it, else into new sequences."""
+def _best_fit(groups: list, counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Puts what the groups leave of the counts, longest first, where the smallest gap holds it, else into new sequences."""
+    left = Counter(counts)
     by_gap: list[list] = [[] for _ in range(capacity + 1)]
     for lengths, n in groups:
         by_gap[capacity - sum(lengths)].append([lengths, n])
+        for length in lengths:
+            left[length] -= n
+    rest = sorted(((length, n) for length, n in left.items() if n), reverse=True)
     for length, n in rest:
         gap = length
         while n:

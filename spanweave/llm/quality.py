@@ -38,23 +38,22 @@ class _Codes(dict):
     """Word -> its hash and its shape's hash in one integer, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = crc32(word.lower().encode("utf-8", "surrogatepass")) << 31 | crc32(shape(word).encode("utf-8", "surrogatepass")) >> 1
         return value
 
 
-_CODES = _Codes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(text: str | None, dim: int = DIM) -> np.ndarray:
-    """Sorted numbers of the features that the text has."""
+def features(text: str | None, dim: int = DIM, codes: _Codes | None = None) -> np.ndarray:
+    """Sorted numbers of the features that the text has. codes: a store of words that calls may share."""
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int32)
-    codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
-    word, form = codes >> np.uint64(31), codes & np.uint64(0x7FFFFFFF)
+    own = np.fromiter(map((_Codes() if codes is None else codes).__getitem__, words), np.uint64, len(words))
+    word, form = own >> np.uint64(31), own & np.uint64(0x7FFFFFFF)
     out = []
     again = (word[1:] == word[:-1]).astype(np.uint64)
     for family, own, most in ((1, form, 3), (2, word, 2), (3, again, 4)):
@@ -162,19 +161,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = 11)
     sample = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _Codes()
         for pdf in batches:
-            yield pdf[["_id", "_quality"]].assign(features=[features(t).tobytes() for t in pdf["text"]])
+            yield pdf[["_id", "_quality"]].assign(features=[features(t, codes=codes).tobytes() for t in pdf["text"]])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "_id").mapInPandas(run, "_id long, _quality int, features binary").collect()  # at most about `most`
+    found = texts.join(F.broadcast(sample), "_id").mapInPandas(run, "_id long, _quality int, features binary")
+    rows = found.groupBy("_id", "_quality").agg(F.min("features").alias("features")).collect()  # a row per label: at most about `most`, however often an id occurs
     rows = sorted((r["_id"], bytes(r["features"]), r["_quality"]) for r in rows)
     return fit_rows([np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([1 if q == 1 else -1 for *_, q in rows]))
 
 
 def score_column(model: Model, text: str = "text") -> Column:
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(features(t)) for t in texts])
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = _Codes()  # ends with the task
+        for texts in batches:
+            yield pd.Series([model.score(features(t, codes=codes)) for t in texts])
 
     return score(F.coalesce(F.col(text), F.lit("")))
 

@@ -17,6 +17,31 @@ def test_hot_lengths_that_fill_a_sequence_together():
     assert sequences(HOT) <= 1.003 * bound
 
 
+def test_small_histograms_against_the_fewest_sequences():
+    rng = np.random.default_rng(3)
+    for _ in range(8):
+        lengths = rng.integers(3, 20, 9).tolist()
+        counts = {int(k): lengths.count(k) for k in lengths}
+        got = sum(n for _, n in P.plan_sequences(counts, 20))
+
+        def fewest(left, bins):  # every way, with bins in falling order
+            if not left:
+                return len(bins)
+            x, out = left[0], len(bins) + 1 + len(left)
+            for i in range(len(bins)):
+                if bins[i] >= x and bins[i] not in bins[:i]:
+                    out = min(out, fewest(left[1:], bins[:i] + [bins[i] - x] + bins[i + 1 :]))
+            return min(out, fewest(left[1:], [*bins, 20 - x]))
+
+        assert got <= fewest(sorted(lengths, reverse=True), []) + 1
+
+
+def test_the_program_places_most_sequences():
+    counts = {k: 200 for k in range(100, 2048)}
+    plan = P.make_plan(counts)
+    assert used(plan.groups) == counts and plan.by_program >= 0.85 * plan.sequences and plan.sequences <= 1.02 * plan.least
+
+
 def test_program_is_solved_to_the_gap():
     for counts in (HOT, {k: 5000 for k in range(1, 2048)}, {k: 100_000 // k + 1 for k in range(1, 2048)}):
         of = P.length_classes(counts, P.CAPACITY)
