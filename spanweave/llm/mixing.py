@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks, in built-in functions only.
 
 Sources in order of code point (null last) get weights by a repeating pattern; their targets share the tokens of all
-sources and stop at repeats times a source's own size, what exceeds it being shared again by weight. One block of
-block_tokens tokens is one seat: seats go to sources by the highest quotients target / (2 s + 1), and a source's seats go
-to its shards in the same way, by size. A shard is a part of a source's documents (by hash) in seeded order, its tokens cut
+sources and stop at repeats times a source's own size, what exceeds it being shared again by weight. One block of equally
+many tokens is one seat: seats go to sources by the highest quotients target / (2 s + 1), and a source's seats go
+to its shards in the same way, by size. A block has block_tokens tokens, or fewer (a power of two, down to one token) where
+that is more than a 128th of a target: of the smallest one for the sources' seats, of its own for a source's shards. A shard is a part of a source's documents (by hash) in seeded order, its tokens cut
 into blocks; a quota of q over n blocks takes each block q div n times and q mod n of them, chosen by a seeded permutation,
 once more. A document's share follows from the blocks that its tokens lie in, so blocks are never made as rows and no
 window spans more than a shard.
 
 Null texts have size 0 and are never taken; an empty table gives no rows; null sources are one source. Repeated rows are
-documents of their own. Tables of sources and shards hold sums only (shards: one per shard_tokens tokens of a source).
+documents of their own; rows with the same doc_id are told apart by a hash of the text, so reruns agree. Tables of sources and shards hold sums only (shards: one per shard_tokens tokens of a source).
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ _PRIME = 2147483647
 def _sized(docs: DataFrame) -> DataFrame:
     """Adds _size and _source, a text that is never null."""
     source = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")).withColumn("_source", source)
+    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"), "_source": source, "_hash": F.xxhash64("text")})
+
+
+def _block_of(target: Column, block_tokens: int) -> Column:
+    """The largest power of two that is at most a 128th of the target, from 1 to block_tokens."""
+    return F.greatest(F.lit(1.0), F.least(F.lit(float(block_tokens)), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(target, F.lit(1.0)) / 128))))).cast("long")
 
 
 def apportion(items: DataFrame, group: str, weight: str, seats: str, tie: str) -> DataFrame:
@@ -46,7 +52,7 @@ def apportion(items: DataFrame, group: str, weight: str, seats: str, tie: str) -
 
 
 def plan_sources(sizes: DataFrame, pattern: tuple[int, ...], repeats: int, block_tokens: int) -> DataFrame:
-    """One row per source: _source, source_size, target, quota (blocks), from rows of _source and _size."""
+    """One row per source: _source, source_size, target, _block (tokens) and quota (blocks), from rows of _source and _size."""
     every = Window.partitionBy(F.lit(0))
     one = sizes.groupBy("_source").agg(F.sum("_size").alias("source_size"))
     place = F.row_number().over(every.orderBy(F.col("_source") == "n", "_source"))
@@ -58,29 +64,31 @@ def plan_sources(sizes: DataFrame, pattern: tuple[int, ...], repeats: int, block
     # The first source, by ratio, that its level doesn't fill up sets the level of all that aren't full.
     common = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_i", "_level"))).over(every)["_level"]
     one = one.withColumn("target", F.least(F.col("_cap"), F.col("_w") * common))
-    one = one.withColumn("_seats", F.round(F.sum("source_size").over(every) / block_tokens).cast("long")).withColumn("_all", F.lit(0))
-    return apportion(one, "_all", "target", "_seats", "_source").select("_source", "source_size", "target", "quota")
+    one = one.withColumn("_unit", _block_of(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every), block_tokens))
+    one = one.withColumn("_seats", F.round(F.sum("source_size").over(every) / F.col("_unit")).cast("long")).withColumn("_all", F.lit(0))
+    one = apportion(one, "_all", "target", "_seats", "_source").withColumn("_block", _block_of(F.col("target"), block_tokens))
+    return one.select("_source", "source_size", "target", "_block", F.round(F.col("quota") * F.col("_unit") / F.col("_block")).cast("long").alias("quota"))
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), pattern: tuple[int, ...] = (1, 2, 3), repeats: int = 3, block_tokens: int = 64, shard_tokens: int = 1 << 21, seed: int = 17) -> DataFrame:
     """The columns keep of every document (doc_id among them), then _size, source_size, target, taken, and how to take it: _start (its first
     token in its shard), _laps, _n (blocks), _rest (blocks taken once more) and _shift (of the permutation)."""
     rows = _sized(docs)
-    narrow = saved(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_source", "_size"), "mix-sizes")
+    narrow = saved(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_source", "_size", "_hash"), "mix-sizes")
     sources = saved(plan_sources(narrow, pattern, repeats, block_tokens), "mix-sources")
     sources = sources.withColumn("_shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens)))
 
     def sharded(x: DataFrame) -> DataFrame:
-        return x.join(sources, "_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")))
+        return x.join(sources, "_source").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_hash"), F.col("_shards")))
 
-    shards = sharded(narrow).groupBy("_source", "_shard").agg(F.sum("_size").alias("_shard_size"), F.max("quota").alias("_seats"))
-    shards = apportion(shards, "_source", "_shard_size", "_seats", "_shard").withColumn("_n", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_shard_size") / block_tokens)))
+    shards = sharded(narrow).groupBy("_source", "_shard").agg(F.sum("_size").alias("_shard_size"), F.max("quota").alias("_seats"), F.max("_block").alias("_block"))
+    shards = apportion(shards, "_source", "_shard_size", "_seats", "_shard").withColumn("_n", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_shard_size") / F.col("_block"))))
     shards = shards.withColumn("_q", F.least(F.col("quota"), repeats * F.col("_n"))).select("_source", "_shard", "_n", F.expr("_q div _n").alias("_laps"), F.pmod("_q", "_n").alias("_rest"), F.pmod(F.xxhash64(F.lit(seed), "_source", "_shard"), F.col("_n")).alias("_shift"))
 
-    placed = sharded(narrow if keep == ("doc_id",) else rows.select(*keep, "_source", "_size"))
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "_size")
+    placed = sharded(narrow if keep == ("doc_id",) else rows.select(*keep, "_source", "_size", "_hash"))
+    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_hash"), "doc_id", "_hash", "_size")
     placed = placed.withColumn("_start", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-    out = placed.join(shards, ["_source", "_shard"]).withColumn("_block", F.lit(block_tokens).cast("long"))
+    out = placed.join(shards, ["_source", "_shard"])
     end = F.col("_start") + F.col("_size")
 
     def add(total: Column, j: Column) -> Column:
@@ -89,7 +97,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), pattern: tuple[int
 
     blocks = F.sequence(F.expr("_start div _block"), F.expr("(_start + _size - 1) div _block"))
     once = F.when((F.col("_size") > 0) & (F.col("_rest") > 0), F.aggregate(blocks, F.lit(0).cast("long"), add)).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("_once", once).withColumn("taken", F.col("_laps") * F.col("_size") + F.col("_once")).drop("_shards", "quota", "_shard")
+    return out.withColumn("_once", once).withColumn("taken", F.col("_laps") * F.col("_size") + F.col("_once")).drop("_shards", "quota", "_shard", "_hash")
 
 
 def _chosen(j: Column) -> Column:

@@ -60,6 +60,26 @@ def test_documents_hold_what_is_taken(spark):
     assert found == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_small_sources_meet_their_targets(spark):
+    data = [(1, " ".join(["a"] * 10), "a"), (2, " ".join(["b"] * 2000), "b"), (3, " ".join(["c"] * 21), "c"), (3, " ".join(["d"] * 21), "d"), (3, "x y", "d"), (None, "one", "e"), (None, " ".join(["z"] * 50), "f")]
+    data += [(100 + i, " ".join(["g"] * 333), "g") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for _, t, s in data:
+        sizes[s] += len(t.split())
+    for r in M.mixed_documents(docs).collect():
+        taken[r.source] += len(r.text.split())
+    for s, want in targets(sizes).items():
+        assert abs(taken[s] - want) <= max(1, 0.01 * want), (s, taken[s], want)
+
+
+def test_reruns_agree_on_repeated_ids(spark):
+    data = [(i % 3 if i % 4 else None, f"w{i} " * 40, "s" if i % 5 else "t") for i in range(200)]
+    schema = "doc_id long, text string, source string"
+    one = M.mixed_documents(spark.createDataFrame(data, schema)).collect()
+    assert Counter(one) == Counter(M.mixed_documents(spark.createDataFrame(data[::-1], schema).repartition(7)).collect())
+
+
 def test_apportionment_against_one_by_one(spark):
     rng = random.Random(1)
     items, want = [], {}
