@@ -13,6 +13,9 @@ length as its local cosine threshold says, and what is left is verified with who
    products are computed whole, in doubles where they are exact (|q| |p| < 2^53), else in Python's integers.
 5. Each cell keeps its k best per query, and a window per query keeps the k best of all. Ties go to the smaller vec_id.
 
+Products are exact at any size. A score beyond a long is returned as the nearest long (plus or minus 2^63 - 1); such scores
+are ranked by their doubles (up to 10^300), then by vec_id.
+
 Rows with a null vec_id are no queries; as candidates they would have no name, so they take no part. A query is no candidate
 for itself: rows of its vec_id are left out. An empty table gives no rows.
 """
@@ -30,36 +33,46 @@ from pyspark.sql import functions as F
 from spanweave.session import saved
 
 COSINE, FOCUS = 0.5, 3
+END = (1 << 63) - 1
+FAR = 1e150  # lengths beyond it count as this long, so that products of two lengths stay finite
 
 
 def integers(vector: str, scale: float) -> Column:
-    """array<long> of floor(scale * x), or null if the vector or a component is null or not finite."""
-    v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 9.0e18 / scale))
+    """array<double> of the integers floor(scale * x), or null if the vector or a component is null or not finite (a finite
+    one whose product with the scale is beyond the doubles counts as not finite). From 2^53 on every double is an integer."""
+    scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
+    v = F.transform(scaled, lambda y: F.when(F.abs(y) < 2.0**53, F.floor(F.when(F.abs(y) < 2.0**53, y)).cast("double")).otherwise(y))
+    finite = F.forall(scaled, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
     return F.when(F.coalesce(finite, F.lit(False)), v)
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.square(m.astype(np.float64)).sum(axis=1))
+    most = np.abs(m).max(axis=1, initial=0.0)
+    return np.minimum(most * np.sqrt(np.square(m / np.maximum(most, 1.0)[:, None]).sum(axis=1)) if m.shape[1] else most, FAR)
+
+
+def _double(score: int) -> float:
+    """The score as a double, which keeps the order (up to 10^300)."""
+    return float(max(-(10**300), min(int(score), 10**300)))
 
 
 def products(q: np.ndarray, p: np.ndarray, q_norm: float, p_norm: float) -> np.ndarray:
     """Exact inner products of rows of q and p."""
     if q_norm * p_norm < 2.0**53:
-        return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
+        return (q @ p.T).astype(np.int64)
     return np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in p] for x in q], dtype=object).reshape(len(q), len(p))
 
 
 def prune(q: np.ndarray, bound: float, q_norm: float, unit: np.ndarray, norms: np.ndarray, cosine: float = COSINE, focus: int = FOCUS) -> np.ndarray:
     """Candidates (positions; norms descending) that may reach the bound. unit: candidates at length 1."""
-    if not len(norms) or bound == -math.inf or q_norm == 0 or norms[0] == 0:
+    if not len(norms) or bound == -math.inf or q_norm == 0 or norms[0] == 0 or max(q_norm, norms[0]) >= FAR:
         return np.arange(len(norms))
     local = bound / (q_norm * norms[0])
     if local > 1 + 1e-9:
@@ -84,10 +97,10 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at].astype(np.float64 if scores.dtype == object else np.int64)))][:k] if scores.dtype != object else np.array(sorted(at, key=lambda i: (-scores[i], ids[i]))[:k], int)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector: str = "embedding", growth: float = 1.05, block: int = 8192, query_block: int = 512, seeds: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector: str = "embedding", growth: float = 1.05, block: int = 8192, query_block: int = 4096, seeds: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row that is_query holds for, its k best other rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(vector, scale).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    norm = F.least(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(FAR))
     rows = saved(rows.withColumn("norm", norm).withColumn("bucket", F.when(F.col("norm") < 1, F.lit(0)).otherwise(F.floor(F.log("norm") / math.log(growth)) + 1).cast("int")), "vectors")
     longest = rows.orderBy(F.col("norm").desc(), "id").limit(seeds).select("id", "v").collect()  # at most `seeds` vectors
     seed_ids, seed_rows = np.array([r["id"] for r in longest], np.int64), [r["v"] for r in longest]
@@ -100,10 +113,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             out = []
             for i, own in zip(range(len(q)), pdf["id"], strict=True):
                 mine = np.sort(scores[i][seed_ids != own])
-                out.append(float(mine[-k]) if len(mine) >= k else -math.inf)
+                out.append(_double(mine[-k]) if len(mine) >= k else -math.inf)
             yield pdf[["id", "v", "norm"]].assign(bound=out)
 
-    queries = rows.where("q").select("id", "v", "norm").mapInPandas(bounds, "id long, v array<long>, norm double, bound double")
+    queries = rows.where("q").select("id", "v", "norm").mapInPandas(bounds, "id long, v array<double>, norm double, bound double")
     n_queries = max(1, math.ceil(rows.where("q").count() / query_block))
     queries = saved(queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")), "queries")
 
@@ -112,10 +125,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     candidates = candidates.withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("bucket", "part", "id", "v", "norm")
 
     tops = candidates.groupBy("bucket", "part").agg(F.max("norm").alias("longest"))
-    reach = queries.groupBy("qb").agg(F.max(F.when(F.col("norm") > 0, -F.col("bound") / F.col("norm")).otherwise(F.lit(math.inf))).alias("ease"))
-    # A cell stays if some query q of its block has |q| * longest >= bound, that is longest >= min(bound / |q|).
+    reach = queries.groupBy("qb").agg(F.max(F.when((F.col("norm") > 0) & (F.col("norm") < FAR), -F.col("bound") / F.col("norm")).otherwise(F.lit(math.inf))).alias("ease"))
+    # A cell stays if some query q of its block has |q| * longest >= bound, that is longest >= min(bound / |q|), or a length is FAR.
     spread = tops.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    cells = saved(spread.join(reach, "qb").where(F.col("longest") * (1 + 1e-9) + 1e-9 >= -F.col("ease")).select("qb", "bucket", "part"), "cells")
+    cells = saved(spread.join(reach, "qb").where((F.col("longest") * (1 + 1e-9) + 1e-9 >= -F.col("ease")) | (F.col("longest") >= FAR)).select("qb", "bucket", "part"), "cells")
 
     member = F.struct("id", "v")
     packed = candidates.join(cells, ["bucket", "part"]).groupBy("qb", "bucket", "part").agg(F.collect_list(member).alias("candidates"))
@@ -137,12 +150,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                     if len(at):
                         scores = products(q[i : i + 1], p[at], q_norms[i], norms[0])[0]
                         best = best_of(ids[at], scores, k)
-                        out.append(pd.DataFrame({"query_id": ask["id"], "vec_id": ids[at][best], "score": [int(s) for s in scores[best]]}))
+                        out.append(pd.DataFrame({"query_id": ask["id"], "vec_id": ids[at][best], "score": [max(-END, min(int(s), END)) for s in scores[best]], "about": [_double(s) for s in scores[best]]}))
                 if out:
                     yield pd.concat(out)
 
-    found = pairs.select("candidates", "asked").mapInPandas(verify, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = pairs.select("candidates", "asked").mapInPandas(verify, "query_id long, vec_id long, score long, about double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("about").desc(), F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

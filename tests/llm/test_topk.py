@@ -47,3 +47,14 @@ def test_fewer_rows_than_k_and_none(spark):
     assert {tuple(r) for r in K.topk_digest(spark.createDataFrame(rows, schema)).collect()} == brute(rows, 10)
     assert K.topk_digest(spark.createDataFrame([], schema)).count() == 0
     assert K.topk_digest(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
+
+
+def test_components_and_scores_beyond_a_long(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) * 10 ** rng.choice([0, 3, 16, 18, 30, 60, 140]) for _ in range(4)]) for i in range(260)]
+    rows += [(300, [9.1e15, 1.0, 0.0, 0.0]), (301, [9.1e15, 1.0, 0.0, 0.0]), (302, [-3.3, 2.0**52 / 1024, 0.0, 0.0])]
+    got = K.topk_digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    exact = brute(rows, 10)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {x[:3] for x in exact}
+    end = (1 << 63) - 1
+    assert {tuple(r) for r in got} == {(*x[:3], max(-end, min(x[3], end))) for x in exact}
