@@ -1,7 +1,7 @@
 """Secret scans: a trigram inverted index per block of texts, Boolean trigram queries, then the regexes.
 
 Every rule's regex yields a Boolean query over trigrams that any match must hold. Each block of rows (an Arrow batch)
-gets an inverted index of those trigrams; the postings are intersected and united as the query says, and only the
+gets an inverted index, made of its texts' own trigrams as far as a query names them; the postings are intersected and united as the query says, and only the
 candidate rows meet the regex. A rule with no mandatory trigram (the hex rule) scans every row. The index follows the
 data's own blocks, so nothing is shuffled and its size is bounded by the batch.
 
@@ -10,7 +10,6 @@ Null and empty texts have no spans. Rows are independent: ties, repeated rows an
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._parser as sre
 from collections.abc import Iterator
@@ -127,10 +126,28 @@ def _compiled(rules: tuple[Rule, ...]):
     return [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z in lower case
+
+
+def _code(trigram: str) -> int:
+    a, b, c = trigram.encode("ascii")
+    return a << 16 | b << 8 | c
+
+
 def build_index(texts: list[str], trigrams: set[str]) -> dict[str, np.ndarray]:
-    """Postings of one block: the row numbers, ascending, whose text holds each trigram in any case."""
-    low = [x.lower() for x in texts]
-    return {t: np.flatnonzero(np.fromiter((t in x for x in low), bool, len(low))) for t in trigrams}
+    """Postings of one block, from the texts' own trigrams: every three bytes in a row (A-Z in lower case, a zero byte between
+    texts) are looked up among the rules' trigrams, and the row numbers of those found are collected, ascending. The other
+    trigrams of the texts have no postings, as no query names them."""
+    wanted = {_code(t): t for t in trigrams}
+    known, data = np.zeros(1 << 24, bool), [x.encode("utf-8", "surrogatepass") for x in texts]
+    known[list(wanted)] = True
+    ends = np.cumsum([len(x) + 1 for x in data])
+    flat = _FOLD[np.frombuffer(b"\0".join([*data, b""]), np.uint8)].astype(np.uint32)
+    codes = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:] if len(flat) > 2 else np.empty(0, np.uint32)
+    hits = np.flatnonzero(known[codes])
+    rows, codes = np.searchsorted(ends, hits, "right"), codes[hits]
+    return {t: np.unique(rows[codes == c]) for c, t in wanted.items()}
 
 
 def candidates(index: dict[str, np.ndarray], query: Query, rows: int) -> np.ndarray:
@@ -182,21 +199,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def secret_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: counts and digest of the base kinds, and all spans as text."""
-    names = {r.kind for r in BASE_RULES}
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for kinds, starts, ends in zip(pdf["kinds"], pdf["starts"], pdf["ends"], strict=True):
-                marks = [f"{k}:{a}:{e}" for k, a, e in zip(kinds, starts, ends, strict=True)]
-                base = ",".join(m for m, k in zip(marks, kinds, strict=True) if k in names)
-                count = {k: 0 for k in names}
-                for k in kinds:
-                    if k in names:
-                        count[k] += 1
-                rows.append((count["assign"], count["access"], count["hex"], hashlib.sha256(base.encode()).hexdigest(), ",".join(marks)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"], index=pdf.index)
-            yield pd.concat([pdf[["doc_id"]], out], axis=1)
-
-    found = find_secrets(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return found.mapInPandas(digest, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    names = [r.kind for r in BASE_RULES]
+    span = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.struct(s["kinds"].alias("kind"), F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")).alias("mark")))
+    found = find_secrets(docs).select("doc_id", span.alias("_spans"))
+    marks = lambda keep: F.array_join(F.transform(F.filter("_spans", keep), lambda s: s["mark"]), ",")
+    number = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in names]
+    return found.select("doc_id", *counts, F.sha2(marks(lambda s: s["kind"].isin(names)), 256).alias("base_sha256"), marks(lambda s: F.lit(True)).alias("spans"))
