@@ -140,14 +140,18 @@ def convert_arc(archives: DataFrame, part: int = 500) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, _RECORDS)
 
 
-def pages_as_arc(pages: DataFrame, version: str = "1", part: int = 500, date: str = "20240101000000") -> DataFrame:
-    """ARC files (path, content) of up to part pages each, HTTP responses whose head carries page_id as the record's key."""
+def pages_as_arc(pages: DataFrame, version: str = "1", part: int = 500, date: str = "20240101000000", most: int = 1 << 25) -> DataFrame:
+    """ARC files (path, content) of up to part pages and about most bytes each (or of one page), HTTP responses whose head
+    carries page_id as the record's key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), part):
-                some = pdf.iloc[a : a + part]
-                records = []
+            size = pdf["html"].str.len().to_numpy().cumsum()
+            a = 0
+            while a < len(pdf):
+                b = max(a + 1, min(a + part, int(size.searchsorted(most + (size[a - 1] if a else 0), "right"))))
+                some, records = pdf.iloc[a:b], []
+                a = b
                 for key, url, html in zip(some["page_id"], some["url"], some["html"], strict=True):
                     body = html.encode()
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{KEY_FIELD}: {key}\r\n\r\n"
@@ -181,7 +185,12 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = 5000, compression: str = "gzip") -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = 5000, compression: str = "gzip", most: int = 1 << 29) -> None:
+    """Archives of up to per_file records, and of fewer where records are so long that an archive might exceed most bytes (but
+    of one record at least). Reads the largest length first."""
+    longest = records.agg(F.max(F.col("payload_bytes"))).first()[0] or 0
+    per_file = max(1, min(per_file, most // (longest + 4096)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"record": [warc_record(r) for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]})
@@ -242,6 +251,8 @@ def warc_round_trip(pages: DataFrame, version: str = "1") -> DataFrame:
     """Pages as ARC files, converted, written as WARC archives in the shared folder, and read back: the contract's columns."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(mark_revisits(convert_arc(pages_as_arc(pages, version))), path)
+    records = convert_arc(pages_as_arc(pages, version))
+    records.write.option("compression", "zstd").parquet(f"{path}-records")  # converted once, read for the digests and for the records
+    write_warc(mark_revisits(spark.read.schema(records.schema).parquet(f"{path}-records")), path)
     number = F.expr("TRY_CAST(key AS BIGINT)").alias("page_id")
     return read_warc(spark, path).select(number, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
