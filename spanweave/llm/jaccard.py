@@ -156,11 +156,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _may_hold(texts: DataFrame, family: DataFrame, most_bits: int = 1 << 24) -> DataFrame:
-    """The rows of texts whose doc_id is in the family, and few others: a bitmap of hashed doc_ids, of at most most_bits bits
+    """The rows of texts whose doc_id and place are in the family, and few others: a bitmap of their hashes, of at most most_bits bits
     (a broadcast table of most_bits / 64 rows at most), so that other texts needn't be sent to the join after it. A full
     bitmap lets all pass."""
     bits = min(most_bits, 1 << max(10, (16 * family.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "place"), F.lit(bits))
     bitmap = family.select(place.alias("_p")).groupBy(F.expr("_p div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_p % 64 as int)))").alias("_bits"))
     held = texts.withColumn("_p", place).withColumn("_word", F.expr("_p div 64")).join(F.broadcast(bitmap), "_word")
     return held.where(F.expr("(shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1) = 1")).drop("_word", "_bits", "_p")
@@ -188,13 +188,14 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     """doc_id, place, class (a key), class_id, n_links and copies of every document."""
     small_batches(docs.sparkSession)
     sketch = saved(_sketches(docs), "sketch")
-    sets = saved(sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "place"))  # one row stands for the set
+    sets = saved(sketch.groupBy("key").agg(one.alias("one"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
 
     # Nodes are 64-bit: keys that meet in one node only share a family, whose pairs are verified.
     member = sets.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
     near = components(member.join(shared, "bucket").select(F.col("node").alias("a"), "b"))
-    family = saved(near.join(sets.drop("bands").withColumn("node", F.xxhash64("key")), "node").drop("node"), "families")
+    family = saved(near.join(sets.drop("bands", "doc_id").withColumn("node", F.xxhash64("key")), "node").drop("node").select("*", "one.*").drop("one"), "families")
 
     size = family.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("mass"))
     size = size.withColumn("blocks", F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("mass") / block_shingles), F.lit(1)).cast("int"))
@@ -212,8 +213,10 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
             out = pdf.drop(columns="text").assign(shingles=[s.tobytes() for s in own], signature=[minhash(s).tobytes() for s in own])
             yield out[right]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = _may_hold(texts, family).join(family.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("key", "component", "copies", "blocks", "text")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    held = _may_hold(texts, family.withColumn("doc_id", F.col("id"))).dropDuplicates(["none", "id", "place"])  # repeated rows are one text
+    joined = held.join(family, ["none", "id", "place"]).select("key", "component", "copies", "blocks", "text")
     loaded = joined.mapInPandas(load, "key binary, component long, copies long, blocks int, shingles binary, signature binary")
     loaded = loaded.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
