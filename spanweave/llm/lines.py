@@ -186,12 +186,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
-    """The columns of docs, with text without the deleted blocks and n_chars (if there) its length, and n_deleted (lines).
+    """The columns of docs, with text without the deleted blocks and n_chars (if there) its length, and n_deleted (lines), which
+    stands in for a column of that name in docs.
     every: align with all earlier holders of a line, not with its first one alone."""
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
     gone = deletions(docs, min_words, every)
     out = keyed.join(gone, "_doc", "left")
-    kept = F.array_join(F.filter(_pieces("text"), lambda x, i: ~F.array_contains("gone", i)), "")
+    places = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get("_pieces", i)), "")
+    out = out.withColumn("_pieces", F.when(F.col("gone").isNotNull(), _pieces("text")))
     out = out.withColumn("_new", F.when(F.col("gone").isNull(), F.col("text")).when(F.regexp_replace(kept, r"^\s+$", "") == "", F.lit("")).otherwise(kept))
     new = {"text": F.col("_new"), "n_chars": F.coalesce(F.length("_new"), F.lit(0)).cast("long")}
     return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns if c != "n_deleted"], F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"))
