@@ -188,7 +188,10 @@ def score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns of docs."""
-    names = docs.columns
-    scored = docs.select(F.struct(*names).alias("_row"), score_column(train(docs, labels)).alias("_score"))
+    """The documents that the classifier doesn't reject, with the columns of docs. Without labels of both classes there is
+    nothing to tell documents apart by, so all stay."""
+    names, model = docs.columns, train(docs, labels)
+    if model.slope == 0:
+        return docs
+    scored = docs.select(F.struct(*names).alias("_row"), score_column(model).alias("_score"))
     return scored.where(F.col("_score") >= threshold).select("_row.*")
