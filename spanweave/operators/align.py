@@ -72,13 +72,19 @@ def _watermark(config: AlignConfig, suffix: str) -> Column:
     return F.when(known, (F.least(*seen) if len(seen) > 1 else seen[0]) - F.lit(float(config.allowed_lateness_ms)))
 
 
-def classify(events: DataFrame, config: AlignConfig, order: list | None = None, block: Column | None = None) -> DataFrame:
-    """Dispositions of events in the given order; without one, offline: by (t, stream, id), in blocks of time."""
-    grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
+def _spans(events: DataFrame, config: AlignConfig) -> DataFrame:
+    """Normalised events with their horizon, the time that they reach to."""
     rows = normalise(events, config)
-    rows = rows.withColumn("horizon", F.when(F.col("duration_ms") == 0, next_up(F.col("t"))).otherwise(F.col("t") + F.col("duration_ms")))
+    return rows.withColumn("horizon", F.when(F.col("duration_ms") == 0, next_up(F.col("t"))).otherwise(F.col("t") + F.col("duration_ms")))
+
+
+def classify(events: DataFrame, config: AlignConfig, order: list | None = None, block: Column | None = None, lenient: bool = False) -> DataFrame:
+    """Dispositions of events in the given order; without one, offline: by (t, stream, id), in blocks of a hop each (as many
+    as there are windows, which are limited). Under the reject policy a late event raises; lenient: it is marked rejected."""
+    grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
+    rows = _spans(events, config)
     if order is None:
-        order, block = ["t", "stream", "id"], F.floor((F.col("t") - grid.origin) / (64 * grid.hop))
+        order, block = ["t", "stream", "id"], F.floor((F.col("t") - grid.origin) / grid.hop)
     values = {f"_m{k}": ("max", F.when(F.col("stream") == s, F.col("t"))) for k, s in enumerate(config.required_streams)}
     if values:
         rows = prefix_scan(rows, values, block, order)
@@ -91,7 +97,8 @@ def classify(events: DataFrame, config: AlignConfig, order: list | None = None,
     overlap = lambda i: (grid.start(i) < F.col("horizon")) & (F.col("t") < grid.end(i))
     idx = F.when(~dropped & (F.col("first_idx") <= F.col("last_idx")), F.filter(F.sequence("first_idx", "last_idx"), overlap)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("idxs", idx)
-    kind = F.when(F.col("_late") & (F.lit(config.late_policy) == "reject"), "rejected").when(dropped, "dropped").when(F.size("idxs") == 0, "unassigned").when(F.col("_late"), "late").otherwise("ok")
+    refused = F.lit("rejected") if lenient else F.raise_error(F.format_string("event %s at %s is late under the reject policy", F.col("id"), F.col("t").cast("string"))).cast("string")
+    kind = F.when(F.col("_late") & (F.lit(config.late_policy) == "reject"), refused).when(dropped, "dropped").when(F.size("idxs") == 0, "unassigned").when(F.col("_late"), "late").otherwise("ok")
     return rows.withColumn("disposition", kind).drop("_n", "_late", "_obsolete", "first_idx")
 
 
@@ -102,12 +109,26 @@ def check_identity(events: DataFrame) -> None:
         raise ValidationError(f"event id {again['id']!r} occurs {again['count']} times")
 
 
-def _build(rows: DataFrame, config: AlignConfig, events: DataFrame) -> Alignment:
+def _total(rows: DataFrame, config: AlignConfig, events: DataFrame, in_order: bool) -> DataFrame:
+    """One row: the number of windows, up to the last closed one and the last one that a live event reaches.
+
+    The last watermark follows from each stream's latest event. Unless late events are dropped (which events in order of time
+    never are), every event counts: one that is obsolete reaches no further than the windows that are closed anyway."""
+    grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
+    if not in_order and config.late_policy == "drop":
+        reach, rows = F.when(F.col("disposition") != "dropped", F.col("last_idx")), rows
+    else:
+        rows = _spans(events, config)
+        reach = grid.last(F.col("horizon"))
+    seen = [F.max(F.when(F.col("stream") == s, F.col("t"))).alias(f"_m{k}") for k, s in enumerate(config.required_streams)]
+    return rows.agg(F.max(reach).alias("_reach"), *seen).select(F.greatest(grid.closed(_watermark(config, "")), F.col("_reach") + 1).alias("total"))
+
+
+def _build(rows: DataFrame, config: AlignConfig, events: DataFrame, in_order: bool) -> Alignment:
     grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
     live = F.col("disposition") != "dropped"
     members = rows.where(live).select(F.explode("idxs").alias("idx"), "id", "stream", "modality", "t", "duration_ms", *[c for c in ("data",) if c in rows.columns])
-    total = rows.agg(F.greatest(F.max(grid.closed(F.col("watermark_ms"))), F.max(F.when(live, F.col("last_idx"))) + 1).alias("total"))
-    dense = total.where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("total") <= config.max_output_windows, F.col("total") - 1).otherwise(F.raise_error(F.lit(f"more than {config.max_output_windows} windows")).cast("long")))).alias("idx"))
+    dense = _total(rows, config, events, in_order).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("total") <= config.max_output_windows, F.col("total") - 1).otherwise(F.raise_error(F.lit(f"more than {config.max_output_windows} windows")).cast("long")))).alias("idx"))
     found = members.groupBy("idx").agg(F.count(F.lit(1)).alias("n_events"), F.collect_set("stream").alias("streams"), F.array_sort(F.collect_set("modality")).alias("modalities"))
     required = F.array(*map(F.lit, config.required_streams)) if config.required_streams else F.array().cast("array<string>")
     windows = dense.join(found, "idx", "left").select(
@@ -124,26 +145,26 @@ def _build(rows: DataFrame, config: AlignConfig, events: DataFrame) -> Alignment
 
 
 def align(events: DataFrame, config: AlignConfig, check: bool = False) -> Alignment:
-    """Offline alignment. check: look for repeated ids and, under the reject policy, late events first (two actions)."""
-    return _checked(classify(events, config), config, events, check)
+    """Offline alignment, in order of time, in which no event is late. check: look for repeated ids and too many windows first."""
+    return _checked(classify(events, config, lenient=check), config, events, check, True)
 
 
 def replay(events: DataFrame, config: AlignConfig, check: bool = False, positions_a_block: int = ARRIVALS_A_BLOCK) -> Alignment:
-    """Alignment of events in order of arrival_pos. Sparse positions need wider blocks: one holds what a task scans."""
-    rows = classify(events, config, ["arrival_pos"], F.expr(f"arrival_pos div {positions_a_block}"))
-    return _checked(rows, config, events, check)
+    """Alignment of events in order of arrival_pos. Sparse positions need wider blocks: one holds what a task scans. Under the
+    reject policy the job fails on a late event; check: it is looked for first, as are repeated ids (actions of their own)."""
+    rows = classify(events, config, ["arrival_pos"], F.expr(f"arrival_pos div {positions_a_block}"), lenient=check)
+    return _checked(rows, config, events, check, False)
 
 
-def _checked(rows: DataFrame, config: AlignConfig, events: DataFrame, check: bool) -> Alignment:
+def _checked(rows: DataFrame, config: AlignConfig, events: DataFrame, check: bool, in_order: bool) -> Alignment:
     if check:
         check_identity(events)
-        first = [F.col("arrival_pos")] if "arrival_pos" in rows.columns else [F.col("t"), F.col("stream"), F.col("id")]
-        if config.late_policy == "reject" and (bad := rows.where("disposition = 'rejected'").orderBy(*first).first()):
+        if not in_order and config.late_policy == "reject" and (bad := rows.where("disposition = 'rejected'").orderBy("arrival_pos").first()):
             raise LateEventError(f"event {bad['id']!r} at {bad['t']} is late")
         span = rows.where("disposition <> 'dropped'").agg(F.max("last_idx")).first()[0]
         if span is not None and span >= config.max_output_windows:
             raise LimitError(f"{span + 1} windows; {config.max_output_windows} at most")
-    return _build(rows, config, events)
+    return _build(rows, config, events, in_order)
 
 
 def window_events(alignment: Alignment) -> DataFrame:

@@ -63,11 +63,17 @@ def classify(control: DataFrame, spec: FoldWindow) -> DataFrame:
 
 
 def members(control: DataFrame, spec: FoldWindow, check: bool = False) -> DataFrame:
-    """One row per arrival and window: pos, key, idx, timestamp, value."""
+    """One row per arrival and window: pos, key, idx, timestamp, value. Under the reject policy a late arrival raises, check
+    being an action that looks for the first one before."""
     rows = classify(control, spec)
     if check and spec.late_policy == "reject" and (bad := rows.where("state = 'late'").orderBy("pos").first()):
         raise LateEventError(f"arrival {bad['pos']} at {bad['timestamp']} is below the watermark {bad['watermark']}")
-    return rows.where("state = 'ok'").select("pos", "key", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"), "timestamp", "value")
+    if spec.late_policy == "reject":
+        late = F.raise_error(F.format_string("arrival %d at %d is below the watermark", F.col("pos"), F.col("timestamp"))).cast("boolean")
+        rows = rows.where(F.when(F.col("state") == "late", late).otherwise(F.col("state") == "ok"))  # alone, as with state = 'ok' the optimizer would drop it
+    else:
+        rows = rows.where("state = 'ok'")
+    return rows.select("pos", "key", F.explode(F.sequence("first_idx", "last_idx")).alias("idx"), "timestamp", "value")
 
 
 def fold(control: DataFrame, spec: FoldWindow, aggregates: dict[str, Column], check: bool = False) -> DataFrame:
@@ -86,8 +92,20 @@ def fold_ordered(control: DataFrame, spec: FoldWindow, zero: Column, merge: Call
     return _eligible(out, control, spec)
 
 
+def check_control(control: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """One row: the last watermark (_mark) and whether the input is finished (_finished). Raises where a watermark is below one
+    before it, or where an arrival or a watermark follows the finish (repeated ones are fine)."""
+    marks = prefix_scan(control.where("op = 'watermark'"), {"_seen": ("max", F.col("timestamp"))}, F.expr(f"pos div {block}"), ["pos"])
+    back = F.raise_error(F.format_string("the watermark at %d goes back to %d", F.col("pos"), F.col("timestamp"))).cast("long")
+    mark = marks.agg(F.max(F.when(F.col("timestamp") < F.col("_seen_before"), back).otherwise(F.col("timestamp"))).alias("_mark"))
+    ends = control.agg(F.min(F.when(F.col("op") == "finish", F.col("pos"))).alias("_end"), F.max(F.when(F.col("op").isin("process", "watermark"), F.col("pos"))).alias("_last"))
+    after = F.raise_error(F.format_string("position %d follows the finish", F.col("_last"))).cast("boolean")
+    finished = F.when(F.col("_last") > F.col("_end"), after).otherwise(F.col("_end").isNotNull()).alias("_finished")
+    return mark.crossJoin(F.broadcast(ends.select(finished)))  # two rows of one
+
+
 def _eligible(cells: DataFrame, control: DataFrame, spec: FoldWindow) -> DataFrame:
-    end = control.agg(F.max(F.when(F.col("op") == "watermark", F.col("timestamp"))).alias("_mark"), F.coalesce(F.bool_or(F.col("op") == "finish"), F.lit(False)).alias("_finished"))
+    end = check_control(control)
     out = cells.withColumn("start", spec.start(F.col("idx"))).withColumn("end", F.col("start") + spec.width)
     out = out.crossJoin(F.broadcast(end)).where(F.col("_finished") | (F.col("end") <= F.col("_mark"))).drop("_mark", "_finished")
     rest = [c for c in out.columns if c not in ("key", "idx", "start", "end")]

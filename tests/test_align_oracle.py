@@ -66,6 +66,8 @@ def test_reject_and_identity(spark):
     c = AlignConfig(100.0, required_streams=("a",))
     with pytest.raises(LateEventError):
         A.replay(spark.createDataFrame(events, SCHEMA), c, check=True)
+    with pytest.raises(Exception, match="late under the reject policy"):
+        A.replay(spark.createDataFrame(events, SCHEMA), c).windows.collect()
     assert A.align(spark.createDataFrame(events, SCHEMA), c, check=True).windows.count() == 6
     with pytest.raises(ValidationError):
         A.align(spark.createDataFrame([events[0], events[0]], SCHEMA), c, check=True)

@@ -70,6 +70,21 @@ def test_late_folds(spark):
     out = folds.fold(control, folds.FoldWindow(10, late_policy="drop"), {"s": F.sum("value")})
     assert sorted((r.idx, r.s) for r in out.collect()) == [(0, 1), (1, 2)]
     assert folds.counters(control, folds.FoldWindow(10)).first().late == 1
+    with pytest.raises(Exception, match="below the watermark"):
+        folds.fold(control, folds.FoldWindow(10), {"s": F.sum("value")}).collect()
+
+
+def test_controls_that_go_back(spark):
+    schema = "pos long, op string, timestamp long, key string, value long"
+    rows = [(0, "process", 5, "a", 1), (1, "watermark", 10, None, None), (200_000, "watermark", 9, None, None)]
+    total = {"s": F.sum("value")}
+    with pytest.raises(Exception, match="goes back to 9"):
+        folds.fold(spark.createDataFrame(rows, schema), folds.FoldWindow(10), total).collect()
+    rows = [(0, "process", 5, "a", 1), (1, "finish", None, None, None), (2, "process", 6, "a", 1)]
+    with pytest.raises(Exception, match="position 2 follows the finish"):
+        folds.fold(spark.createDataFrame(rows, schema), folds.FoldWindow(10), total).collect()
+    rows = [(0, "process", 5, "a", 1), (1, "watermark", 7, None, None), (2, "watermark", 7, None, None), (3, "finish", None, None, None), (4, "finish", None, None, None)]
+    assert [r.s for r in folds.fold(spark.createDataFrame(rows, schema), folds.FoldWindow(10), total).collect()] == [1]
 
 
 def test_journal_chain_conflicts_and_cursor(spark):
