@@ -161,3 +161,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
 
 def topk_digest(embeddings: DataFrame) -> DataFrame:
     return top_k(embeddings, F.coalesce(F.pmod("vec_id", F.lit(100)) == 0, F.lit(False)))
+
+
+#: DuckDB SQL for the rows of topk_digest() (all products; exact while they are below 2^53).
+ORACLE_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_dot_product(q.e, p.e) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id, score FROM r WHERE rank <= 10
+"""

@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from spanweave.llm import topk as K
@@ -58,3 +59,12 @@ def test_components_and_scores_beyond_a_long(spark):
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {x[:3] for x in exact}
     end = (1 << 63) - 1
     assert {tuple(r) for r in got} == {(*x[:3], max(-end, min(x[3], end))) for x in exact}
+
+
+def test_against_sql(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    got = K.topk_digest(spark.read.parquet(path)).collect()
+    want = connection.sql(K.ORACLE_SQL).project("query_id, rank, vec_id, score").fetchall()
+    assert len(got) == len(want) > 0 and set(map(tuple, got)) == set(want)
