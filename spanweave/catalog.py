@@ -73,10 +73,9 @@ def _clocked(spark: SparkSession, d: str) -> DataFrame:
     return clock.normalise(_events(spark, d), config)
 
 
-def _anchors(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """Anchors of a simulated clock: the first 200 signups or every one, observed with an offset, a drift and a jitter."""
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of a simulated clock: every signup, observed with an offset, a drift and a jitter."""
     e = _table(spark, d, "events").where("event_type = 'signup'")
-    e = e if every else e.orderBy("event_id").limit(200)
     ref = _millis().cast("double")
     return e.select(ref.alias("reference_ms"), (ref - 250.0 - (ref - ORIGIN) * 0.0001 + F.col("event_id") % 7).alias("observed_ms"))
 
@@ -241,10 +240,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sessions_with_duration": lambda s, d: _sessions(_events(s, d).withColumn("duration_ms", F.col("duration_ms") + 1000.0)),
         "partition_events": lambda s, d: sessions.partition_events(_events(s, d), 7).select("id", "partition_id"),
         "clock_normalise": lambda s, d: _clocked(s, d).select("id", F.floor("t").alias("t")),
-        "offset_fit": lambda s, d: _rounded(clock.estimate_offset(_anchors(s, d))),
-        "drift_fit": lambda s, d: _rounded(clock.estimate_drift(_anchors(s, d))),
-        "offset_fit_every": lambda s, d: _rounded(clock.estimate_offset(_anchors(s, d, every=True))),
-        "drift_fit_every": lambda s, d: _rounded(clock.estimate_drift(saved(clock.sliced_anchors(_anchors(s, d, every=True)), "anchors"))),
+        **dict.fromkeys(("offset_fit", "offset_fit_every"), lambda s, d: _rounded(clock.estimate_offset(_anchors(s, d)))),
+        **dict.fromkeys(("drift_fit", "drift_fit_every"), lambda s, d: _rounded(clock.estimate_drift(saved(clock.sliced_anchors(_anchors(s, d)), "anchors")))),
         "band_join": lambda s, d: _band(s, d, False),
         "band_join_with_windows": lambda s, d: _band(s, d, True),
         "flow_map_filter": lambda s, d: steps.filter_records(steps.map_values(_records(s, d), F.col("value") * 3 + 1), F.col("value") % 2 == 0),
@@ -335,9 +332,8 @@ SELECT (row_number() OVER (ORDER BY stream, a) - 1)::BIGINT AS idx, stream, sess
 
 
 _ANCHORS = f"""a AS (SELECT r AS reference_ms, r - 250.0::DOUBLE - (r - {ORIGIN}::DOUBLE) * 0.0001::DOUBLE + event_id % 7 AS observed_ms
-  FROM (SELECT epoch_ms(ts)::DOUBLE AS r, event_id FROM events WHERE event_type = 'signup' ORDER BY event_id LIMIT 200))"""
-_EVERY = _ANCHORS.replace(" ORDER BY event_id LIMIT 200", "")
-_SLICED = f"""{_EVERY.replace("a AS (", "v AS (", 1)}, w AS (SELECT min(reference_ms) AS lo, max(reference_ms) AS hi FROM v),
+  FROM (SELECT (epoch_us(ts) // 1000)::DOUBLE AS r, event_id FROM events WHERE event_type = 'signup'))"""
+_SLICED = f"""{_ANCHORS.replace("a AS (", "v AS (", 1)}, w AS (SELECT min(reference_ms) AS lo, max(reference_ms) AS hi FROM v),
   a AS (SELECT median(reference_ms) AS reference_ms, median(observed_ms) AS observed_ms FROM v, w
   GROUP BY CASE WHEN hi > lo THEN least(1023, floor((reference_ms - lo) * 1024 / (hi - lo))) ELSE 0 END)"""
 _TAGGED = "t AS (SELECT event_id AS pos, event_type AS side, user_id || '-' || (date_diff('day', DATE '1970-01-01', ts::DATE) // 3) AS key, event_type || ':' || event_id AS value FROM events WHERE event_type IN ('click', 'view', 'purchase'))"
@@ -403,10 +399,8 @@ SELECT stream, round(p + {4 * HOUR / 10}::DOUBLE, 3) AS start_ms, round(t, 3) AS
         "sessions_with_duration": _sessions_sql("(d + 1000.0::DOUBLE)"),
         "partition_events": "SELECT 'e' || event_id AS id, (('0x' || substr(sha256('e' || event_id), 1, 16))::UBIGINT % 7)::INTEGER AS partition_id FROM events",
         "clock_normalise": f"WITH {_E} SELECT id, floor(t + CASE {offsets} WHEN stream = 'error' THEN 120.0::DOUBLE + 250.0::DOUBLE * 0.000001::DOUBLE * (t - {ORIGIN}::DOUBLE) ELSE 0 END)::BIGINT AS t FROM e",
-        "offset_fit": f"WITH {_ANCHORS}, o AS (SELECT median(reference_ms - observed_ms) AS offset_ms FROM a) SELECT round(offset_ms, 2) AS offset_ms, round(median({residual}), 2) AS mad_ms, round(max({residual}), 2) AS max_residual_ms, count(*) AS anchors FROM a, o GROUP BY offset_ms",
-        "drift_fit": f"WITH {_ANCHORS}, {pairs} SELECT round(rate_ppm, 2) AS rate_ppm, round(epoch_ms, 2) AS epoch_ms, round(offset_ms, 2) AS offset_ms, anchors, usable_pairs, round(median(abs(ee - offset_ms)), 2) AS mad_ms, round(max(abs(ee - offset_ms)), 2) AS max_residual_ms FROM x, o GROUP BY ALL",
-        "offset_fit_every": f"WITH {_EVERY}, o AS (SELECT median(reference_ms - observed_ms) AS offset_ms FROM a) SELECT round(offset_ms, 2) AS offset_ms, round(median({residual}), 2) AS mad_ms, round(max({residual}), 2) AS max_residual_ms, count(*) AS anchors FROM a, o GROUP BY offset_ms",
-        "drift_fit_every": f"WITH {_SLICED}, {pairs} SELECT round(rate_ppm, 2) AS rate_ppm, round(epoch_ms, 2) AS epoch_ms, round(offset_ms, 2) AS offset_ms, anchors, usable_pairs, round(median(abs(ee - offset_ms)), 2) AS mad_ms, round(max(abs(ee - offset_ms)), 2) AS max_residual_ms FROM x, o GROUP BY ALL",
+        **dict.fromkeys(("offset_fit", "offset_fit_every"), f"WITH {_ANCHORS}, o AS (SELECT median(reference_ms - observed_ms) AS offset_ms FROM a) SELECT round(offset_ms, 2) AS offset_ms, round(median({residual}), 2) AS mad_ms, round(max({residual}), 2) AS max_residual_ms, count(*) AS anchors FROM a, o GROUP BY offset_ms"),
+        **dict.fromkeys(("drift_fit", "drift_fit_every"), f"WITH {_SLICED}, {pairs} SELECT round(rate_ppm, 2) AS rate_ppm, round(epoch_ms, 2) AS epoch_ms, round(offset_ms, 2) AS offset_ms, anchors, usable_pairs, round(median(abs(ee - offset_ms)), 2) AS mad_ms, round(max(abs(ee - offset_ms)), 2) AS max_residual_ms FROM x, o GROUP BY ALL"),
         "band_join": _grid_sql(SLIDING, band.format("")),
         "band_join_with_windows": _grid_sql(SLIDING, band.format(common)),
         "flow_map_filter": f"WITH {_R} SELECT pos, ordinal, key, value * 3 + 1 AS value FROM r WHERE (value * 3 + 1) % 2 = 0",
