@@ -188,6 +188,18 @@ def knapsack(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np
     return best[pad:], choice
 
 
+def best_configuration(weights: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
+    """How many of each item (by position) have the highest value within the capacity."""
+    choice, out, c = knapsack(weights, values, capacity)[1], Counter(), capacity
+    while c > 0:
+        if choice[c] < 0:
+            c -= 1
+        else:
+            out[int(choice[c])] += 1
+            c -= int(weights[choice[c]])
+    return dict(out)
+
+
 def configurations(weights: np.ndarray, choice: np.ndarray, capacity: int) -> np.ndarray:
     """Row k: how many of each item the best configuration with at least one item k holds, from knapsack()'s choices."""
     rows = np.eye(len(weights), dtype=np.int64)
