@@ -10,7 +10,7 @@ from spanweave import catalog
 from spanweave.operators import align as A
 from spanweave.schema import AlignConfig
 from spanweave.session import build_session
-from spanweave.sources.jsonl import generate_round_robin
+from spanweave.sources.jsonl import generate_round_robin, round_robin_streams
 
 
 def main() -> None:
@@ -29,7 +29,7 @@ def main() -> None:
     timed("warm-up", lambda: queries["align_tumbling"](spark, sf))
     for name, query in queries.items():
         timed(name, lambda query=query: query(spark, sf))
-    config = AlignConfig(100.0, required_streams=("s0", "s1", "s2"))
+    config = AlignConfig(100.0, required_streams=round_robin_streams(3))
     for n in (3_000, 100_000, 1_000_000):
         for mode, run in (("offline", A.align), ("replay", A.replay)):
             timed(f"round_robin_{mode}_{n}", lambda n=n, run=run: run(generate_round_robin(spark, n, 3), config).windows)

@@ -95,6 +95,13 @@ class AlignConfig:
         number(self.gap_factor, "gap_factor", above=1)
         if self.late_policy not in ("reject", "drop", "accept"):
             raise ValidationError(f"late_policy: {self.late_policy!r}")
+        for name in ("max_events_per_window", "max_output_windows"):
+            if type(getattr(self, name)) is not int or getattr(self, name) < 1:
+                raise ValidationError(f"{name} must be a positive integer")
+        for stream, value in self.offsets_ms.items():
+            number(value, f"offset of {stream}")
+        if not all(isinstance(s, str) and s for s in self.required_streams):
+            raise ValidationError("required_streams must hold names")
         if len(set(self.required_streams)) != len(self.required_streams):
             raise ValidationError("required_streams repeats a stream")
         if set(self.offsets_ms) & set(self.clock_drifts):

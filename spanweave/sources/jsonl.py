@@ -7,12 +7,7 @@ first error by position, lenient ones return both.
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import re
 from collections.abc import Iterator
-from datetime import datetime
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +15,10 @@ from pyspark.sql import functions as F
 
 from spanweave.functions.values import canonical, check_value, parse_strict
 from spanweave.schema import ValidationError
+from spanweave.sources.cloudevents import cloud_event
 
-# Fields of the native event and the CloudEvents attributes that are read.
+# Fields of the native event.
 EVENT_FIELDS = {"id", "stream", "modality", "timestamp_ms", "duration_ms", "data"}
-_TIME = re.compile(r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d{1,3}))?(Z|[+-]\d\d:\d\d)\Z")
-_ATTRIBUTE = re.compile(r"[a-z0-9]{1,20}\Z")
 _ROWS = "line_no long, id string, stream string, modality string, timestamp_ms double, duration_ms double, data string, error string"
 _COLUMNS = ["line_no", "id", "stream", "modality", "timestamp_ms", "duration_ms", "data", "error"]
 
@@ -65,36 +59,6 @@ def native_event(payload: dict) -> tuple:
     return label(payload.get("id"), "id"), label(payload.get("stream"), "stream"), label(payload.get("modality"), "modality"), t, d, canonical(data)
 
 
-def epoch_ms(text: str) -> float:
-    """RFC 3339 of millisecond precision at most."""
-    m = _TIME.match(text or "")
-    if not m:
-        raise ValueError("time must be RFC 3339 with three decimals at most")
-    base = datetime.fromisoformat(m[1] + ("+00:00" if m[3] == "Z" else m[3]))
-    return base.timestamp() * 1000 + int((m[2] or "0").ljust(3, "0"))
-
-
-def cloud_id(source: str, identity: str) -> str:
-    text = f"ce:{quote(source, safe='')}:{quote(identity, safe='')}"
-    return text if len(text) <= 1024 else "ce-sha256:" + hashlib.sha256(text.encode()).hexdigest()
-
-
-def cloud_event(payload: dict) -> tuple:
-    if not isinstance(payload, dict) or payload.get("specversion") != "1.0":
-        raise ValueError("specversion must be 1.0")
-    if bad := [k for k in payload if not _ATTRIBUTE.match(k) and k not in ("data", "data_base64")]:
-        raise ValueError(f"attribute name {bad[0]!r}")
-    source, identity, kind = (label(payload.get(k), k) for k in ("source", "id", "type"))
-    if "data" in payload and "data_base64" in payload:
-        raise ValueError("data and data_base64 exclude each other")
-    data = {k: v for k, v in payload.items() if k not in ("specversion", "id", "source", "type", "time", "stream", "modality", "durationms")}
-    if "data_base64" in payload:
-        base64.b64decode(payload["data_base64"], validate=True)
-    check_value(data)
-    stream, modality = payload.get("stream", source), payload.get("modality", kind)
-    return cloud_id(source, identity), label(stream, "stream"), label(modality, "modality"), epoch_ms(payload.get("time")), finite(payload.get("durationms", 0), "durationms", 0), canonical(data)
-
-
 def _parsed(lines: DataFrame, one) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -144,11 +108,21 @@ def load_records(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).mapInPandas(run, "pos long, key string, value string")
 
 
+def round_robin_streams(streams: int) -> tuple[str, ...]:
+    return tuple(f"stream-{k:02}" for k in range(streams))
+
+
 def generate_round_robin(spark: SparkSession, events: int, streams: int) -> DataFrame:
     """The benchmark's workload: in-order point events dealt to streams in turn, ten milliseconds a round."""
     i, s = F.col("id"), F.lit(streams).cast("long")
     turn, round_ = F.pmod(i, s), F.call_function("div", i, s)
+    modality = F.element_at(F.array(F.lit("video"), F.lit("audio"), F.lit("text")), (F.pmod(i, F.lit(3)) + 1).cast("int"))
     return spark.range(events).select(
-        F.concat(F.lit("e"), i).alias("id"), F.concat(F.lit("s"), turn).alias("stream"), F.lit("synthetic").alias("modality"),
-        (round_ * F.lit(10.0) + turn / s).alias("timestamp_ms"), F.lit(0.0).alias("duration_ms"), F.lit("{}").alias("data"), i.alias("arrival_pos"),
-    )
+        F.format_string("event-%08d", i).alias("id"),
+        F.format_string("stream-%02d", turn).alias("stream"),
+        modality.alias("modality"),
+        (round_ * F.lit(10.0) + turn / s).alias("timestamp_ms"),
+        F.lit(0.0).alias("duration_ms"),
+        F.concat(F.lit('{"sequence":'), i, F.lit("}")).alias("data"),
+        i.alias("arrival_pos"),
+    )

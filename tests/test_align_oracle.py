@@ -75,9 +75,9 @@ def test_reject_and_identity(spark):
 
 
 def test_published_benchmark_shape(spark):
-    from spanweave.sources.jsonl import generate_round_robin
+    from spanweave.sources.jsonl import generate_round_robin, round_robin_streams
 
-    c = AlignConfig(100.0, required_streams=("s0", "s1", "s2"))
+    c = AlignConfig(100.0, required_streams=round_robin_streams(3))
     events = generate_round_robin(spark, 3000, 3)
     for run in (A.align, A.replay):
         rows = run(events, c, check=True).windows.collect()

@@ -156,9 +156,9 @@ def test_strict_readers(spark):
     for bad in ('{"id":"x","id":"y"}', '{"id":"x","stream":"s","modality":"m","timestamp_ms":NaN}', '{"id":"x","stream":"s","modality":"m","timestamp_ms":1,"more":1}', good[0]):
         with pytest.raises(ValidationError, match="line 4|line 2"):
             jsonl.load_events(spark, write("b", *good, bad))
-    ce = {"specversion": "1.0", "id": "1 *~", "source": "/a b", "type": "t", "time": "2024-01-01T00:00:00.250+01:00", "durationms": 5, "data": [1]}
+    ce = {"specversion": "1.0", "id": "1 *~", "source": "/a%20b", "type": "t", "time": "2024-01-01T00:00:00.250+01:00", "durationms": 5, "data": [1]}
     row = jsonl.load_cloudevents(spark, write("c", json.dumps(ce))).first()
-    assert row.id == "ce:%2Fa%20b:1%20%2A~" and row.stream == "/a b" and row.timestamp_ms == 1704063600250.0 and row.duration_ms == 5
+    assert row.id == "ce:%2Fa%2520b:1%20%2A~" and row.stream == "/a%20b" and row.timestamp_ms == 1704063600250.0 and row.duration_ms == 5
     for change in ({"time": "2024-01-01T00:00:00.2501Z"}, {"data_base64": "eA=="}, {"Bad-Name": 1}, {"specversion": "0.3"}):
         assert jsonl.load_cloudevents(spark, write("d", json.dumps(ce | change)), strict=False).first().error
     assert jsonl.load_records(spark, write("e", '{"key":null,"value":{"b":[],"a":"é"}}')).first().value == '{"a":"é","b":[]}'
