@@ -358,6 +358,22 @@ def _join_sql(insert: str, emit: str) -> str:
     return f"WITH {_TAGGED} SELECT key, pos, 0::BIGINT AS ordinal, {cells} FROM t WINDOW w AS (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING)"
 
 
+def _complete_sql(insert: str) -> str:
+    """A key's arrivals in turn, a list of values per side; once no list is empty their product comes out and the key starts anew."""
+    arrived = {"product": "list_append({0}, n.value)", "last": "[n.value]", "first": "CASE WHEN len({0}) > 0 THEN {0} ELSE [n.value] END"}[insert]
+    full = " AND ".join(f"len(r.{s}) > 0" for s in SIDES)
+    held = {s: f"(CASE WHEN {full} THEN []::VARCHAR[] ELSE r.{s} END)" for s in SIDES}
+    start = ", ".join(f"CASE WHEN side = '{s}' THEN [value] ELSE []::VARCHAR[] END AS {s}" for s in SIDES)
+    step = ", ".join(f"CASE WHEN n.side = '{s}' THEN {arrived.format(held[s])} ELSE {held[s]} END" for s in SIDES)
+    cells, width = [], "1"
+    for s in reversed(SIDES):
+        cells.append(f"true AS {s}_present, {s}[ordinal // ({width}) % len({s}) + 1] AS {s}_value")
+        width += f" * len({s})"
+    return f"""WITH RECURSIVE {_TAGGED}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS n FROM t),
+  r AS (SELECT key, pos, n, {start} FROM n WHERE n = 1 UNION ALL SELECT n.key, n.pos, n.n, {step} FROM r JOIN n ON n.key = r.key AND n.n = r.n + 1)
+SELECT key, pos, ordinal, {", ".join(cells)} FROM (SELECT *, unnest(range({width})) AS ordinal FROM r WHERE {full})"""
+
+
 def _members_sql(name: str) -> str:
     s = SPECS[name]
     div = lambda x: f"floor(({x})::DOUBLE / {s.hop})::BIGINT"
@@ -425,4 +441,5 @@ UNION ALL SELECT 'all', 0, pos, 0, 'low' || (value % 3), value::VARCHAR FROM r W
     out["journal_page"] = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' QUALIFY seq BETWEEN 10 AND 1009"
     out["json_lines_round_trip"] = f"WITH {_E} SELECT row_number() OVER (ORDER BY t) - 1 AS arrival_pos, id, stream, round(t, 3) AS timestamp_ms, d AS duration_ms FROM e"
     out |= {f"fold_{n}_sum": _fold_sql(n, sums) for n in SPECS}
+    out |= {f"join_{i}_complete": _complete_sql(i) for i in joins.INSERT}
     return out | {f"join_{i}_{e}": _join_sql(i, e) for i in joins.INSERT for e in ("final", "running")}
