@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.schema import ValidationError
+
 
 def build_session(app: str = "spanweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that results depend on (UTC, ANSI); other settings are the caller's."""
@@ -22,10 +24,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in local tests, one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in local mode, and an error on a cluster, whose
+    executors share no local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValidationError("spark.checkpoint.dir must name a folder that the executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="spanweave-", dir=os.environ.get("TMPDIR", "/tmp"))
