@@ -8,12 +8,15 @@ are put in order of pos, so that a restart or another batching gives the same ro
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spanweave.schema import LimitError, ValidationError
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,35 +46,51 @@ class RunningTotal(StatefulProcessor):
         pass
 
 
-class CompleteJoin(StatefulProcessor):
-    """Tagged arrivals -> a row per combination once every side of a key is present; the key then starts anew."""
+class KeyedJoin(StatefulProcessor):
+    """Tagged arrivals -> rows (pos, key, ordinal, present and value of each side), as the batch join's.
+
+    emit complete: a row per combination once every side of a key is present; the key then starts anew. emit running: the
+    combinations after every arrival, absent sides not present and null. A value that is null is present all the same."""
 
-    def __init__(self, sides: list[str], insert: str = "last"):
-        self.sides, self.insert = sides, insert
-        self.schema = "pos long, key string, ordinal long, " + ", ".join(f"{s}_value string" for s in sides)
+    def __init__(self, sides: list[str], insert: str = "last", emit: str = "complete", max_rows_per_key: int = 1_000_000):
+        if insert not in ("first", "last", "product") or emit not in ("complete", "running"):
+            raise ValidationError(f"insert {insert!r}, emit {emit!r}")
+        self.sides, self.insert, self.emit, self.most = sides, insert, emit, max_rows_per_key
+        self.schema = "pos long, key string, ordinal long, " + ", ".join(f"{s}_present boolean, {s}_value string" for s in sides)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cells = handle.getListState("cells", "side string, value string")
 
+    def _rows(self, cell: dict[str, list]) -> Iterator[tuple]:
+        choices = [[(True, v) for v in cell[s]] if s in cell else [(False, None)] for s in self.sides]
+        if math.prod(map(len, choices)) > self.most:
+            raise LimitError(f"more than {self.most} rows for a key")
+        for k, chosen in enumerate(itertools.product(*choices)):
+            yield k, *itertools.chain.from_iterable(chosen)
+
     def handleInputRows(self, key, rows, timerValues):
         cell: dict[str, list] = {}
         for side, value in self.cells.get():
             cell.setdefault(side, []).append(value)
         out = []
         for pos, side, value in _sorted(rows)[["pos", "side", "value"]].astype(object).itertuples(index=False):
+            if side not in self.sides:
+                continue
             own = cell.setdefault(side, [])
             if self.insert == "product":
                 own.append(value)
             elif self.insert == "last" or not own:
                 own[:] = [value]
-            if all(s in cell for s in self.sides):
-                out += [(pos, key[0], k, *v) for k, v in enumerate(itertools.product(*(cell[s] for s in self.sides)))]
+            full = len(cell) == len(self.sides)
+            if full or self.emit == "running":
+                out += [(pos, key[0], *row) for row in self._rows(cell)]
+            if full and self.emit == "complete":
                 cell = {}
         if cell:
             self.cells.put([(s, v) for s, values in cell.items() for v in values])
         else:
             self.cells.clear()
-        yield pd.DataFrame(out, columns=["pos", "key", "ordinal", *[f"{s}_value" for s in self.sides]])
+        yield pd.DataFrame(out, columns=["pos", "key", "ordinal", *[f"{s}_{part}" for s in self.sides for part in ("present", "value")]])
 
     def close(self) -> None:
         pass
@@ -80,7 +99,8 @@ class CompleteJoin(StatefulProcessor):
 class WindowSum(StatefulProcessor):
     """(pos, key, op, timestamp, value) -> closed windows (key, idx, start, end, input_count, total).
 
-    Control rows (watermark, finish) must come for every key: broadcast them by the caller. Late arrivals are dropped."""
+    Control rows (watermark, drain, finish) must come for every key: broadcast them by the caller. A drain closes what the
+    watermark allows, a finish everything. Late arrivals are dropped; a watermark that goes back and rows after a finish fail."""
 
     schema = "key string, idx long, start long, end long, input_count long, total long"
 
@@ -89,13 +109,15 @@ class WindowSum(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.windows = handle.getMapState("windows", "idx long", "n long, total long")
-        self.mark = handle.getValueState("mark", "tick long")
+        self.mark = handle.getValueState("mark", "tick long, finished boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        mark = self.mark.get()[0] if self.mark.exists() else None
+        mark, finished = self.mark.get() if self.mark.exists() else (None, False)
         out = []
         for op, tick, value in _sorted(rows)[["op", "timestamp", "value"]].astype(object).itertuples(index=False):
             tick = None if tick is None or tick != tick else int(tick)  # pandas makes a column with nulls double
+            if finished:
+                raise ValidationError(f"{op} after the finish of key {key[0]!r}")
             if op == "process":
                 if mark is not None and tick < mark:
                     continue
@@ -103,15 +125,19 @@ class WindowSum(StatefulProcessor):
                     n, total = self.windows.getValue((idx,)) if self.windows.containsKey((idx,)) else (0, 0)
                     self.windows.updateValue((idx,), (n + 1, total + int(value)))
             else:
-                mark = tick if mark is None or op == "watermark" and tick > mark else mark
+                if op == "watermark":
+                    if mark is not None and tick < mark:
+                        raise ValidationError(f"the watermark goes back from {mark} to {tick}")
+                    mark = tick
+                finished = op == "finish"
                 for idx in sorted(k[0] for k in self.windows.keys()):
                     start = self.origin + idx * self.hop
-                    if op == "finish" or start + self.width <= mark:
+                    if finished or mark is not None and start + self.width <= mark:
                         n, total = self.windows.getValue((idx,))
                         out.append((key[0], idx, start, start + self.width, n, total))
                         self.windows.removeKey((idx,))
-        if mark is not None:
-            self.mark.update((mark,))
+        if mark is not None or finished:
+            self.mark.update((mark, finished))
         yield pd.DataFrame(out, columns=["key", "idx", "start", "end", "input_count", "total"])
 
     def close(self) -> None:
@@ -119,5 +145,6 @@ class WindowSum(StatefulProcessor):
 
 
 def stateful(df: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """Works on streaming and batch DataFrames; streams need the RocksDB state store."""
+    """Works on streaming and batch DataFrames; both need the RocksDB state store."""
+    _ = df.sparkSession.streams  # a batch query finds no state store coordinator unless this session's stream manager exists
     return df.groupBy("key").transformWithStateInPandas(processor, processor.schema, outputMode="append", timeMode="None")

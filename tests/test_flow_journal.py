@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanweave import cli
 from spanweave.functions.values import canonical_json
-from spanweave.operators import folds, steps
+from spanweave.operators import folds, joins, steps
 from spanweave.plans.flow import Edge, Graph, Node, linear
 from spanweave.plans.journal import Journal, stream_to_journal
 from spanweave.schema import AlignConfig, ConflictError, LateEventError, ValidationError
@@ -134,14 +134,39 @@ def test_streams_restart_and_equal_batch(spark):
 
 
 def test_processors_in_batch(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB)
     rows = [(0, "a", "x", "1"), (1, "a", "y", "2"), (2, "a", "y", "3"), (3, "a", "x", "4"), (4, "b", "x", "5")]
-    out = P.stateful(spark.createDataFrame(rows, "pos long, key string, side string, value string"), P.CompleteJoin(["x", "y"])).collect()
+    out = P.stateful(spark.createDataFrame(rows, "pos long, key string, side string, value string"), P.KeyedJoin(["x", "y"])).collect()
     assert sorted((r.pos, r.x_value, r.y_value) for r in out) == [(1, "1", "2"), (3, "4", "3")]
     ctl = [(0, "a", "process", 5, 1), (1, "a", "watermark", 10, None), (2, "a", "process", 9, 9), (3, "a", "process", 12, 2), (4, "a", "finish", None, None)]
     out = P.stateful(spark.createDataFrame(ctl, "pos long, key string, op string, timestamp long, value long"), P.WindowSum(10, 10, 0)).collect()
     assert sorted((r.idx, r.input_count, r.total) for r in out) == [(0, 1, 1), (1, 1, 2)]
 
 
+@pytest.mark.parametrize("op, tick", [("process", 30), ("watermark", 5)])
+def test_window_sum_refuses(spark, op, tick):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB)
+    rows = [(0, "a", "drain", None, None), (1, "a", "watermark", 10, None), (2, "a", "finish" if op == "process" else "drain", None, None), (3, "a", op, tick, 1)]
+    with pytest.raises(Exception, match="after the finish|goes back"):
+        P.stateful(spark.createDataFrame(rows, "pos long, key string, op string, timestamp long, value long"), P.WindowSum(10, 10, 0)).collect()
+
+
+def test_streamed_joins_equal_batch(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB)
+    schema, sides = "pos long, key string, side string, value string", ["x", "y", "z"]
+    rows = [(i, f"k{i * i % 3}", "xyzu"[i * 7 % 11 % 4], None if i % 5 == 0 else str(i)) for i in range(30)]
+    want = lambda insert, emit: sorted(map(str, ((r.pos, r.key, r.ordinal, *(r[f"{s}_{p}"] for s in sides for p in ("present", "value"))) for r in joins.keyed_join(spark.createDataFrame(rows, schema), sides, insert, emit).collect())))
+    for insert, emit in (("first", "running"), ("last", "running"), ("product", "complete")):
+        out = P.stateful(spark.createDataFrame(rows, schema), P.KeyedJoin(sides, insert, emit))
+        assert sorted(map(str, map(tuple, out.collect()))) == want(insert, emit)
+    base = tempfile.mkdtemp()
+    for part in (rows[:13], rows[13:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = P.stateful(spark.readStream.schema(schema).parquet(f"{base}/in"), P.KeyedJoin(sides, "product", "running"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    assert sorted(map(str, map(tuple, spark.read.parquet(f"{base}/out").collect()))) == want("product", "running")
+
+
 def test_strict_readers(spark):
     base = tempfile.mkdtemp()
 
