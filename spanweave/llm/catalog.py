@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, syncmers, topk, warc
+from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, suffixes, syncmers, topk, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": lambda spark, d: jaccard.jaccard_join(_documents(spark, d)),
         "op9_configuration_packing": lambda spark, d: packing.pack(_documents(spark, d)),
         "op10_secret_scan": lambda spark, d: secrets.secret_digest(_documents(spark, d)),
+        "op11_suffix_dedup": lambda spark, d: suffixes.suffix_dedup_digest(_documents(spark, d)),
         "pipeline": corpus_pipeline.run,
     }
 
