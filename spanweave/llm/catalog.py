@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spanweave.llm import jaccard, licenses, lines, mixing, packing, quality, secrets, suffixes, syncmers, topk, warc
+from spanweave.llm import crosstokens, jaccard, licenses, lines, mixing, packing, quality, secrets, spelling, suffixes, syncmers, topk, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_configuration_packing": lambda spark, d: packing.pack(_documents(spark, d)),
         "op10_secret_scan": lambda spark, d: secrets.secret_digest(_documents(spark, d)),
         "op11_suffix_dedup": lambda spark, d: suffixes.suffix_dedup_digest(_documents(spark, d)),
+        "op12_spelling_variants": lambda spark, d: spelling.spelling_variants(_documents(spark, d)),
+        "op13_cross_tokenizer": lambda spark, d: crosstokens.align_tokens(_documents(spark, d)),
         "pipeline": corpus_pipeline.run,
     }
 
