@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,12 +37,19 @@ CLASSES, GAP, PASSES, ROUNDS = 192, 0.05, 7, 150  # of the configuration program
 _PUNCTUATION = ".,!?;:&%$#*"  # trailing signs that are split off
 
 
+def _stays_letters(stems: pa.Array) -> list[bool]:
+    """Whether each stem (null: none) consists of letters alone in the tokenizer's normal form."""
+    ascii_only = pc.string_is_ascii(stems).to_pylist()
+    return [bool(plain) or (s is not None and (s == "" or unicodedata.normalize("NFC", s).lower().isalpha())) for plain, s in zip(ascii_only, stems.to_pylist(), strict=True)]
+
+
 class WordIds:
     """Token ids of texts, with the ids of words kept from one call to the next.
 
     The tokenizer drops white space and no token, composition or case rule reaches across an ASCII space, so a text's ids
-    are those of its words. A word of letters with trailing punctuation is two runs to the tokenizer, so both count as
-    units of their own. Arrow splits texts and finds the different words; Python sees each different unit of a call once.
+    are those of its words. A word of letters that stay letters when composed and in lower case (a capital I with a dot becomes
+    a letter and a mark, which joins the signs after it) with trailing punctuation is two runs to the tokenizer, so both count
+    as units of their own. Arrow splits texts and finds the different words; Python sees each different unit of a call once.
     At most about `most` units are kept; beyond that the store starts anew.
     """
 
@@ -84,7 +92,9 @@ class WordIds:
         words = split.flatten().dictionary_encode()
         found = pc.extract_regex(words.dictionary, rf"\A(?P<a>\pL*)(?P<b>[{_PUNCTUATION}]*)\z")
         two = found.is_valid()
-        stem = pc.if_else(two, pc.struct_field(found, "a"), words.dictionary)
+        stem = pc.struct_field(found, "a")
+        two = pc.and_(two, pa.array(_stays_letters(stem)))
+        stem = pc.if_else(two, stem, words.dictionary)
         stem = pc.if_else(pc.and_(two, pc.string_is_ascii(stem)), pc.ascii_lower(stem), stem)
         units = pa.concat_arrays([stem, pc.if_else(two, pc.struct_field(found, "b"), "")]).dictionary_encode()
         ids = self._units(units.dictionary.to_pylist())

@@ -152,13 +152,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def sampled(column: Column, share: float, seed: int) -> Column:
+    """Whether a 63-bit hash falls within the share, which may be as small as one in billions."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 1) < F.lit(min(int(share * 2**63), 2**63 - 1)).cast("long")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, seed: int = 11) -> Model:
     """From labelled rows that aren't held out. Those sampled are few by their number, so they are the broadcast side."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id IS NOT NULL AND quality IS NOT NULL").where(~held_out("_id"))
     known = known.groupBy("_id").agg(F.min("quality").alias("_quality"))
     share = min(1.0, most / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known if share == 1 else known.where(sampled(F.col("_id"), share, seed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
