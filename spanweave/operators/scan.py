@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.session import saved
+
 _COMBINE = {"max": F.max, "sum": F.sum, "min": F.min}
 
 
@@ -36,3 +38,13 @@ def prefix_scan(df: DataFrame, values: dict[str, tuple[str, Column]], block: Col
 
     made = {n: both(k, f"_p_{n}", f"_i_{n}") for n, (k, _) in values.items()} | {f"{n}_before": both(k, f"_p_{n}", f"_b_{n}") for n, (k, _) in values.items()}
     return out.withColumns(made).drop("_block", *[f"_{x}_{n}" for n in values for x in "pib"])
+
+
+def number_rows(df: DataFrame, order: list, name: str = "rank", tag: str = "ranked") -> DataFrame:
+    """Numbers rows from 0 in the given order: they are dealt in ranges, numbered within each, and one row per range meets in
+    the window over ranges. The ranges are written, since they depend on a sample."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = saved(dealt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), tag)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_size")).alias("_first"))
+    return dealt.join(before, "_range").withColumn(name, F.col("_first") + F.col("_own")).drop("_first", "_own", "_range")
