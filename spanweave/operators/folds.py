@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators.scan import prefix_scan
+from spanweave.operators.scan import number_rows, prefix_scan
+from spanweave.operators.stateful import fold_groups
 from spanweave.schema import MAX_TICK, LateEventError, ValidationError
 
 
@@ -92,6 +93,55 @@ def fold_ordered(control: DataFrame, spec: FoldWindow, zero: Column, merge: Call
     return _eligible(out, control, spec)
 
 
+def fold_python(control: DataFrame, spec: FoldWindow, begin: Callable[[], object], fold: Callable[[object, object], object], finalize: Callable[[object], object] | None = None, value_type: str = "string", by_time: bool = False, check: bool = False) -> DataFrame:
+    """A fold by Python functions, in order of arrival (or of time, then arrival), as a value column; see fold_groups."""
+    order = ["timestamp", "pos"] if by_time else ["pos"]
+    return _eligible(fold_groups(members(control, spec, check), ["key", "idx"], order, begin, fold, finalize, value_type), control, spec)
+
+
+def closed_by(control: DataFrame, indexes: DataFrame, spec: FoldWindow, block: int = 1 << 20) -> DataFrame:
+    """(idx, closer): the position of the control row that made each window of indexes (idx) eligible - the first watermark that
+    reached its end, else the finish; without one the window isn't closed. Both are put in falling order of time, so the closer
+    is a running minimum of positions."""
+    marks = with_watermark(control).where("op = 'watermark'").groupBy("watermark").agg(F.min("pos").alias("closer")).select(F.col("watermark").alias("tick"), F.lit(0).alias("kind"), "closer", F.lit(None).cast("long").alias("idx"))
+    ends = indexes.select((spec.start(F.col("idx")) + spec.width).alias("tick"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("closer"), "idx")
+    found = prefix_scan(marks.unionByName(ends), {"first": ("min", F.col("closer"))}, F.call_function("div", -F.col("tick"), F.lit(block * spec.hop).cast("long")), [F.col("tick").desc(), "kind"])
+    finish = control.where("op = 'finish'").agg(F.min("pos").alias("_finish"))  # one row
+    return found.where("kind = 1").crossJoin(F.broadcast(finish)).select("idx", F.coalesce("first", "_finish").alias("closer")).where("closer IS NOT NULL")
+
+
+def drain(cells: DataFrame, control: DataFrame, spec: FoldWindow, strict: bool = True, block: int = 1 << 16) -> DataFrame:
+    """cells (key, idx, ...) that are drained, with place (their number from 0 in order of window, then key) and epoch (the
+    position of the drain row that put them out). A drain row's timestamp is the most windows that it takes; null is no limit.
+
+    Windows become eligible in order of their index, so those put out by the j-th drain are a range of places: its end is the
+    least, over the drains i up to j and the start, of what was eligible at i plus what drains after i may take. strict: no
+    arrival or watermark may come while an eligible window waits.
+    """
+    wide = F.lit(1 << 45).cast("long")
+    closers = closed_by(control, cells.select("idx").distinct(), spec)
+    ready = number_rows(cells.join(closers, "idx"), ["idx", "key"], "place")
+    sizes = ready.groupBy(F.col("closer").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    steps = control.where("op <> 'drain'").groupBy("pos").agg(F.max(F.when(F.col("op").isin("process", "watermark"), F.col("pos"))).alias("input")).join(sizes, "pos", "left")
+    steps = steps.select("pos", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("cap"), "input", F.lit(False).alias("drains"))
+    drains = control.where("op = 'drain'").select("pos", F.lit(0).cast("long").alias("n"), F.coalesce("timestamp", wide).alias("cap"), F.lit(None).cast("long").alias("input"), F.lit(True).alias("drains"))
+    line = F.call_function("div", F.col("pos"), F.lit(block).cast("long"))
+    scan = prefix_scan(steps.unionByName(drains), {"eligible": ("sum", F.col("n").cast("long")), "room": ("sum", F.col("cap"))}, line, ["pos"])
+    scan = prefix_scan(scan, {"low": ("min", F.when(F.col("drains"), F.col("eligible") - F.col("room")))}, line, ["pos"])
+    taken = F.coalesce(F.col("room") + F.least(F.col("low"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    scan = scan.withColumn("taken", F.greatest(taken, F.lit(0).cast("long")))
+    if strict:
+        scan = prefix_scan(scan, {"_taken": ("max", F.when(F.col("drains"), F.col("taken")))}, line, ["pos"])
+        waiting = F.col("input").isNotNull() & (F.coalesce("eligible_before", F.lit(0)) > F.coalesce("_taken_before", F.lit(0)))
+        fault = F.raise_error(F.format_string("position %d comes while closed windows wait for a drain", F.col("pos"))).cast("long")
+        refusals = scan.agg(F.max(F.when(waiting, fault)).alias("_fault"))
+    ends = scan.where("drains").select((F.col("taken") - 1).alias("place"), F.lit(0).alias("kind"), F.col("pos").alias("epoch"))
+    own = ready.select("place", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("epoch"))
+    found = prefix_scan(ends.unionByName(own), {"out": ("min", F.col("epoch"))}, F.call_function("div", -F.col("place"), F.lit(block).cast("long")), [F.col("place").desc(), "kind"])
+    out = ready.join(found.where("kind = 1 AND out IS NOT NULL").select("place", F.col("out").alias("epoch")), "place").drop("closer")
+    return out.join(F.broadcast(refusals), F.col("_fault").isNull()).drop("_fault") if strict else out  # one row
+
+
 def check_control(control: DataFrame, block: int = 1 << 16) -> DataFrame:
     """One row: the last watermark (_mark) and whether the input is finished (_finished). Raises where a watermark is below one
     before it, or where an arrival or a watermark follows the finish (repeated ones are fine)."""

@@ -6,12 +6,13 @@ in the JVM; any Python function can be passed as a (pandas) UDF column. A null p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import inspect
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.operators.stateful import fold_sorted
+from spanweave.operators.stateful import FlowExecutionError, fold_sorted
 
 
 def strict(condition: Column, step_id: str) -> Column:
@@ -39,6 +40,29 @@ def flat_map(df: DataFrame, values: Column, most: int | None = None) -> DataFram
     return out.select("pos", ordinal.cast("long").alias("ordinal"), "key", "value")
 
 
+def flat_map_udtf(df: DataFrame, expand: Callable, most: int = 1_000, step_id: str = "flat_map", value_type: str = "string") -> DataFrame:
+    """expand(value) gives an iterable, a generator for one, which a Python table function reads value by value: at most `most`
+    of them, since more raise before they are put out. Text, bytes, mappings and awaitables aren't expansions."""
+
+    class Expansion:
+        def eval(self, value):
+            try:
+                values = expand(value)
+                if inspect.isawaitable(values) or isinstance(values, (str, bytes, bytearray, Mapping)) or not isinstance(values, Iterable):
+                    raise TypeError(f"{type(values).__name__} is no expansion")
+                for i, item in enumerate(values):
+                    if i >= most:
+                        raise ValueError(f"more than {most} values")
+                    yield i, item
+            except Exception as error:
+                raise FlowExecutionError(f"{step_id}: {type(error).__name__}: {error}") from error
+
+    table = F.udtf(Expansion, returnType=f"_i int, _value {value_type}")
+    out = df.withColumnRenamed("ordinal", "_from").lateralJoin(table(F.col("value").outer()))
+    ordinal = F.row_number().over(Window.partitionBy("pos").orderBy("_from", "_i")) - 1
+    return out.select("pos", ordinal.cast("long").alias("ordinal"), "key", F.col("_value").alias("value"))
+
+
 def key_by(df: DataFrame, key: Column, step_id: str = "key_by") -> DataFrame:
     """Keys are trimmed, non-empty strings."""
     good = key.isNotNull() & (key != "") & ~key.rlike(r"(?U)^\s|\s$")

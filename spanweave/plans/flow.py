@@ -71,6 +71,8 @@ class Graph:
         if sum(n.kind == "window" for n in self.nodes) > 1:
             raise ValidationError("one window at most")
         object.__setattr__(self, "order", tuple(self._sorted(ids)))
+        if any(n.kind == "window" for n in self.nodes) and not self.dominated:
+            raise ValidationError("a path leads past the window to a terminal")
 
     def into(self, node_id: str) -> list[Edge]:
         return [e for e in self.edges if e.target == node_id]
@@ -97,26 +99,43 @@ class Graph:
         shape = {"id": self.graph_id, "revision": self.revision, "nodes": [[n.node_id, n.kind] for n in self.nodes], "edges": [[e.source, e.target, e.route, e.side] for e in self.edges]}
         return hashlib.sha256(json.dumps(shape, sort_keys=True).encode()).hexdigest()
 
+    @property
+    def dominated(self) -> bool:
+        """Whether every path from an entry to a terminal leads through the window."""
+        window = next((n.node_id for n in self.nodes if n.kind == "window"), None)
+        around: set[str] = set()  # nodes that a path reaches past the window
+        for i in self.order:
+            into = self.into(i)
+            if i != window and (not into or any(e.source in around for e in into)):
+                around.add(i)
+        return not any(t in around for t in self.terminals)
+
     def run(self, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The DataFrame of every terminal. sources: one of records for each entry."""
+        made = self.every(sources)
+        return {t: made[t] for t in self.terminals}
+
+    def delivered(self, edge: Edge, made: dict) -> DataFrame:
+        """What goes over an edge, of the outputs that every() gives."""
+        return made[edge.source] if edge.route is None else made[edge.source][0 if edge.route else 1]
+
+    def every(self, sources: dict[str, DataFrame]) -> dict:
+        """The output of every node: a DataFrame, of a branch one for each route."""
         of, made = {n.node_id: n for n in self.nodes}, {}
         entries = {n.node_id for n in self.nodes if n.kind == "entry"}
         if set(sources) != entries:
             raise ValidationError(f"sources {sorted(sources)}; entries {sorted(entries)}")
 
-        def read(e: Edge) -> DataFrame:
-            return made[e.source] if e.route is None else made[e.source][0 if e.route else 1]
-
         for i in self.order:
             node = of[i]
-            inputs = [read(e) for e in self.into(i)]
+            inputs = [self.delivered(e, made) for e in self.into(i)]
             if node.kind == "entry":
                 made[i] = steps.records(sources[i]) if "ordinal" not in sources[i].columns else sources[i]
             elif node.kind == "join":
                 made[i] = _join([(e.side, x) for e, x in zip(self.into(i), inputs, strict=True)], **node.function)
             else:
                 made[i] = _APPLY[node.kind](node, inputs)
-        return {t: made[t] for t in self.terminals}
+        return made
 
     def outputs(self, sources: dict[str, DataFrame]) -> DataFrame:
         """All terminals with the same columns, as terminal, rank (in execution order), pos, ordinal, key and value."""
