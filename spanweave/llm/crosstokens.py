@@ -5,8 +5,8 @@ both sides, packed in blocks that begin and end where both sides do, are united,
 partition and swept: the state is one block and a running digest, however long the text. An end on one side alone ends a link,
 an end on both ends a link and a group; each stretch between two ends is the link of the two tokens that cover it.
 
-How often two ids are linked in the corpus is counted before: texts fall into units at whose borders both sides must end, so a
-task sweeps each different unit of a batch once and weighs its links by how often the unit comes. The table of pairs goes to
+How often two ids are linked in the corpus is counted where texts are tokenized: they fall into units at whose borders both
+sides must end, so a task sweeps each different unit of a batch once and weighs its links by how often the unit comes. The table of pairs goes to
 the sweep's tasks if it has at most `most_pairs` rows; beyond that, the links of a block are joined with it instead.
 
 Null and empty texts, and texts that the tokens of a side don't spell byte by byte, have no tokens: zeros, and an empty digest.
@@ -16,6 +16,7 @@ Equal texts have equal results and are swept once; rows with a null or repeated
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 from spanweave.llm.arrow import small_batches
 from spanweave.session import saved
 
-A_FILE, B_FILE, MOST_PAIRS, BLOCK_TOKENS, CHUNK_BYTES = "byte_bpe_50k.json", "piece_bpe_32k.model", 1 << 22, 1 << 15, 2_000_000
+A_FILE, B_FILE, MOST_PAIRS, BLOCK_TOKENS, CHUNK_BYTES = "byte_bpe_50k.json", "piece_bpe_32k.model", 1 << 22, 1 << 15, 4_000_000
 _SAFE = r"[\pL\pN\pP\pS\pM]"  # neither white space nor a control to any tokenizer
 
 
 class Sides:
-    """The two tokenizers of a task, and the ids of units seen so far (at most `most`; then it starts anew)."""
+    """The two tokenizers of a task."""
 
-    def __init__(self, a_file: str, b_file: str, most: int = 300_000):
+    def __init__(self, a_file: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import sentencepiece
@@ -60,35 +61,99 @@ class Sides:
         self.a_long, self.b_long = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         if max(len(self.a_bytes), n) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.most, self.known = most, {}
-
-    def _encode(self, units: list[str]) -> None:
-        """A unit begins with a space, which B adds, or with a line end, before which B's space is a token of its own."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(units)
-        if not new:
-            return
-        firsts = [u[0] == " " for u in new]
-        a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        b = self.b.encode([u[1:] if x else u for u, x in zip(new, firsts, strict=True)], num_threads=1)
-        for unit, first, x, y in zip(new, firsts, a, b, strict=True):
-            data, x = unit.encode(), x.ids
-            if not first:
-                y = y[1:] if y and y[0] == self.space else []
-            good = b"".join(map(self.a_bytes.__getitem__, x)) == data == b"".join(map(self.b_bytes.__getitem__, y))
-            self.known[unit] = (np.array(x, "<u2").tobytes(), np.array(y, "<u2").tobytes(), good)
-
-    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        self.a_ids = self._ranked(a_file, public_tokenizers.PATTERN) or (lambda text: self.a.encode(text, add_special_tokens=False).ids)
+
+    def _ranked(self, a_file: str, pattern: str):
+        """The same encoding by ranks, which takes a fifth of the time; none unless the file is plain byte-level merges whose
+        order is that of their ids."""
+        import tiktoken
+
+        with open(a_file) as f:
+            all_of = json.load(f)
+        model, split = all_of["model"], all_of["pre_tokenizer"] or {}
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not all_of["normalizer"]
+        if model["type"] != "BPE" or not usual or merged != [*range(256, 256 + len(merged))]:
+            return None
+        ranks = {x: k for k, x in enumerate(self.a_bytes) if x}
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _one(self, unit: str) -> tuple[list[int], list[int], bool]:
+        x, y = self.a_ids(unit), self.b.encode(unit[1:] if unit[0] == " " else unit)
+        if unit[0] != " ":  # before a line end the space that B adds is a token of its own
+            y = y[1:] if y and y[0] == self.space else []
+        return x, y, b"".join(map(self.a_bytes.__getitem__, x)) == unit.encode() == b"".join(map(self.b_bytes.__getitem__, y))
+
+    def _many(self, units: pa.Array) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Of each side the ids of units encoded as one text, and the number of each unit's; None if they don't spell them. B adds
+        the space before the first."""
+        data, starts = _raw(units)
+        text = b" a" + data.tobytes()
+        ends, string, out = np.array(starts) + 2, text.decode(), []
+        for ids, table, long in ((self.a_ids(string), self.a_bytes, self.a_long), (self.b.encode(string[1:]), self.b_bytes, self.b_long)):
+            spelled = b"".join(map(table.__getitem__, ids)) == text
+            ids = np.array(ids, "<u2")
+            places = np.cumsum(long[ids])
+            at = np.searchsorted(places, ends)
+            if not spelled or (places[at] != ends).any():
+                return None
+            out.append((ids[at[0] + 1 :], np.diff(at)))
+        return out
+
+    def encoded(self, texts: pa.Array, together: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Numbers of units in a row, where texts begin, the units' flags, and of each side the units' ids in a row and how many
+        each has. A text with a unit that isn't spelled becomes one unit, and is judged as a whole."""
+        units, number, offsets = self.units(texts)
+        used, number = np.unique(number, return_inverse=True)  # words that are only parts of units are none
+        units = units.take(pa.array(used))
+        safe = pc.match_substring_regex(units, rf"(?s)\A[ \n]{_SAFE}(.*{_SAFE})?\z").to_numpy(zero_copy_only=False).astype(bool) & self.cuts
+        order = np.concatenate([np.flatnonzero(safe), np.flatnonzero(~safe)])  # safe borders: many units can be one text
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        units, number, n = units.take(pa.array(order)), place[number], int(safe.sum())
+        parts: list[list[tuple]] = [[], []]
+        good = np.ones(len(units), bool)
+
+        def alone(a: int, b: int) -> None:
+            found = [self._one(u) for u in units.slice(a, b - a).to_pylist()]
+            good[a:b] = [x[2] for x in found]
+            for side in (0, 1):
+                parts[side].append((np.array([i for x in found for i in x[side]], "<u2"), np.array([len(x[side]) for x in found], np.int64)))
+
+        for k in range(0, n, together):
+            end = min(k + together, n)
+            if (found := self._many(units.slice(k, end - k))) is None:
+                alone(k, end)
+                continue
+            for side in (0, 1):
+                parts[side].append(found[side])
+        alone(n, len(units))
+        bad = np.unique(np.searchsorted(offsets, np.flatnonzero(~good[number]), "right") - 1)
+        if len(bad):
+            odd, sizes, rows = set(bad.tolist()), np.diff(offsets), []
+            found = [self._one(" " + texts[k].as_py()) for k in bad.tolist()]
+            for k in range(len(texts)):
+                own = number[offsets[k] : offsets[k + 1]]
+                if k in odd:
+                    own = np.array([len(units) + int(np.searchsorted(bad, k))])
+                sizes[k] = len(own)
+                rows.append(own)
+            number, offsets = np.concatenate(rows), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+            good = np.concatenate([good, np.array([x[2] for x in found], bool)])
+            for side in (0, 1):
+                parts[side].append((np.array([i for x in found for i in x[side]], "<u2"), np.array([len(x[side]) for x in found], np.int64)))
+        return number, offsets, good, [tuple(np.concatenate(x) for x in zip(*own, strict=True)) for own in parts]
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The different units of texts, the number of each unit in a row, and where a text's units begin (one more than texts)."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")  # a word that begins with a line end has no space before it
         words = split.flatten().dictionary_encode()
         code, offsets = words.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        if not len(code):
-            return [], code, offsets
         names = words.dictionary
+        units = pc.if_else(pc.starts_with(names, "\n"), names, pc.binary_join_element_wise(" ", names, ""))
+        if not len(code):
+            return units, code, offsets
         opens = pc.match_substring_regex(names, rf"\A\n?{_SAFE}").to_numpy(zero_copy_only=False)
         closes = pc.match_substring_regex(names, rf"{_SAFE}\z").to_numpy(zero_copy_only=False)
         begin = np.zeros(len(code), bool)
@@ -96,40 +161,21 @@ class Sides:
             begin[1:] = closes[code[:-1]] & opens[code[1:]]
         begin[offsets[:-1][np.diff(offsets) > 0]] = True
         at = np.flatnonzero(begin)
-        units = [w if w[:1] == "\n" else " " + w for w in names.to_pylist()]
         number = code[at]
         ends = np.append(at[1:], len(code))
         if len(at) < len(code):
             ids: dict[str, int] = {}
             for k in np.flatnonzero(ends - at > 1).tolist():
-                unit = "".join(units[c] for c in code[at[k] : ends[k]].tolist())
+                unit = "".join(units.take(pa.array(code[at[k] : ends[k]])).to_pylist())
                 number[k] = len(names) + ids.setdefault(unit, len(ids))
-            units += ids
+            units = pa.concat_arrays([units, pa.array(list(ids), pa.string())])
         return units, number, np.searchsorted(at, offsets)
 
-    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-        """Numbers of units in a row, where texts begin, the units' flags, and of each different unit the ids of both sides.
-        A text with a unit that isn't spelled becomes one unit, and is judged as a whole."""
-        units, number, offsets = self.units(texts)
-        used = np.unique(number)  # words that are only parts of units are none
-        self._encode([units[k] for k in used.tolist()])
-        good = np.zeros(len(units), bool)
-        good[used] = [self.known[units[k]][2] for k in used.tolist()]
-        bad = np.unique(np.searchsorted(offsets, np.flatnonzero(~good[number]), "right") - 1)
-        if len(bad):
-            parts, sizes = [], np.diff(offsets)
-            for k in range(len(texts)):
-                own = number[offsets[k] : offsets[k + 1]]
-                if k in bad:
-                    own = np.array([len(units)])
-                    units.append(" " + texts[k].as_py())
-                sizes[k] = len(own)
-                parts.append(own)
-            number, offsets = np.concatenate(parts), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-            used = np.unique(number)
-            self._encode([units[k] for k in used.tolist()])
-        found = [self.known[units[k]] for k in used.tolist()]
-        return np.searchsorted(used, number), offsets, np.array([x[2] for x in found], bool), [x[0] for x in found], [x[1] for x in found]
+
+def _raw(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """A column of texts as their bytes in a row, and where each begins."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], (offsets - offsets[0]).tolist()
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -142,11 +188,9 @@ def sides(a_file: str, b_file: str) -> Sides:
     return _SIDES[a_file, b_file]
 
 
-def _laid_out(number: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _laid_out(number: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of units in a row, and where each unit's begin (one more than units)."""
-    size = np.fromiter(map(len, own), np.int64, len(own)) // 2
-    flat, first = np.frombuffer(b"".join(own), "<u2"), np.cumsum(size) - size
-    long = size[number]
+    first, long = np.cumsum(size) - size, size[number]
     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(long)])
     return flat[np.repeat(first[number] - ends[:-1], long) + np.arange(ends[-1])], ends
 
@@ -201,56 +245,6 @@ def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 16 | b
 
 
-# -- corpus counts ---------------------------------------------------------------------------------------------------
-
-
-def pair_counts(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """(pair, n, best): per pair of ids (a * 65536 + b) its links in the corpus, and whether no pair of its B id has more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pairs, counts = sides(a_file, b_file), [], []
-        try:
-            for batch in batches:
-                for x, y in _parts(batch["text"]):
-                    number, _, good, a, b = own.encoded(batch["text"].slice(x, y - x))
-                    used = np.flatnonzero(good)
-                    if not len(used):
-                        continue
-                    weight = np.bincount(number, minlength=len(a))[used]
-                    ids_a, _ = _laid_out(used, a)
-                    ids_b, ends = _laid_out(used, b)
-                    at_a, at_b, _, _ = sweep(ids_a, ids_b, own.a_long, own.b_long)
-                    pairs.append(_codes(ids_a[at_a], ids_b[at_b]))
-                    counts.append(weight[np.searchsorted(ends, at_b, "right") - 1])
-                    if sum(map(len, pairs)) > 2_000_000:
-                        pairs, counts = _summed(pairs, counts)
-                        if len(pairs[0]) > 1_000_000:
-                            yield _pair_rows(pairs, counts)
-                            pairs, counts = [], []
-            if pairs:
-                yield _pair_rows(*_summed(pairs, counts))
-        finally:
-            own.known = {}
-
-    small_batches(docs.sparkSession)
-    texts = docs.where("text <> ''").select("text")
-    total = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    total = saved(total, "pairs").withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFF)))
-    most = total.groupBy("b").agg(F.max("n").alias("most"))
-    return total.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-
-
-def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-    out = np.zeros(len(found), np.int64)
-    np.add.at(out, inverse, np.concatenate(counts))
-    return [found], [out]
-
-
-def _pair_rows(pairs: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(counts[0])], names=["pair", "n"])
-
-
 # -- events ----------------------------------------------------------------------------------------------------------
 
 
@@ -259,33 +253,48 @@ def _keyed(docs: DataFrame, *columns) -> DataFrame:
 
 
 def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(key, start, side, ids): the end events of both sides in blocks from byte `start` on; an event's offset is the start plus
-    the bytes of the ids up to it. A task gives a text's events once, however often the text comes."""
+    """(key, start, side, ids). Sides 0 and 1: the end events of A and B in blocks from byte `start` on; an event's offset is the
+    start plus the bytes of the ids up to it. A task gives a text's events once, however often the text comes. Side 2: pairs of
+    ids and how often a task's texts link them, copies included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = sides(a_file, b_file), set()
-        try:
-            for batch in batches:
-                new = []
-                for key in batch["key"].to_pylist():
-                    new.append(key not in seen)
-                    seen.add(key)
-                batch = batch.filter(pa.array(new, pa.bool_()))
-                for x, y in _parts(batch["text"]):
-                    yield blocks(own, batch.slice(x, y - x))
-        finally:
-            own.known = {}
-
-    def blocks(own: Sides, batch: pa.RecordBatch) -> pa.RecordBatch:
-        number, offsets, good, a, b = own.encoded(batch["text"])
-        ids_a, ends_a = _laid_out(number, a)
-        ids_b, ends_b = _laid_out(number, b)
-        bytes_of = np.array([int(own.b_long[np.frombuffer(x, "<u2")].sum()) for x in b], np.int64)
-        place = np.concatenate([np.zeros(1, np.int64), np.cumsum(bytes_of[number])])
+        own, seen, pairs, counts = sides(a_file, b_file), set(), [], []
+        for batch in batches:
+            new = []
+            for key in batch["key"].to_pylist():
+                new.append(key not in seen)
+                seen.add(key)
+            for x, y in _parts(batch["text"]):
+                part = batch.slice(x, y - x)
+                number, offsets, good, both = own.encoded(part["text"])
+                used = np.flatnonzero(good)
+                if len(used):
+                    found = _linked(own, used, np.bincount(number, minlength=len(good))[used], both)
+                    pairs.append(found[0])
+                    counts.append(found[1])
+                yield blocks(own, part["key"].to_pylist(), new[x:y], number, offsets, good, both)
+                if sum(map(len, pairs)) > 2_000_000:
+                    pairs, counts = _summed(pairs, counts)
+                    if len(pairs[0]) > 1_000_000:
+                        yield count_rows(pairs, counts)
+                        pairs, counts = [], []
+        if pairs:
+            yield count_rows(*_summed(pairs, counts))
+
+    def count_rows(pairs: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        return event_rows([b""], [len(pairs[0])], [2], [pairs[0].astype("<i8").tobytes() + counts[0].astype("<i8").tobytes()])
+
+    def event_rows(keys: list, starts: list, side: list, ids: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(side, pa.int32()), pa.array(ids, pa.binary())], names=["key", "start", "side", "ids"])
+
+    def blocks(own: Sides, texts: list[bytes], new: list[bool], number: np.ndarray, offsets: np.ndarray, good: np.ndarray, both: list) -> pa.RecordBatch:
+        (ids_a, ends_a), (ids_b, ends_b) = (_laid_out(number, *x) for x in both)
+        place = np.concatenate([np.zeros(1, np.int64), np.cumsum(own.b_long[ids_b])])[ends_b]
+        whole = np.add.reduceat(~good[number], offsets[:-1]) == 0 if len(number) else []
         keys, starts, side, ids = [], [], [], []
-        for k, key in enumerate(batch["key"].to_pylist()):
+        for k, key in enumerate(texts):
             u, end = int(offsets[k]), int(offsets[k + 1])
-            if not good[number[u:end]].all():
+            if not new[k] or not whole[k]:
                 continue
             first = place[u]
             while u < end:
@@ -295,12 +304,40 @@ def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bloc
                 side += [0, 1]
                 ids += [ids_a[ends_a[u] : ends_a[v]].tobytes(), ids_b[ends_b[u] : ends_b[v]].tobytes()]
                 u = v
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(side, pa.int32()), pa.array(ids, pa.binary())], names=["key", "start", "side", "ids"])
+        return event_rows(keys, starts, side, ids)
 
     small_batches(docs.sparkSession)
     return _keyed(docs.where("text <> ''"), "text").mapInArrow(run, "key binary, start long, side int, ids binary")
 
 
+def _linked(own: Sides, used: np.ndarray, weight: np.ndarray, both: list) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that units link, and how often, if each unit comes `weight` times."""
+    (ids_a, _), (ids_b, ends) = (_laid_out(used, *x) for x in both)
+    at_a, at_b, _, _ = sweep(ids_a, ids_b, own.a_long, own.b_long)
+    pairs, counts = _summed([_codes(ids_a[at_a], ids_b[at_b])], [weight[np.searchsorted(ends, at_b, "right") - 1]])
+    return pairs[0], counts[0]
+
+
+def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
+    return [found], [np.bincount(inverse, np.concatenate(counts), len(found)).astype(np.int64)]  # exact below 2^53
+
+
+def pair_counts(events: DataFrame) -> DataFrame:
+    """(pair, n, best): per pair of ids (a * 65536 + b) its links in the corpus, and whether no pair of its B id has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch["ids"].to_pylist():
+                pair, n = np.frombuffer(data, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+    total = saved(events.where("side = 2").select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    total = total.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFF)))
+    most = total.groupBy("b").agg(F.max("n").alias("most"))
+    return total.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+
+
 def swept(events: DataFrame, pairs: DataFrame | None, a_file: str = A_FILE, b_file: str = B_FILE, chunk_tokens: int = 1 << 19) -> DataFrame:
     """Per block: key, n_a, n_b, n_groups, n_links; the digest of a text's groups with its last block. With a table of pairs also
     n_best and count_sum; without one, the block's pairs and how often each comes."""
@@ -372,13 +409,13 @@ def swept(events: DataFrame, pairs: DataFrame | None, a_file: str = A_FILE, b_fi
 
     names = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["n_best", "count_sum"] if table is not None else ["pairs", "times"])]
     schema = "key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " + ("n_best long, count_sum long" if table is not None else "pairs array<long>, times array<long>")
-    return events.repartition("key").sortWithinPartitions("key", "start", "side").mapInArrow(run, schema)
+    return events.where("side < 2").repartition("key").sortWithinPartitions("key", "start", "side").mapInArrow(run, schema)
 
 
 def align_tokens(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, most_pairs: int = MOST_PAIRS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
-    pairs = saved(pair_counts(docs, a_file, b_file), "pairs")
-    events = end_events(docs, a_file, b_file, block_tokens)
+    events = saved(end_events(docs, a_file, b_file, block_tokens), "events")
+    pairs = saved(pair_counts(events), "pairs")
     sums = ["n_a", "n_b", "n_groups", "n_links"]
     if pairs.count() <= most_pairs:
         blocks = swept(events, pairs, a_file, b_file)
