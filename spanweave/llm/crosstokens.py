@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def _keyed(docs: DataFrame, *columns) -> DataFrame:
 
 def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, start, side, ids). Sides 0 and 1: the end events of A and B in blocks from byte `start` on; an event's offset is the
-    start plus the bytes of the ids up to it. A task gives a text's events once, however often the text comes. Side 2: pairs of
+    start plus the bytes of the ids (two bytes each, packed by zstd) up to it. A task gives a text's events once, however often the text comes. Side 2: pairs of
     ids and how often a task's texts link them, copies included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +292,7 @@ def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bloc
         (ids_a, ends_a), (ids_b, ends_b) = (_laid_out(number, *x) for x in both)
         place = np.concatenate([np.zeros(1, np.int64), np.cumsum(own.b_long[ids_b])])[ends_b]
         whole = np.add.reduceat(~good[number], offsets[:-1]) == 0 if len(number) else []
-        keys, starts, side, ids = [], [], [], []
+        keys, starts, side, ids, packer = [], [], [], [], zstandard.ZstdCompressor(level=1)
         for k, key in enumerate(texts):
             u, end = int(offsets[k]), int(offsets[k + 1])
             if not new[k] or not whole[k]:
@@ -302,7 +303,7 @@ def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bloc
                 keys += [key, key]
                 starts += [int(place[u] - first)] * 2
                 side += [0, 1]
-                ids += [ids_a[ends_a[u] : ends_a[v]].tobytes(), ids_b[ends_b[u] : ends_b[v]].tobytes()]
+                ids += [packer.compress(ids_a[ends_a[u] : ends_a[v]].tobytes()), packer.compress(ids_b[ends_b[u] : ends_b[v]].tobytes())]
                 u = v
         return event_rows(keys, starts, side, ids)
 
@@ -347,14 +348,15 @@ def swept(events: DataFrame, pairs: DataFrame | None, a_file: str = A_FILE, b_fi
         table = events.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, state = sides(a_file, b_file), {"key": None, "sha": None}
+        own, state, unpack = sides(a_file, b_file), {"key": None, "sha": None}, zstandard.ZstdDecompressor().decompress
         waiting: list[tuple] = []  # (key, A's ids, B's ids)
         size, last, a = 0, None, b""
         for batch in batches:
             for key, start, side, ids in zip(batch["key"].to_pylist(), batch["start"].to_pylist(), batch["side"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                if last == (key, start, side):  # from another task that held the same text
+                if last == (key, start, side):  # also from another task that held the same text
                     continue
                 last = (key, start, side)
+                ids = unpack(ids)
                 if side == 0:
                     a = ids
                 else:
