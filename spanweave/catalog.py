@@ -12,11 +12,12 @@ from spanweave.functions import clock
 from spanweave.operators import align as A
 from spanweave.operators import bandjoin, folds, joins, sessions, steps
 from spanweave.plans.flow import Edge, Graph, Node, linear
-from spanweave.plans.journal import Journal, stream_to_journal
+from spanweave.plans.pages import Pages
 from spanweave.schema import AlignConfig, ClockDrift
 from spanweave.session import saved, shared_dir
 from spanweave.sources import jsonl
 from spanweave.streaming import processors
+from spanweave.streaming.runner import run_batches
 
 HOUR = 3_600_000.0
 ORIGIN = 1_704_067_200_000.0
@@ -170,15 +171,18 @@ def _band(spark: SparkSession, d: str, indexes: bool) -> DataFrame:
     return out.withColumn("window_indexes", F.array_join(F.col("window_indexes").cast("array<string>"), ",")) if indexes else out.drop("window_indexes")
 
 
-def _graph(spark: SparkSession, d: str) -> DataFrame:
+def _branched() -> Graph:
     """A graph with fan-out: high values are doubled and expanded, low ones renamed, both merged; high ones also end apart."""
     v = F.col("value")
-    g = Graph(
+    return Graph(
         "orders", "1",
         (Node("in", "entry"), Node("high", "branch", v >= 5000), Node("double", "map", v * 2), Node("parts", "flat_map", F.array(v, v - 1)), Node("low", "key_by", F.concat(F.lit("low"), F.pmod(v, F.lit(3)).cast("string"))), Node("all", "merge"), Node("apart", "drop_key")),
         (Edge("in", "high"), Edge("high", "double", True), Edge("high", "low", False), Edge("double", "parts"), Edge("double", "apart"), Edge("low", "all"), Edge("parts", "all")),
     )
-    return g.outputs({"in": _records(spark, d)})
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return _branched().outputs({"in": _records(spark, d)})
 
 
 def _window_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -191,26 +195,19 @@ def _window_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed_total(spark: SparkSession, d: str) -> DataFrame:
-    """Running totals by a stateful stream into a journal, read back from the journal's outputs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.ROCKSDB)
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    _records(spark, d).drop("ordinal").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("pos long, key string, value long").parquet(f"{base}/in")
-    journal = Journal(spark, f"{base}/journal", "running-total")
-    stream_to_journal(processors.stateful(stream, processors.RunningTotal()), journal, ["pos"], "events", f"{base}/check").awaitTermination()
-    cursor = journal.cursor()
-    return journal.read(cursor, cursor.stop)[0].select("pos", "key", "value", "total", "seen")
+    """Running totals by a stateful stream, from a file sink."""
+    return run_batches(_records(spark, d).drop("ordinal"), [F.lit(True)], lambda s: processors.stateful(s, processors.RunningTotal()))
 
 
 def _journal_page(spark: SparkSession, d: str) -> DataFrame:
-    """Two generations of orders; a cursor opened after the first reads a page that the second doesn't change."""
-    journal = Journal(spark, f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}", "orders")
+    """Two appends of orders; a cursor opened after the first reads a page that the second doesn't change."""
+    pages = Pages(spark, f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}")
     rows = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    journal.commit("open", 0, {"orders": 1}, rows.where("o_orderstatus = 'O'"), ["o_orderkey"])
-    cursor = journal.cursor()
-    journal.commit("rest", 1, {"orders": 2}, rows.where("o_orderstatus <> 'O'"), ["o_orderkey"])
-    _, cursor = journal.read(cursor, 10)
-    return journal.read(cursor, 1000)[0].select("seq", "o_orderkey", "o_orderstatus")
+    pages.append(rows.where("o_orderstatus = 'O'"), ["o_orderkey"])
+    cursor = pages.cursor()
+    pages.append(rows.where("o_orderstatus <> 'O'"), ["o_orderkey"])
+    _, cursor = pages.read(cursor, 10)
+    return pages.read(cursor, 1000)[0].select("seq", "o_orderkey", "o_orderstatus")
 
 
 def _json_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +219,9 @@ def _json_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {
+    from spanweave import catalog_control
+
+    out = catalog_control.queries() | {
         "graph_branches": _graph,
         "graph_window_suffix": _window_graph,
         "stream_running_total": _streamed_total,
@@ -432,6 +431,9 @@ SELECT stream, round(p + {4 * HOUR / 10}::DOUBLE, 3) AS start_ms, round(t, 3) AS
         "fold_with_suffix": f"WITH w AS ({_fold_sql('tumbling', 'sum(value)::BIGINT AS value')}) SELECT idx AS pos, key, value, sum(value) OVER (PARTITION BY key ORDER BY idx ROWS UNBOUNDED PRECEDING)::BIGINT AS running_total FROM w WHERE value > 100",
         "multi_source_reconcile": "WITH l AS (SELECT l_orderkey AS k, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS v FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS v FROM orders) SELECT coalesce(o.k, l.k)::VARCHAR AS key, o.k IS NOT NULL AS order_present, o.v AS order_value, l.k IS NOT NULL AS lines_present, l.v AS lines_value FROM o FULL JOIN l ON o.k = l.k",
     }
+    from spanweave import catalog_control
+
+    out |= catalog_control.oracle_sql()
     out["graph_branches"] = f"""WITH {_R}, h AS (SELECT pos, key, value * 2 AS value FROM r WHERE value >= 5000)
 SELECT 'apart' AS terminal, 1 AS rank, pos, 0::BIGINT AS ordinal, NULL AS key, value::VARCHAR AS value FROM h
 UNION ALL SELECT 'all', 0, pos, 0, key, value::VARCHAR FROM h UNION ALL SELECT 'all', 0, pos, 1, key, (value - 1)::VARCHAR FROM h

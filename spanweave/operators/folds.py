@@ -142,6 +142,12 @@ def drain(cells: DataFrame, control: DataFrame, spec: FoldWindow, strict: bool =
     return out.join(F.broadcast(refusals), F.col("_fault").isNull()).drop("_fault") if strict else out  # one row
 
 
+def all_cells(control: DataFrame, spec: FoldWindow, aggregates: dict[str, Column], check: bool = False) -> DataFrame:
+    """fold() without its last step: every window that an arrival has created, closed or not."""
+    out = members(control, spec, check).groupBy("key", "idx").agg(F.count(F.lit(1)).alias("input_count"), *[c.alias(n) for n, c in aggregates.items()])
+    return out.withColumn("start", spec.start(F.col("idx"))).withColumn("end", F.col("start") + spec.width)
+
+
 def check_control(control: DataFrame, block: int = 1 << 16) -> DataFrame:
     """One row: the last watermark (_mark) and whether the input is finished (_finished). Raises where a watermark is below one
     before it, or where an arrival or a watermark follows the finish (repeated ones are fine)."""
@@ -166,3 +172,12 @@ def counters(control: DataFrame, spec: FoldWindow) -> DataFrame:
     """One row: processed, late, gap and memberships."""
     n = F.when(F.col("state") == "ok", F.col("last_idx") - F.col("first_idx") + 1).otherwise(0)
     return classify(control, spec).agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("state") == "late").alias("late"), F.count_if(F.col("state") == "gap").alias("gap"), F.coalesce(F.sum(n), F.lit(0)).alias("memberships"))
+
+
+def counter_algebra(cells: DataFrame, drained: DataFrame, control: DataFrame, spec: FoldWindow) -> DataFrame:
+    """counters() with the windows that were created, emitted (drained) and are retained, and the memberships in either: created is
+    emitted and retained, memberships are finalized and retained ones."""
+    made = cells.agg(F.count(F.lit(1)).alias("created"), F.coalesce(F.sum("input_count"), F.lit(0)).alias("_all"))
+    out = drained.agg(F.count(F.lit(1)).alias("emitted"), F.coalesce(F.sum("input_count"), F.lit(0)).alias("finalized_memberships"))
+    rows = counters(control, spec).crossJoin(F.broadcast(made)).crossJoin(F.broadcast(out))  # one row each
+    return rows.withColumns({"retained": F.col("created") - F.col("emitted"), "retained_memberships": F.col("_all") - F.col("finalized_memberships")}).drop("_all")

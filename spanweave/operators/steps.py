@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.functions.values import canonical
 from spanweave.operators.stateful import FlowExecutionError, fold_sorted
 
 
@@ -116,6 +117,22 @@ def stateful_flat_map(df: DataFrame, begin: Callable, update: Callable, step_id:
     return _renumbered(fold_sorted(df.select("pos", F.col("ordinal").cast("long"), "key", "value"), "key", ["pos", "ordinal"], begin, step, f"pos long, from long, ordinal long, key string, value {value_type}", step_id))
 
 
+def stateful_sizes(df: DataFrame, begin: Callable, update: Callable, flat: bool = False, step_id: str = "stateful_map") -> DataFrame:
+    """(pos, ordinal, key, fresh, before, after) of each record that a keyed state meets: whether its state begins anew, and the
+    bytes of the state, as canonical JSON, before and after (null: none)."""
+
+    def step(held, row):
+        state, before = held if held else (begin(), None)
+        new, *_, retain = update(row["value"], state)
+        after = len(canonical(new).encode()) if retain else None
+        out = {"pos": row["pos"], "ordinal": row["ordinal"], "key": row["key"], "fresh": before is None, "before": before, "after": after}
+        return ((new, after) if retain else None), [{("from" if k == "ordinal" else k): v for k, v in out.items()}]
+
+    schema = "pos long, from long, ordinal long, key string, fresh boolean, before long, after long"
+    out = fold_sorted(df.select("pos", F.col("ordinal").cast("long"), "key", "value"), "key", ["pos", "ordinal"], lambda: None, step, schema, step_id)
+    return out.drop("ordinal").withColumnRenamed("from", "ordinal")
+
+
 def _renumbered(df: DataFrame) -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy("pos").orderBy("from", "ordinal")) - 1
     return df.select("pos", ordinal.cast("long").alias("ordinal"), "key", "value")

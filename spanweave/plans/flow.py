@@ -110,16 +110,16 @@ class Graph:
                 around.add(i)
         return not any(t in around for t in self.terminals)
 
-    def run(self, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """The DataFrame of every terminal. sources: one of records for each entry."""
-        made = self.every(sources)
+    def run(self, sources: dict[str, DataFrame], join: Callable[..., DataFrame] = joins.keyed_join) -> dict[str, DataFrame]:
+        """The DataFrame of every terminal. sources: one of records for each entry; join: how joins run (a stream, for one)."""
+        made = self.every(sources, join)
         return {t: made[t] for t in self.terminals}
 
     def delivered(self, edge: Edge, made: dict) -> DataFrame:
         """What goes over an edge, of the outputs that every() gives."""
         return made[edge.source] if edge.route is None else made[edge.source][0 if edge.route else 1]
 
-    def every(self, sources: dict[str, DataFrame]) -> dict:
+    def every(self, sources: dict[str, DataFrame], join: Callable[..., DataFrame] = joins.keyed_join) -> dict:
         """The output of every node: a DataFrame, of a branch one for each route."""
         of, made = {n.node_id: n for n in self.nodes}, {}
         entries = {n.node_id for n in self.nodes if n.kind == "entry"}
@@ -132,7 +132,7 @@ class Graph:
             if node.kind == "entry":
                 made[i] = steps.records(sources[i]) if "ordinal" not in sources[i].columns else sources[i]
             elif node.kind == "join":
-                made[i] = _join([(e.side, x) for e, x in zip(self.into(i), inputs, strict=True)], **node.function)
+                made[i] = _join([(e.side, x) for e, x in zip(self.into(i), inputs, strict=True)], join, **node.function)
             else:
                 made[i] = _APPLY[node.kind](node, inputs)
         return made
@@ -146,13 +146,13 @@ class Graph:
         return out
 
 
-def _join(inputs: list[tuple[str, DataFrame]], sides: list[str], insert: str = "last", emit: str = "final") -> DataFrame:
+def _join(inputs: list[tuple[str, DataFrame]], join: Callable[..., DataFrame], sides: list[str], insert: str = "last", emit: str = "final") -> DataFrame:
     """Arrivals in order of position, then of side as declared; a row becomes the record {present, values} as JSON."""
     tagged = None
     for side, df in inputs:
         one = df.select((F.col("pos") * 16 + sides.index(side)).alias("pos"), F.lit(side).alias("side"), "key", F.col("value").cast("string").alias("value"))
         tagged = one if tagged is None else tagged.unionByName(one)
-    rows = joins.keyed_join(tagged, sides, insert, emit)
+    rows = join(tagged, sides, insert, emit)
     record = F.to_json(F.struct(F.array(*[F.col(f"{s}_present") for s in sides]).alias("present"), F.array(*[F.col(f"{s}_value") for s in sides]).alias("values")), {"ignoreNullFields": "false"})
     return rows.select(F.coalesce(F.floor(F.col("pos") / 16), F.lit(-1)).cast("long").alias("pos"), F.col("ordinal").cast("long").alias("ordinal"), "key", record.alias("value"))
 

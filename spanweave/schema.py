@@ -41,10 +41,6 @@ class LimitError(SpanweaveError):
     """A result would exceed a declared limit; nothing is returned."""
 
 
-class ConflictError(SpanweaveError):
-    """A journal holds something else than the caller expects."""
-
-
 def number(value: float, name: str, least: float | None = None, above: float | None = None) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
         raise ValidationError(f"{name} must be a finite number")

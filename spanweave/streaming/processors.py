@@ -8,6 +8,7 @@ are put in order of pos, so that a restart or another batching gives the same ro
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Iterator
 
@@ -50,16 +51,22 @@ class KeyedJoin(StatefulProcessor):
     """Tagged arrivals -> rows (pos, key, ordinal, present and value of each side), as the batch join's.
 
     emit complete: a row per combination once every side of a key is present; the key then starts anew. emit running: the
-    combinations after every arrival, absent sides not present and null. A value that is null is present all the same."""
+    combinations after every arrival, absent sides not present and null. emit final: none until every side is closed; pos is then
+    null, as in the batch join. A value that is null is present all the same.
+
+    A row with op eof (a column that data rows have null or as data) closes its side, for every key of the group: final joins are
+    therefore grouped by shard (runner.sharded), the others by key. A closed side takes no more arrivals; closing it again does
+    nothing. With the last closing a final join's keys come out in order, each as a whole; the others' incomplete keys are dropped."""
 
     def __init__(self, sides: list[str], insert: str = "last", emit: str = "complete", max_rows_per_key: int = 1_000_000):
-        if insert not in ("first", "last", "product") or emit not in ("complete", "running"):
+        if insert not in ("first", "last", "product") or emit not in ("complete", "running", "final"):
             raise ValidationError(f"insert {insert!r}, emit {emit!r}")
         self.sides, self.insert, self.emit, self.most = sides, insert, emit, max_rows_per_key
         self.schema = "pos long, key string, ordinal long, " + ", ".join(f"{s}_present boolean, {s}_value string" for s in sides)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getListState("cells", "side string, value string")
+        self.cells = handle.getMapState("cells", "key string", "value string")
+        self.closed = handle.getValueState("closed", "sides string")
 
     def _rows(self, cell: dict[str, list]) -> Iterator[tuple]:
         choices = [[(True, v) for v in cell[s]] if s in cell else [(False, None)] for s in self.sides]
@@ -69,28 +76,53 @@ class KeyedJoin(StatefulProcessor):
             yield k, *itertools.chain.from_iterable(chosen)
 
     def handleInputRows(self, key, rows, timerValues):
-        cell: dict[str, list] = {}
-        for side, value in self.cells.get():
-            cell.setdefault(side, []).append(value)
-        out = []
-        for pos, side, value in _sorted(rows)[["pos", "side", "value"]].astype(object).itertuples(index=False):
+        closed = set(json.loads(self.closed.get()[0])) if self.closed.exists() else set()
+        before: dict[str, str | None] = {}
+        cells: dict[str, dict[str, list]] = {}
+        out, frame = [], _sorted(rows)
+        ops = frame["op"] if "op" in frame else ["data"] * len(frame)
+        for op, pos, own, side, value in zip(ops, *(frame[c].astype(object) for c in ("pos", "key", "side", "value")), strict=True):
             if side not in self.sides:
                 continue
-            own = cell.setdefault(side, [])
+            if op == "eof":
+                if side not in closed and len(closed) == len(self.sides) - 1:
+                    out += self._ended(cells)
+                closed.add(side)
+                continue
+            if side in closed:
+                raise ValidationError(f"position {pos} follows the end of side {side}")
+            if own not in cells:
+                before[own] = self.cells.getValue((own,))[0] if self.cells.containsKey((own,)) else None
+                cells[own] = json.loads(before[own]) if before[own] else {}
+            cell = cells[own]
+            held = cell.setdefault(side, [])
             if self.insert == "product":
-                own.append(value)
-            elif self.insert == "last" or not own:
-                own[:] = [value]
+                held.append(value)
+            elif self.insert == "last" or not held:
+                held[:] = [value]
             full = len(cell) == len(self.sides)
-            if full or self.emit == "running":
-                out += [(pos, key[0], *row) for row in self._rows(cell)]
+            if full and self.emit == "complete" or self.emit == "running":
+                out += [(pos, own, *row) for row in self._rows(cell)]
             if full and self.emit == "complete":
-                cell = {}
-        if cell:
-            self.cells.put([(s, v) for s, values in cell.items() for v in values])
-        else:
-            self.cells.clear()
-        yield pd.DataFrame(out, columns=["pos", "key", "ordinal", *[f"{s}_{part}" for s in self.sides for part in ("present", "value")]])
+                cells[own] = {}
+        if closed:
+            self.closed.update((json.dumps(sorted(closed)),))
+        for own, cell in cells.items():
+            if cell and len(closed) < len(self.sides):
+                self.cells.updateValue((own,), (json.dumps(cell),))
+            elif before.get(own) is not None and self.cells.containsKey((own,)):
+                self.cells.removeKey((own,))
+        yield pd.DataFrame(out, columns=["pos", "key", "ordinal", *[f"{s}_{part}" for s in self.sides for part in ("present", "value")]]).astype({"pos": "Int64"})
+
+    def _ended(self, cells: dict[str, dict[str, list]]) -> Iterator[tuple]:
+        """What the last closing puts out; nothing is kept after it."""
+        for (own,), (cell,) in list(self.cells.iterator()):
+            cells.setdefault(own, json.loads(cell))
+        self.cells.clear()
+        if self.emit == "final":
+            for own in sorted(cells):
+                if cells[own]:
+                    yield from ((None, own, *row) for row in self._rows(cells[own]))
 
     def close(self) -> None:
         pass
@@ -144,7 +176,7 @@ class WindowSum(StatefulProcessor):
         pass
 
 
-def stateful(df: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """Works on streaming and batch DataFrames; both need the RocksDB state store."""
+def stateful(df: DataFrame, processor: StatefulProcessor, by: str = "key") -> DataFrame:
+    """Works on streaming and batch DataFrames; both need the RocksDB state store. by: key, or shard."""
     _ = df.sparkSession.streams  # a batch query finds no state store coordinator unless this session's stream manager exists
-    return df.groupBy("key").transformWithStateInPandas(processor, processor.schema, outputMode="append", timeMode="None")
+    return df.groupBy(by).transformWithStateInPandas(processor, processor.schema, outputMode="append", timeMode="None")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.session import shared_dir
-from spanweave.streaming.processors import ROCKSDB
+from spanweave.streaming.processors import ROCKSDB, KeyedJoin, stateful
 
 
 def sharded(data: DataFrame, shards: int, controls: str = "op <> 'process'") -> DataFrame:
@@ -33,3 +33,26 @@ def run_batches(rows: DataFrame, batches: Iterable[Column], build: Callable[[Dat
         schema = out.schema
         out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def streamed_join(cuts: Iterable[int], shards: int = 8) -> Callable[..., DataFrame]:
+    """keyed_join as a stream, for Graph.every and Graph.run: arrivals in micro-batches that end before the positions in cuts, and
+    a last one that closes all sides. A graph's joins so close in its order, each after the final rows of those before it."""
+    cuts = list(cuts)
+
+    def join(tagged: DataFrame, sides: list[str], insert: str = "last", emit: str = "final") -> DataFrame:
+        arrivals = tagged.select(F.lit("data").alias("op"), "pos", "side", "key", "value")
+        ends = tagged.sparkSession.createDataFrame([("eof", s) for s in sides], "op string, side string")
+        rows = sharded(arrivals.unionByName(ends, allowMissingColumns=True), shards, "op = 'eof'")
+        bounds = [None, *cuts, None]
+        batches = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            inside = F.col("op") == "data"
+            if low is not None:
+                inside = inside & (F.col("pos") >= low)
+            if high is not None:
+                inside = inside & (F.col("pos") < high)
+            batches.append(inside)
+        return run_batches(rows, [*batches, F.col("op") == "eof"], lambda s: stateful(s, KeyedJoin(sides, insert, emit), "shard"), "join")
+
+    return join

@@ -1,4 +1,4 @@
-"""Flow graphs, the journal, readers and stateful processors."""
+"""Flow graphs, readers and stateful processors."""
 
 import json
 import tempfile
@@ -10,10 +10,10 @@ from spanweave import cli
 from spanweave.functions.values import canonical_json
 from spanweave.operators import folds, joins, steps
 from spanweave.plans.flow import Edge, Graph, Node, linear
-from spanweave.plans.journal import Journal, stream_to_journal
-from spanweave.schema import AlignConfig, ConflictError, LateEventError, ValidationError
+from spanweave.schema import AlignConfig, LateEventError, ValidationError
 from spanweave.sources import jsonl
 from spanweave.streaming import processors as P
+from spanweave.streaming.runner import run_batches
 
 
 def records(spark, rows):
@@ -87,50 +87,13 @@ def test_controls_that_go_back(spark):
     assert [r.s for r in folds.fold(spark.createDataFrame(rows, schema), folds.FoldWindow(10), total).collect()] == [1]
 
 
-def test_journal_chain_conflicts_and_cursor(spark):
-    path = "file://" + tempfile.mkdtemp() + "/j"
-    j = Journal(spark, path, "flow")
-    out = lambda n: spark.range(n).withColumnRenamed("id", "pos")
-    r = j.commit("r1", 0, {"s": 3}, out(3), ["pos"])
-    assert j.commit("r1", 0, {"s": 3}, out(3), ["pos"]) == r
-    cursor = j.cursor()
-    for bad in (("r1", 0, {"s": 4}), ("r2", 0, {"s": 4})):
-        with pytest.raises(ConflictError):
-            j.commit(*bad, out(1), ["pos"])
-    with pytest.raises(ValidationError):
-        j.commit("r2", 1, {"s": 2}, out(1), ["pos"])
-    j.commit("r2", 1, {"s": 5}, out(2), ["pos"])
-    assert j.head()[0] == 2 and j.head()[3] == 5
-    page, after = j.read(cursor, 2)
-    assert [x.seq for x in page.collect()] == [0, 1]
-    page, after = j.read(after, 9)
-    assert [x.seq for x in page.collect()] == [2] and after.next_output == 3  # the prefix is fixed
-    with pytest.raises(ConflictError):
-        Journal(spark, path, "other").head()
-    with pytest.raises(ConflictError):
-        j._create("commits/000000000002.json", "{}")
-    name = path.removeprefix("file://") + "/commits/000000000001.json"
-    with open(name) as f:
-        text = f.read()
-    with open(name, "w") as f:
-        f.write(text.replace('"outputs": 3', '"outputs": 2'))
-    with pytest.raises(ConflictError):
-        j.head()
-
-
 def test_streams_restart_and_equal_batch(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB)
-    base = tempfile.mkdtemp()
     rows = [(i, f"k{i % 3}", i * 7 % 11) for i in range(60)]
-    schema = "pos long, key string, value long"
-    journal = Journal(spark, f"file://{base}/j", "totals")
-    for part in (rows[:25], rows[25:40], rows[40:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
-        stream_to_journal(P.stateful(stream, P.RunningTotal()), journal, ["pos"], "in", f"{base}/check").awaitTermination()
-    got = sorted((r.pos, r.total, r.seen) for r in journal.read(journal.cursor(), 1000)[0].collect())
-    want = steps.running(steps.records(spark.createDataFrame(rows, schema)), total=F.sum("value"), seen=F.count(F.lit(1)))
-    assert got == sorted((r.pos, r.total, r.seen) for r in want.collect())
+    df = spark.createDataFrame(rows, "pos long, key string, value long")
+    pos = F.col("pos")
+    got = run_batches(df, [pos < 25, (pos >= 25) & (pos < 40), pos >= 40], lambda s: P.stateful(s, P.RunningTotal()))
+    want = steps.running(steps.records(df), total=F.sum("value"), seen=F.count(F.lit(1)))
+    assert sorted((r.pos, r.total, r.seen) for r in got.collect()) == sorted((r.pos, r.total, r.seen) for r in want.collect())
 
 
 def test_processors_in_batch(spark):
