@@ -394,14 +394,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, run_bytes: int = RUN_BYT
     texts = _once(docs, least)
     found = saved(_anchor_rows(texts, least), "anchors")
     place = F.xxhash64("key", "at")
-    again = found.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head")
+    again = saved(found.groupBy("head").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("head"), "heads")  # so that a hot head's join can be split
     places = found.join(again, "head", "left_semi").groupBy("key").agg(F.collect_set("at").alias("places"))
     runs = saved(_runs(texts.join(places, "key"), least, run_bytes), "runs")
     bounds = _splitters(runs, part_bytes)
     merged = saved(_merged(_dealt(runs, bounds), bounds, least, most_contexts), "matches")
     windows = merged.where("window IS NOT NULL")
     place = F.xxhash64("key", "start")
-    twice = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
+    twice = saved(windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window"), "windows")
     spans = merged.where("window IS NULL").unionByName(windows.join(twice, "window", "left_semi").select(*merged.columns))
     return spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
