@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch: whole texts are long, so that Spark's usual 10,000 rows would be tens of megabytes several times over.
@@ -13,3 +18,12 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
         spark.conf.set(name, str(ROWS_A_BATCH))
+
+
+def byte_parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `most` bytes, or of one row."""
+    ends, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b

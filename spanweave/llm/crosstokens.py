@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.arrow import small_batches
+from spanweave.llm.arrow import byte_parts, small_batches
 from spanweave.session import saved
 
 A_FILE, B_FILE, MOST_PAIRS, BLOCK_TOKENS, CHUNK_BYTES = "byte_bpe_50k.json", "piece_bpe_32k.model", 1 << 22, 1 << 15, 4_000_000
@@ -196,15 +196,6 @@ def _laid_out(number: np.ndarray, flat: np.ndarray, size: np.ndarray) -> tuple[n
     return flat[np.repeat(first[number] - ends[:-1], long) + np.arange(ends[-1])], ends
 
 
-def _parts(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most` bytes, or of one row."""
-    ends, a = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)), 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 # -- the sweep -------------------------------------------------------------------------------------------------------
 
 
@@ -265,7 +256,7 @@ def end_events(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bloc
             for key in batch["key"].to_pylist():
                 new.append(key not in seen)
                 seen.add(key)
-            for x, y in _parts(batch["text"]):
+            for x, y in byte_parts(batch["text"], CHUNK_BYTES):
                 part = batch.slice(x, y - x)
                 number, offsets, good, both = own.encoded(part["text"])
                 used = np.flatnonzero(good)

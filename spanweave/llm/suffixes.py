@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.arrow import small_batches
+from spanweave.llm.arrow import byte_parts, small_batches
 from spanweave.session import saved
 
 LEAST, RUN_BYTES, PART_BYTES, MOST_PARTS, MOST_CONTEXTS = 400, 24 << 20, 1 << 20, 1 << 16, 500
@@ -104,15 +104,17 @@ def _anchor_rows(texts: DataFrame, least: int) -> DataFrame:
     first = least - spread_of(least) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts = _raw(batch["text"])
-            view, rows, heads, at = memoryview(np.ascontiguousarray(data)), [], [], []
-            for k, places, lows, highs in anchors(data, starts, least):
-                rows.append(np.full(len(places), k))
-                heads += [xxhash.xxh3_64_intdigest(view[p : p + first]) for p in places.tolist()]
-                at.append((places - starts[k]) << 20 | (places - highs) << 10 | (places - lows))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(np.concatenate(rows))), pa.array(np.array(heads, np.uint64).view(np.int64)), pa.array(np.concatenate(at))], names=["key", "head", "at"])
+        for whole in batches:
+            for x, y in byte_parts(whole["text"], 1 << 20):  # an anchor's arrays take some fifty bytes a byte of text
+                batch = whole.slice(x, y - x)
+                data, starts = _raw(batch["text"])
+                view, rows, heads, at = memoryview(np.ascontiguousarray(data)), [], [], []
+                for k, places, lows, highs in anchors(data, starts, least):
+                    rows.append(np.full(len(places), k))
+                    heads += [xxhash.xxh3_64_intdigest(view[p : p + first]) for p in places.tolist()]
+                    at.append((places - starts[k]) << 20 | (places - highs) << 10 | (places - lows))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(np.concatenate(rows))), pa.array(np.array(heads, np.uint64).view(np.int64)), pa.array(np.concatenate(at))], names=["key", "head", "at"])
 
     return texts.mapInArrow(run, "key binary, head long, at long")
 
