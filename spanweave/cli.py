@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
             bandjoin.join_streams(result, args.left, args.right, args.tolerance, None if args.tolerance is not None else 5_000_000).write.json(args.output)
         else:
             report.write_report(result, args.output)
-            print(json.dumps(report.summary(result)))
+            print(json.dumps(report.summary(result) | report.write_document(result, args.output)))
         return 0
     except SpanweaveError as error:
         print(error, file=sys.stderr)

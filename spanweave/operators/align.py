@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.clock import next_up, normalise
 from spanweave.operators.scan import prefix_scan
 from spanweave.schema import AlignConfig, LateEventError, LimitError, ValidationError
+from spanweave.session import saved
 
 ARRIVALS_A_BLOCK = 1 << 16
 
@@ -109,26 +110,28 @@ def check_identity(events: DataFrame) -> None:
         raise ValidationError(f"event id {again['id']!r} occurs {again['count']} times")
 
 
-def _total(rows: DataFrame, config: AlignConfig, events: DataFrame, in_order: bool) -> DataFrame:
-    """One row: the number of windows, up to the last closed one and the last one that a live event reaches.
+def refuse_repeats(rows: DataFrame) -> DataFrame:
+    """rows, failing the job where an id occurs again (which check_identity looks for before)."""
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.min("id").alias("_again"))  # one row
+    fault = F.raise_error(F.format_string("event id %s occurs more than once", F.col("_again"))).cast("boolean")
+    return rows.crossJoin(F.broadcast(again)).where(F.when(F.col("_again").isNotNull(), fault).otherwise(True)).drop("_again")
 
-    The last watermark follows from each stream's latest event. Unless late events are dropped (which events in order of time
-    never are), every event counts: one that is obsolete reaches no further than the windows that are closed anyway."""
+
+def _total(rows: DataFrame, config: AlignConfig) -> DataFrame:
+    """One row: the number of windows, up to the last closed one and the last one that a live event reaches. The last watermark
+    follows from each stream's latest event, dropped ones included, since they raise no watermark far enough to close more."""
     grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
-    if not in_order and config.late_policy == "drop":
-        reach, rows = F.when(F.col("disposition") != "dropped", F.col("last_idx")), rows
-    else:
-        rows = _spans(events, config)
-        reach = grid.last(F.col("horizon"))
     seen = [F.max(F.when(F.col("stream") == s, F.col("t"))).alias(f"_m{k}") for k, s in enumerate(config.required_streams)]
-    return rows.agg(F.max(reach).alias("_reach"), *seen).select(F.greatest(grid.closed(_watermark(config, "")), F.col("_reach") + 1).alias("total"))
+    reach = F.max(F.when(F.col("disposition") != "dropped", F.col("last_idx"))).alias("_reach")
+    return rows.agg(reach, *seen).select(F.greatest(grid.closed(_watermark(config, "")), F.col("_reach") + 1).alias("total"))
 
 
-def _build(rows: DataFrame, config: AlignConfig, events: DataFrame, in_order: bool) -> Alignment:
+def _build(rows: DataFrame, config: AlignConfig, events: DataFrame) -> Alignment:
+    """rows: one classification, which windows, members and their number are read from."""
     grid = Grid(float(config.origin_ms), float(config.window_ms), float(config.hop_ms))
     live = F.col("disposition") != "dropped"
     members = rows.where(live).select(F.explode("idxs").alias("idx"), "id", "stream", "modality", "t", "duration_ms", *[c for c in ("data",) if c in rows.columns])
-    dense = _total(rows, config, events, in_order).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("total") <= config.max_output_windows, F.col("total") - 1).otherwise(F.raise_error(F.lit(f"more than {config.max_output_windows} windows")).cast("long")))).alias("idx"))
+    dense = _total(rows, config).where("total > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("total") <= config.max_output_windows, F.col("total") - 1).otherwise(F.raise_error(F.lit(f"more than {config.max_output_windows} windows")).cast("long")))).alias("idx"))
     found = members.groupBy("idx").agg(F.count(F.lit(1)).alias("n_events"), F.collect_set("stream").alias("streams"), F.array_sort(F.collect_set("modality")).alias("modalities"))
     required = F.array(*map(F.lit, config.required_streams)) if config.required_streams else F.array().cast("array<string>")
     windows = dense.join(found, "idx", "left").select(
@@ -144,27 +147,30 @@ def _build(rows: DataFrame, config: AlignConfig, events: DataFrame, in_order: bo
     return Alignment(config, rows, members, windows, detect_gaps(events, config))
 
 
-def align(events: DataFrame, config: AlignConfig, check: bool = False) -> Alignment:
-    """Offline alignment, in order of time, in which no event is late. check: look for repeated ids and too many windows first."""
-    return _checked(classify(events, config, lenient=check), config, events, check, True)
+def align(events: DataFrame, config: AlignConfig, check: bool = False, unique: bool = True) -> Alignment:
+    """Offline alignment, in order of time, in which no event is late. check: look for repeated ids and too many windows first.
+    unique=False takes events whose ids may repeat; otherwise a repeated id fails the job. The classification runs at once."""
+    return _checked(classify(events, config, lenient=check), config, events, check, True, unique)
 
 
-def replay(events: DataFrame, config: AlignConfig, check: bool = False, positions_a_block: int = ARRIVALS_A_BLOCK) -> Alignment:
+def replay(events: DataFrame, config: AlignConfig, check: bool = False, positions_a_block: int = ARRIVALS_A_BLOCK, unique: bool = True) -> Alignment:
     """Alignment of events in order of arrival_pos. Sparse positions need wider blocks: one holds what a task scans. Under the
     reject policy the job fails on a late event; check: it is looked for first, as are repeated ids (actions of their own)."""
     rows = classify(events, config, ["arrival_pos"], F.expr(f"arrival_pos div {positions_a_block}"), lenient=check)
-    return _checked(rows, config, events, check, False)
+    return _checked(rows, config, events, check, False, unique)
 
 
-def _checked(rows: DataFrame, config: AlignConfig, events: DataFrame, check: bool, in_order: bool) -> Alignment:
+def _checked(rows: DataFrame, config: AlignConfig, events: DataFrame, check: bool, in_order: bool, unique: bool) -> Alignment:
     if check:
         check_identity(events)
+    rows = saved(rows, "dispositions")
+    if check:
         if not in_order and config.late_policy == "reject" and (bad := rows.where("disposition = 'rejected'").orderBy("arrival_pos").first()):
             raise LateEventError(f"event {bad['id']!r} at {bad['t']} is late")
         span = rows.where("disposition <> 'dropped'").agg(F.max("last_idx")).first()[0]
         if span is not None and span >= config.max_output_windows:
             raise LimitError(f"{span + 1} windows; {config.max_output_windows} at most")
-    return _build(rows, config, events, in_order)
+    return _build(refuse_repeats(rows) if unique and not check else rows, config, events)
 
 
 def window_events(alignment: Alignment) -> DataFrame:

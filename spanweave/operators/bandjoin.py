@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanweave.operators.align import Alignment
 from spanweave.schema import LimitError, number
+from spanweave.session import saved
 
 
 def band_join(left: DataFrame, right: DataFrame, tolerance: float, time: str = "t") -> DataFrame:
@@ -26,8 +27,9 @@ def band_join(left: DataFrame, right: DataFrame, tolerance: float, time: str = "
 def join_streams(alignment: Alignment, left: str, right: str, max_delta_ms: float | None, max_comparisons: int | None = None) -> DataFrame:
     """left_id, right_id, delta_ms and window_indexes (common to both) of events in windows. Without a tolerance every pair
     counts, so then max_comparisons must be given and is checked first."""
-    events = alignment.members.groupBy("id", "stream", "t").agg(F.array_sort(F.collect_set("idx")).alias("idxs"))
-    a, b = (events.where(F.col("stream") == s).select("id", "t", "idxs") for s in (left, right))
+    live = alignment.dispositions.where((F.col("disposition") != "dropped") & (F.size("idxs") > 0) & F.col("stream").isin(left, right))
+    live = saved(live.select("id", "stream", "t", "idxs"), "joined")  # each event once, with its windows in order
+    a, b = (live.where(F.col("stream") == s).select("id", "t", "idxs") for s in (left, right))
     if max_comparisons is not None and (n := a.count() * b.count()) > max_comparisons:
         raise LimitError(f"{n} comparisons; {max_comparisons} at most")
     if max_delta_ms is None:
@@ -37,4 +39,4 @@ def join_streams(alignment: Alignment, left: str, right: str, max_delta_ms: floa
         pairs = x.join(y).withColumn("delta_ms", F.abs(F.col("l_t") - F.col("r_t")))
     else:
         pairs = band_join(a, b, float(max_delta_ms))
-    return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "delta_ms", F.array_sort(F.array_intersect("l_idxs", "r_idxs")).alias("window_indexes"))
+    return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "delta_ms", F.array_intersect("l_idxs", "r_idxs").alias("window_indexes"))

@@ -9,7 +9,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators.align import Alignment
+from spanweave.operators.align import Alignment, window_events
 from spanweave.schema import LimitError
 
 
@@ -20,6 +20,23 @@ def write_report(alignment: Alignment, path: str) -> None:
     alignment.dispositions.drop("idxs").write.parquet(f"{path}/dispositions")
 
 
+def write_document(alignment: Alignment, path: str, most: int = 100_000, timeline: int = 1_000) -> dict[str, bool]:
+    """The result as one JSON document and as a timeline, each a text file in a folder of its own, for results within the bounds;
+    beyond one, that file isn't written rather than cut. In any case a line of JSON per window with its events is."""
+    spark = alignment.windows.sparkSession
+    window_events(alignment).write.json(f"{path}/window_lines")
+    written = {}
+    for name, make in (("document", lambda: json.dumps(document(alignment, most), sort_keys=True, separators=(",", ":"))), ("timeline", lambda: render_html(alignment, timeline))):
+        try:
+            text = make()
+        except LimitError:
+            written[name] = False
+            continue
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+        written[name] = True
+    return written
+
+
 def _bounded(rows: DataFrame, most: int, what: str) -> list:
     """All rows on the driver, or an error where there are more than `most`."""
     found = rows.limit(most + 1).collect()

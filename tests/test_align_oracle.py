@@ -131,3 +131,31 @@ def test_nine_join_modes_against_a_model(spark, insert, emit):
     names = ["key", "pos", "ordinal", *[f"{s}_{x}" for s in sides for x in ("present", "value")]]
     got = [tuple(r[n] for n in names) for r in joins.keyed_join(df, sides, insert, emit).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_repeated_ids_fail_by_default(spark):
+    rows = [("x", "a", "m", 1.0, 0.0, "{}", 0), ("y", "a", "m", 2.0, 0.0, "{}", 1), ("x", "a", "m", 30.0, 0.0, "{}", 2)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    c = AlignConfig(10.0, required_streams=("a",), late_policy="drop")
+    for run in (A.align, A.replay):
+        with pytest.raises(Exception, match="event id x occurs more than once"):
+            run(events, c).windows.collect()
+        with pytest.raises(ValidationError, match="'x' occurs 2 times"):
+            run(events, c, check=True)
+        assert run(events, c, unique=False).windows.count() == 4
+
+
+def test_result_document_and_timeline(spark, tmp_path):
+    import json
+
+    from spanweave import report
+
+    rows = [(f"e{i}", "ab"[i % 2], "m", i * 7.0, 3.0, '{"n":1}', i) for i in range(12)]
+    found = A.replay(spark.createDataFrame(rows, SCHEMA), AlignConfig(20.0, required_streams=("a", "b"), late_policy="drop"))
+    assert report.write_document(found, f"{tmp_path}/r") == {"document": True, "timeline": True}
+    text = spark.read.text(f"{tmp_path}/r/document").first().value
+    assert json.loads(text) == json.loads(json.dumps(report.document(found))) and len(json.loads(text)["windows"]) == 4
+    assert "<svg" in spark.read.text(f"{tmp_path}/r/timeline").first().value
+    lines = spark.read.json(f"{tmp_path}/r/window_lines")
+    assert lines.count() == 4 and sum(len(r.events) for r in lines.collect()) == found.members.count()
+    assert report.write_document(found, f"{tmp_path}/s", 100, 3) == {"document": True, "timeline": False}
