@@ -121,7 +121,7 @@ def _suffix(spark: SparkSession, d: str) -> DataFrame:
     closed = folds.fold(_control(spark, d), SPECS["tumbling"], {"total": F.sum("value")})
     rows = closed.select(F.col("idx").alias("pos"), F.lit(0).cast("long").alias("ordinal"), "key", F.col("total").alias("value"))
     kept = steps.filter_records(rows, F.col("value") > 100)
-    return steps.running(kept, running_total=F.sum("value")).select("pos", "key", "value", "running_total")
+    return steps.running(kept, running_total=("sum", F.col("value"))).select("pos", "key", "value", "running_total")
 
 
 def _expand(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_flat_map": _expand,
         "flow_branch_merge": _branch_merge,
         "flow_key_by": lambda s, d: steps.key_by(steps.drop_key(_records(s, d)), F.concat(F.lit("v"), (F.col("value") % 10).cast("string"))),
-        "flow_running_total": lambda s, d: steps.running(_records(s, d), total=F.sum("value"), seen=F.count(F.lit(1))),
+        "flow_running_total": lambda s, d: steps.running(_records(s, d), total=("sum", F.col("value")), seen=("sum", F.lit(1).cast("long"))),
         "flow_stateful_map": _streak,
         "flow_stateful_expand": _stateful_expand,
         "fold_late_counters": lambda s, d: folds.counters(_control(s, d), SPECS["gapped"]),

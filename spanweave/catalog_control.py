@@ -70,7 +70,7 @@ def _drain_suffix(spark: SparkSession, d: str) -> DataFrame:
     """Drained windows under new keys, with a running total per key in the order in which they were put out."""
     rows = _drained(spark, d).select(F.col("place").alias("pos"), F.lit(0).cast("long").alias("ordinal"), "key", F.col("total").alias("value"), "epoch")
     keyed = steps.key_by(rows, F.substring("key", -1, 1))
-    return steps.running(keyed, running_total=F.sum("value")).drop("ordinal")
+    return steps.running(keyed, running_total=("sum", F.col("value"))).drop("ordinal")
 
 
 def _algebra(spark: SparkSession, d: str) -> DataFrame:

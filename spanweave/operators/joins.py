@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.scan import prefix_scan
 from spanweave.operators.stateful import fold_sorted
 from spanweave.schema import LimitError, ValidationError
 
@@ -32,7 +33,7 @@ def keyed_join(tagged: DataFrame, sides: list[str], insert: str = "last", emit:
     return (_final if emit == "final" else _running)(tagged, sides, insert)
 
 
-def _columns(cells: dict[str, F.Column]) -> list:
+def _columns(cells: dict[str, Column]) -> list:
     return [c for s, x in cells.items() for c in (x.isNotNull().alias(f"{s}_present"), x["value"].alias(f"{s}_value"))]
 
 
@@ -43,47 +44,55 @@ def _final(tagged: DataFrame, sides: list[str], insert: str) -> DataFrame:
     return out.select("key", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("ordinal"), *_columns({s: F.col(f"_{s}") for s in sides}))
 
 
+POSITIONS_A_BLOCK = 1 << 16
+
+
+def _block() -> Column:
+    return F.call_function("div", F.col("pos"), F.lit(POSITIONS_A_BLOCK).cast("long"))
+
+
 def _running(tagged: DataFrame, sides: list[str], insert: str) -> DataFrame:
-    frame = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if insert == "first" else F.last
-    cells = {s: pick(F.when(F.col("side") == s, F.struct("value")), ignorenulls=True).over(frame) for s in sides}
-    out = tagged.withColumns({f"_{s}": c for s, c in cells.items()})
+    """A side's cell is its earliest or latest (position, value) so far: a scan in blocks of positions, so a hot key is many tasks."""
+    kind = "min" if insert == "first" else "max"
+    out = prefix_scan(tagged, {f"_{s}": (kind, F.when(F.col("side") == s, F.struct("pos", "value"))) for s in sides}, _block(), ["pos"], ["key"])
     return out.select("key", "pos", F.lit(0).cast("long").alias("ordinal"), *_columns({s: F.col(f"_{s}") for s in sides}))
 
 
 def _product(tagged: DataFrame, sides: list[str], emit: str, most: int) -> DataFrame:
-    own = {s: F.when(F.col("side") == s, F.struct("pos", "value")) for s in sides}
+    """Counts come first: a key (or arrival) whose product passes the limit raises before anything is joined. Then each side's rows
+    are joined in turn, so no row ever holds a list, and the join's rows are those that go out."""
     if emit == "final":
-        out = tagged.groupBy("key").agg(*[F.array_sort(F.collect_list(c)).alias(f"_{s}") for s, c in own.items()]).withColumn("pos", F.lit(None).cast("long"))
+        base = product_sizes(tagged, sides).withColumn("pos", F.lit(None).cast("long"))
     else:
-        frame = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        out = tagged.withColumns({f"_{s}": F.collect_list(c).over(frame) for s, c in own.items()})
-    size = F.lit(1).cast("long")
+        base = prefix_scan(tagged, {f"_{s}": ("sum", F.when(F.col("side") == s, F.lit(1).cast("long"))) for s in sides}, _block(), ["pos"], ["key"])
+        base = base.select("key", "pos", _times([F.greatest(F.coalesce(F.col(f"_{s}"), F.lit(0)), F.lit(1)) for s in sides]).alias("rows"))
+    fault = F.raise_error(F.lit(f"more than {most} rows for a key")).cast("boolean")
+    out = base.where(F.when(F.col("rows") <= most, True).otherwise(fault)).drop("rows")
     for s in sides:
-        size = size * F.greatest(F.size(f"_{s}"), F.lit(1))
-    out = out.withColumn("_size", size)
-    first = sides[0]
-    guarded = F.when(F.col("_size") <= most, F.col(f"_{first}")).otherwise(F.raise_error(F.lit(f"more than {most} rows for a key")).cast(f"array<struct<pos:bigint,value:{dict(tagged.dtypes)['value']}>>"))
-    out = out.withColumn(f"_{first}", guarded)
-    for s in sides:
-        keep = [c for c in out.columns if c != f"_{s}"]
-        out = out.select(*keep, F.posexplode_outer(f"_{s}").alias(f"_i_{s}", f"_{s}"))
-    ordinal = F.row_number().over(Window.partitionBy("key", "pos").orderBy(*[F.coalesce(f"_i_{s}", F.lit(0)) for s in sides])) - 1
+        own = tagged.where(F.col("side") == s).select(F.col("key").alias("_key"), F.struct("pos", "value").alias(f"_{s}"))
+        met = F.col("key").eqNullSafe(F.col("_key"))
+        out = out.join(own, met if emit == "final" else met & (F.col(f"_{s}.pos") <= F.col("pos")), "left").drop("_key")
+    ordinal = F.row_number().over(Window.partitionBy("key", "pos").orderBy(*[F.col(f"_{s}.pos") for s in sides])) - 1
     return out.select("key", "pos", ordinal.cast("long").alias("ordinal"), *_columns({s: F.col(f"_{s}") for s in sides}))
 
 
+def _times(counts: list) -> Column:
+    """Their product as a double, since it may pass a long."""
+    out = F.lit(1.0)
+    for n in counts:
+        out = out * n
+    return out
+
+
 def product_sizes(tagged: DataFrame, sides: list[str]) -> DataFrame:
     """Rows that the final product join would give per key: the preflight of a limit."""
     counts = tagged.groupBy("key").agg(*[F.greatest(F.count_if(F.col("side") == s), F.lit(1)).alias(s) for s in sides])
-    size = F.col(sides[0])
-    for s in sides[1:]:
-        size = size * F.col(s)
-    return counts.select("key", size.alias("rows"))
+    return counts.select("key", _times([F.col(s) for s in sides]).alias("rows"))
 
 
 def check_product(tagged: DataFrame, sides: list[str], most: int) -> None:
     if bad := product_sizes(tagged, sides).where(F.col("rows") > most).orderBy("key").first():
-        raise LimitError(f"key {bad['key']!r} gives {bad['rows']} rows; {most} at most")
+        raise LimitError(f"key {bad['key']!r} gives {bad['rows']:.0f} rows; {most} at most")
 
 
 def _complete(tagged: DataFrame, sides: list[str], insert: str) -> DataFrame:

@@ -10,11 +10,40 @@ from spanweave.session import saved
 _COMBINE = {"max": F.max, "sum": F.sum, "min": F.min}
 
 
+BLOCKS_A_GROUP = 1024
+
+
+def _same(keys: list[str]) -> Column:
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return condition
+
+
+def _both(kind: str, a: str, b: str) -> Column:
+    if kind == "sum":
+        return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return (F.greatest if kind == "max" else F.least)(a, b)
+
+
+def _blocks_before(totals: DataFrame, kinds: dict[str, str], keys: list[str]) -> DataFrame:
+    """Of (keys, _block, _t_name): _p_name, over all blocks before. Blocks are scanned in groups of 1,024, the groups' totals in
+    one window per key: a row in it stands for some 67 million rows."""
+    rows = totals.withColumn("_group", F.floor(F.col("_block") / BLOCKS_A_GROUP))
+    before = Window.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy(*keys, "_group").agg(*[_COMBINE[k](f"_t_{n}").alias(f"_t_{n}") for n, k in kinds.items()])
+    over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*keys, "_group", *[_COMBINE[k](f"_t_{n}").over(over).alias(f"_g_{n}") for n, k in kinds.items()])
+    rows = rows.select(*keys, "_group", "_block", *[_COMBINE[k](f"_t_{n}").over(before).alias(f"_o_{n}") for n, k in kinds.items()])
+    rows = rows.alias("x").join(groups.alias("y"), _same([*keys, "_group"])).select("x.*", *[f"y._g_{n}" for n in kinds])
+    return rows.select(*keys, "_block", *[_both(k, f"_g_{n}", f"_o_{n}").alias(f"_p_{n}") for n, k in kinds.items()])
+
+
 def prefix_scan(df: DataFrame, values: dict[str, tuple[str, Column]], block: Column, order: list, keys: list[str] | None = None) -> DataFrame:
     """Adds, for each name of values (kind, column), name (up to and with the row) and name_before (up to the row before).
 
-    kind is max, min or sum. block must not decrease along order. Only one row per (keys, block) meets in the window over
-    blocks; rows themselves meet per block. Before the first value all are null.
+    kind is max, min or sum. block must not decrease along order. Rows meet per (keys, block), and one row per block with those
+    of its group of blocks. Before the first value all are null.
     """
     keys = keys or []
     df = df.withColumn("_block", block)
@@ -22,21 +51,10 @@ def prefix_scan(df: DataFrame, values: dict[str, tuple[str, Column]], block: Col
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_block").agg(*[_COMBINE[k](c).alias(f"_t_{n}") for n, (k, c) in values.items()])
-    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_block", *[_COMBINE[k](f"_t_{n}").over(outer).alias(f"_p_{n}") for n, (k, _) in values.items()])
+    totals = _blocks_before(totals, {n: k for n, (k, _) in values.items()}, keys)
     out = df.withColumns({f"_i_{n}": _COMBINE[k](c).over(upto) for n, (k, c) in values.items()} | {f"_b_{n}": _COMBINE[k](c).over(before) for n, (k, c) in values.items()})
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*keys, "_block"]]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    out = out.alias("x").join(totals.alias("y"), condition, "left").select("x.*", *[F.col(f"y._p_{n}") for n in values])
-
-    def both(kind: str, a: str, b: str) -> Column:
-        if kind == "sum":
-            return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-        return (F.greatest if kind == "max" else F.least)(a, b)
-
-    made = {n: both(k, f"_p_{n}", f"_i_{n}") for n, (k, _) in values.items()} | {f"{n}_before": both(k, f"_p_{n}", f"_b_{n}") for n, (k, _) in values.items()}
+    out = out.alias("x").join(totals.alias("y"), _same([*keys, "_block"]), "left").select("x.*", *[F.col(f"y._p_{n}") for n in values])
+    made = {n: _both(k, f"_p_{n}", f"_i_{n}") for n, (k, _) in values.items()} | {f"{n}_before": _both(k, f"_p_{n}", f"_b_{n}") for n, (k, _) in values.items()}
     return out.withColumns(made).drop("_block", *[f"_{x}_{n}" for n in values for x in "pib"])
 
 

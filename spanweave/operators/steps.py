@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.values import canonical
+from spanweave.operators.scan import prefix_scan
 from spanweave.operators.stateful import FlowExecutionError, fold_sorted
 
 
@@ -89,10 +90,14 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     return out.withColumn("ordinal", ordinal.cast("long")).drop("_edge")
 
 
-def running(df: DataFrame, **totals: Column) -> DataFrame:
-    """Known keyed folds as window aggregates, e.g. total=F.sum(...), in order of (pos, ordinal) per key."""
+def running(df: DataFrame, block: int = 1 << 16, **totals: Column | tuple[str, Column]) -> DataFrame:
+    """Known keyed folds in order of (pos, ordinal) per key. ("sum", column), ("max", ...) and ("min", ...) are scanned in blocks
+    of positions, so a hot key is many tasks; any other aggregate is a Column, e.g. F.avg(...), over one window per key."""
+    scanned = {n: c for n, c in totals.items() if isinstance(c, tuple)}
+    if scanned:
+        df = prefix_scan(df, scanned, F.call_function("div", F.col("pos"), F.lit(block).cast("long")), ["pos", "ordinal"], ["key"]).drop(*[f"{n}_before" for n in scanned])
     frame = Window.partitionBy("key").orderBy("pos", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: c.over(frame) for n, c in totals.items()})
+    return df.withColumns({n: c.over(frame) for n, c in totals.items() if n not in scanned})
 
 
 def stateful_map(df: DataFrame, begin: Callable, update: Callable, step_id: str = "stateful_map", value_type: str = "string") -> DataFrame:

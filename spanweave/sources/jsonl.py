@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.values import canonical, check_value, parse_strict
 from spanweave.schema import ValidationError
+from spanweave.session import saved
 from spanweave.sources.cloudevents import cloud_event
 
 # Fields of the native event.
@@ -28,8 +29,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     # Within a split rows come in order, and splits of a file are ordered by their first byte.
     counts = rows.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
-    from pyspark.sql import Window
-
     before = counts.select("f", "b", "first", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("f", "b")) - F.col("n")).alias("before"))
     out = rows.join(before, ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("line_no"), F.col("value").alias("raw"))
     return out.where(F.trim("raw") != "")
@@ -74,6 +73,7 @@ def _parsed(lines: DataFrame, one) -> DataFrame:
 
 
 def _strict(rows: DataFrame) -> DataFrame:
+    rows = saved(rows, "lines")  # parsed once, for the checks and for what follows
     if bad := rows.where("error IS NOT NULL").orderBy("line_no").first():
         raise ValidationError(bad["error"])
     if again := rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("at")).where("n > 1").orderBy("at").first():
