@@ -53,7 +53,7 @@ class WordIds:
     At most about `most` units are kept; beyond that the store starts anew.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -169,7 +169,7 @@ def _pieces_of(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: in
     return pa.RecordBatch.from_arrays(out, names=names)
 
 
-def _parts(ends: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _parts(ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes, or of one row."""
     a = 0
     while a < len(ends):
