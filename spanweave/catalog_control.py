@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave import catalog as C
-from spanweave.operators import drains, folds, steps
+from spanweave import report
+from spanweave.functions.values import canonical_json
+from spanweave.operators import align as A
+from spanweave.operators import drains, folds, joins, steps
 from spanweave.plans import budgets
+from spanweave.plans.flow import Edge, Graph, Node
 from spanweave.plans.pages import Pages
 from spanweave.session import shared_dir
+from spanweave.sources import jsonl
 from spanweave.streaming import processors
 from spanweave.streaming.aligner import align_stream
 from spanweave.streaming.runner import run_batches, sharded, streamed_join
-from spanweave.streaming.windows import OrderedWindow
+from spanweave.streaming.windows import StreamWindow
 
 GROUPS, SHARDS = 3, 8
 LIMITS = drains.DrainLimits(50, 20_000, 20_000, 1 << 20)
@@ -97,14 +102,17 @@ def _generated(spark: SparkSession, d: str) -> DataFrame:
     return steps.flat_map_udtf(C._records(spark, d), halves, 3, value_type="long")
 
 
-def _stream_ordered(spark: SparkSession, d: str) -> DataFrame:
-    """The ordered fold as a stream of two micro-batches, on eight shards; a drain follows every watermark."""
-    control = folds.with_watermark(C._control(spark, d)).where("op <> 'process' OR watermark IS NULL OR timestamp >= watermark")
+def _stream_fold(spark: SparkSession, d: str, ordered: bool) -> DataFrame:
+    """A fold as a stream of two micro-batches, on eight shards; a drain follows every watermark. The ordered one gets no late
+    arrivals, which it would reject; the other drops them."""
+    control = folds.with_watermark(C._control(spark, d))
+    if ordered:
+        control = control.where("op <> 'process' OR watermark IS NULL OR timestamp >= watermark")
     rows = control.select((F.col("pos") * 2).alias("pos"), "op", "timestamp", "key", F.col("event_type").alias("value"))
     after = rows.where("op = 'watermark'").select((F.col("pos") + 1).alias("pos"), F.lit("drain").alias("op"))
     rows = sharded(rows.unionByName(after, allowMissingColumns=True), SHARDS)
     half = _last_id(spark, d) * 2
-    fold = OrderedWindow(SPEC, str, lambda a, x: f"{a}|{x}", lambda a: a[1:], most_buffered=100_000)
+    fold = StreamWindow(SPEC, str, lambda a, x: f"{a}|{x}", lambda a: a[1:], 100_000, ordered)
     out = run_batches(rows, [F.col("pos") < half, F.col("pos") >= half], lambda s: processors.stateful(s, fold, "shard"))
     return out.drop("epoch")
 
@@ -122,6 +130,40 @@ def _byte_page(spark: SparkSession, d: str) -> DataFrame:
     return pages.read(cursor, 5000, 30_000)[0].select("seq", "o_orderkey", "o_orderstatus")
 
 
+def _cloud_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as CloudEvents lines and read back by the strict reader."""
+    path = f"{shared_dir(spark)}/cloudevents-{uuid.uuid4().hex}"
+    time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    envelope = F.struct(F.lit("1.0").alias("specversion"), F.col("event_id").cast("string").alias("id"), F.lit("/events").alias("source"), F.col("event_type").alias("type"), time.alias("time"), (F.col("event_id") % 4 * 900).cast("int").alias("durationms"), F.from_json("props", "k int").alias("data"))
+    C._table(spark, d, "events").select(F.to_json(envelope)).write.text(path)
+    out = jsonl.load_cloudevents(spark, path)
+    return out.select("id", "stream", "modality", "timestamp_ms", "duration_ms", F.get_json_object("data", "$.payload.k").cast("long").alias("k"))
+
+
+def _join_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and customers as the two producers of a join node, whose rows become records."""
+    o = C._table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"))
+    c = C._table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"))
+    join = Node("both", "join", {"sides": ["customer", "order"], "insert": "last", "emit": "final"})
+    g = Graph("customers", "1", (Node("customers", "entry"), Node("orders", "entry"), join), (Edge("customers", "both", side="customer"), Edge("orders", "both", side="order")))
+    return g.outputs({"customers": c, "orders": o}).select("pos", "key", "value")
+
+
+def _finished(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of a finished input: windows that no watermark has reached are closed too."""
+    control = C._control(spark, d)
+    end = control.agg((F.max("pos") + 1).alias("pos")).withColumn("op", F.lit("finish"))
+    return folds.fold(control.unionByName(end, allowMissingColumns=True), C.SPECS["sliding"], {"total": F.sum("value")})
+
+
+def _window_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a result document, read back: each window's events, the first and the last of them."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    report.write_document(A.align(C._events(spark, d), C.GAPPED), path, most=1, timeline=1)
+    events = F.col("events")
+    return spark.read.json(f"{path}/window_lines", schema="idx long, events array<struct<id:string>>").select("idx", F.size(events).cast("long").alias("n"), F.element_at(events, 1)["id"].alias("first"), F.element_at(events, -1)["id"].alias("last"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "stream_align_windows": _stream_align,
@@ -133,7 +175,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fold_counter_algebra": _algebra,
         "fold_python_span": _python_span,
         "flow_generator": _generated,
-        "stream_ordered_concat": _stream_ordered,
+        "stream_ordered_concat": lambda s, d: _stream_fold(s, d, True),
+        "stream_fold_concat": lambda s, d: _stream_fold(s, d, False),
+        "cloudevents_round_trip": _cloud_events,
+        "graph_join_records": _join_records,
+        "join_product_sizes": lambda s, d: joins.product_sizes(C._tagged(s, d).where(F.col("side").isin(C.SIDES)), C.SIDES).select("key", F.col("rows").cast("long").alias("rows")),
+        "fold_finished": _finished,
+        "canonical_json": lambda s, d: C._table(s, d, "events").select("event_id", canonical_json(F.concat(F.lit('{"z": 1.50, "a": '), F.col("props"), F.lit("}"))).alias("value")),
+        "report_window_lines": _window_lines,
         "stream_join_final": _stream_final,
         "page_by_bytes": _byte_page,
     }
@@ -193,6 +242,14 @@ FROM (SELECT {counted} FROM f) a, (SELECT count(*) AS created, sum(input_count):
         "fold_python_span": C._fold_sql("tumbling", span),
         "flow_generator": f"WITH {C._R} SELECT pos, k AS ordinal, key, value // (1 << k) AS value FROM (SELECT *, unnest(range(value % 4)) AS k FROM r)",
         "stream_ordered_concat": C._fold_sql("tumbling", "count(*) AS input_count, string_agg(event_type, '|' ORDER BY tick, pos) AS value"),
+        "stream_fold_concat": C._fold_sql("tumbling", "count(*) AS input_count, string_agg(event_type, '|' ORDER BY pos) AS value"),
+        "cloudevents_round_trip": "SELECT 'ce:%2Fevents:' || event_id AS id, '/events' AS stream, event_type AS modality, (epoch_us(ts) // 1000)::DOUBLE AS timestamp_ms, (event_id % 4 * 900)::DOUBLE AS duration_ms, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
+        "graph_join_records": """WITH o AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY 1)
+SELECT -1::BIGINT AS pos, coalesce(k, c_custkey)::VARCHAR AS key, '{"present":[' || (c_custkey IS NOT NULL) || ',' || (k IS NOT NULL) || '],"values":[' || coalesce('"' || c_mktsegment || '"', 'null') || ',' || coalesce('"' || v || '"', 'null') || ']}' AS value FROM customer FULL JOIN o ON k = c_custkey""",
+        "join_product_sizes": f"WITH {C._TAGGED} SELECT key, (" + " * ".join(f"greatest(count(*) FILTER (side = '{s}'), 1)" for s in C.SIDES) + ")::BIGINT AS rows FROM t GROUP BY key",
+        "fold_finished": C._fold_sql("sliding", "'ms' AS tick_unit, count(*) AS input_count, sum(value)::BIGINT AS total").rsplit("WHERE", 1)[0] + "GROUP BY key, idx",
+        "canonical_json": """SELECT event_id, '{"a":' || replace(props, ': ', ':') || ',"z":1.5}' AS value FROM events""",
+        "report_window_lines": C._grid_sql(C.GAPPED, "SELECT g.idx, count(m.id) AS n, first(m.id ORDER BY x.t, x.stream, x.id) AS first, last(m.id ORDER BY x.t, x.stream, x.id) AS last FROM g LEFT JOIN m USING (idx) LEFT JOIN x ON x.id = m.id GROUP BY g.idx", C._replay_sources(C.GAPPED, "t, stream, id")),
         "stream_join_final": C._join_sql("last", "final"),
         "page_by_bytes": """WITH s AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderstatus, strlen('{"o_orderkey":,"o_orderstatus":""}') + strlen(o_orderkey::VARCHAR) + strlen(o_orderstatus) AS b FROM orders),
   p AS (SELECT *, sum(b) OVER (ORDER BY seq) AS upto FROM s WHERE seq >= 10) SELECT seq, o_orderkey, o_orderstatus FROM p WHERE upto <= 30000 AND seq < 5010""",

@@ -1,5 +1,5 @@
-"""Ordered window folds in Structured Streaming: arrivals wait in a buffer until the watermark passes them, and are folded in
-order of time, then of arrival.
+"""Window folds in Structured Streaming, in order of arrival, or of time: then arrivals wait in a buffer until the watermark
+passes them.
 
 A processor holds the keys of a shard (see runner.sharded), so that a control row is sent to each shard once, not to each key.
 Rows are (pos, op, timestamp, key, value): op is process, watermark (timestamp is the new watermark), drain (timestamp is the most
@@ -21,18 +21,19 @@ from spanweave.schema import LateEventError, LimitError, ValidationError
 from spanweave.streaming.processors import _sorted
 
 
-class OrderedWindow(StatefulProcessor):
+class StreamWindow(StatefulProcessor):
     """-> drained windows (key, idx, start, end, input_count, value, epoch); epoch is the position of the drain row.
 
     State is JSON: begin() and fold() give JSON values, and finalize() the text that goes out (canonical JSON without one).
-    Late arrivals are rejected, whatever the policy: the buffer has put the others in order. Arrivals and watermarks are refused
+    ordered=False folds arrivals as they come, and the spec's late policy holds. Ordered ones that are late are rejected, whatever
+    the policy: the buffer has put the others in order. Arrivals and watermarks are refused
     while a closed window waits for a drain; the finish only if the buffer isn't empty then either. Repeated finishes do nothing.
     """
 
     schema = "key string, idx long, start long, end long, input_count long, value string, epoch long"
 
-    def __init__(self, spec: FoldWindow, begin: Callable[[], Any], fold: Callable[[Any, Any], Any], finalize: Callable[[Any], str] | None = None, most_buffered: int = 1_000):
-        self.spec, self.begin, self.fold, self.finalize, self.most = spec, begin, fold, finalize, most_buffered
+    def __init__(self, spec: FoldWindow, begin: Callable[[], Any], fold: Callable[[Any, Any], Any], finalize: Callable[[Any], str] | None = None, most_buffered: int = 1_000, ordered: bool = True):
+        self.spec, self.begin, self.fold, self.finalize, self.most, self.ordered = spec, begin, fold, finalize, most_buffered, ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buffer = handle.getListState("buffer", "timestamp long, pos long, key string, value string")
@@ -95,10 +96,15 @@ class OrderedWindow(StatefulProcessor):
                 ready = closed()
             else:
                 if mark is not None and tick < mark:
+                    if not self.ordered and self.spec.late_policy == "drop":
+                        continue
                     raise LateEventError(f"arrival {pos} at {tick} is below the watermark {mark}")
-                if len(waiting) >= self.most:
+                if not self.ordered:
+                    self._fold(cells, tick, own, value)
+                elif len(waiting) >= self.most:
                     raise LimitError(f"more than {self.most} arrivals wait for the watermark")
-                waiting.append((tick, pos, own, value))
+                else:
+                    waiting.append((tick, pos, own, value))
         if waiting:
             self.buffer.put(waiting)
         else:

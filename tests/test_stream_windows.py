@@ -10,7 +10,7 @@ from spanweave.plans.flow import Edge, Graph, Node
 from spanweave.schema import LateEventError, LimitError, ValidationError
 from spanweave.streaming import processors as P
 from spanweave.streaming.runner import run_batches, sharded, streamed_join
-from spanweave.streaming.windows import OrderedWindow
+from spanweave.streaming.windows import StreamWindow
 from tests.fake_state import run
 
 COLUMNS = ["pos", "op", "timestamp", "key", "value"]
@@ -39,7 +39,7 @@ def test_ordered_window_any_batching():
         spec = folds.FoldWindow(*rng.choice([(5, 5, 0), (7, 3, -2), (2, 5, 1)]))
         rows = arrivals(rng, rng.randint(0, 40), spec)
         cuts = sorted(rng.sample(range(len(rows) + 1), rng.randint(0, 4) if len(rows) > 4 else 0))
-        make = lambda spec=spec: OrderedWindow(spec, list, lambda a, x: [*a, x], lambda a: ",".join(a))
+        make = lambda spec=spec: StreamWindow(spec, list, lambda a, x: [*a, x], lambda a: ",".join(a))
         got = run(make, rows, COLUMNS, 0, cuts)
         want = {}
         for _, op, t, key, value in sorted((r for r in rows if r[1] == "process"), key=lambda r: (r[2], r[0])):
@@ -52,9 +52,36 @@ def test_ordered_window_any_batching():
             assert own == sorted(own)
 
 
+def test_arrival_order_any_batching():
+    rng = random.Random(6)
+    dropped = 0
+    for _ in range(150):
+        spec = folds.FoldWindow(*rng.choice([(5, 5, 0), (7, 3, -2), (2, 5, 1)]), late_policy=rng.choice(["drop", "reject"]))
+        rows = [(p, op, t - rng.randint(0, 4) if op == "process" else t, k, v) for p, op, t, k, v in arrivals(rng, rng.randint(0, 40), spec)]
+        cuts = sorted(rng.sample(range(len(rows) + 1), rng.randint(0, 4) if len(rows) > 4 else 0))
+        want, mark, late = {}, None, None
+        for pos, op, t, key, value in rows:
+            if op == "watermark":
+                mark = t
+            elif op == "process" and mark is not None and t < mark:
+                late = pos if late is None else late
+            elif op == "process":
+                for i in range((t - spec.origin - spec.width) // spec.hop + 1, (t - spec.origin) // spec.hop + 1):
+                    want.setdefault((key, i), []).append(value)
+        make = lambda spec=spec: StreamWindow(spec, list, lambda a, x: [*a, x], lambda a: ",".join(a), ordered=False)
+        if late is not None and spec.late_policy == "reject":
+            with pytest.raises(LateEventError, match=f"arrival {late} "):
+                run(make, rows, COLUMNS, 0, cuts)
+            continue
+        dropped += late is not None
+        got = run(make, rows, COLUMNS, 0, cuts)
+        assert sorted((r[0], r[1], r[5]) for r in got) == sorted((*k, ",".join(v)) for k, v in want.items())
+    assert dropped > 20
+
+
 def test_ordered_window_refusals():
     spec = folds.FoldWindow(5)
-    make = lambda: OrderedWindow(spec, int, lambda a, x: a + int(x), most_buffered=3)
+    make = lambda: StreamWindow(spec, int, lambda a, x: a + int(x), most_buffered=3)
     p, w = lambda pos, t: (pos, "process", t, "a", "1"), lambda pos, t: (pos, "watermark", t, None, None)
     drain, finish = (lambda pos: (pos, "drain", None, None, None)), (lambda pos: (pos, "finish", None, None, None))
     for rows, error, text in (
@@ -112,7 +139,7 @@ def test_ordered_window_as_a_stream(spark):
     spec = folds.FoldWindow(7, 3, -2)
     rows = arrivals(random.Random(9), 60, spec)
     df = spark.createDataFrame(rows, "pos long, op string, timestamp long, key string, value string")
-    pos, make = F.col("pos"), OrderedWindow(spec, str, lambda a, x: a + x, str)
+    pos, make = F.col("pos"), StreamWindow(spec, str, lambda a, x: a + x, str)
     got = run_batches(sharded(df, 3), [pos < 20, pos.between(20, 45), pos > 45], lambda s: P.stateful(s, make, "shard"))
     want = folds.fold_ordered(df.where("op <> 'drain'"), spec, F.lit(""), lambda a, x: F.concat(a, x), by_time=True)
     assert sorted((r.key, r.idx, r.input_count, r.value) for r in got.collect()) == sorted((r.key, r.idx, r.input_count, r.value) for r in want.collect())
