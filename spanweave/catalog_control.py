@@ -14,7 +14,7 @@ from spanweave.functions.values import canonical_json
 from spanweave.operators import align as A
 from spanweave.operators import drains, folds, joins, steps
 from spanweave.plans import budgets
-from spanweave.plans.flow import Edge, Graph, Node
+from spanweave.plans.flow import Edge, Graph, Node, linear
 from spanweave.plans.pages import Pages
 from spanweave.session import shared_dir
 from spanweave.sources import jsonl
@@ -78,6 +78,20 @@ def _drain_suffix(spark: SparkSession, d: str) -> DataFrame:
     return steps.running(keyed, running_total=("sum", F.col("value"))).drop("ordinal")
 
 
+def _drain_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of an even-valued prefix, a drained window and a suffix that changes keys and then counts in Python what has passed."""
+    c = _with_drains(spark, d)
+    data = c.where("op = 'process'").select("pos", "key", "value", "timestamp", F.lit(0).cast("long").alias("ordinal"))
+    window = {"spec": SPEC, "aggregates": {"total": F.sum("value")}, "control": c.where("op <> 'process'").select("pos", "op", "timestamp"), "drains": True}
+
+    def passed(value, state):
+        return state + 1, f"{state + 1}:{value}", True, True
+
+    total, epoch = F.get_json_object("value", "$.total"), F.get_json_object("value", "$.epoch")
+    nodes = [Node("even", "filter", F.col("value") % 2 == 0), Node("window", "window", window), Node("last", "key_by", F.substring("key", -1, 1)), Node("text", "map", F.concat_ws("@", total, epoch)), Node("count", "stateful_map", (int, passed))]
+    return linear("drains", "1", nodes).outputs({"input": data}).select("pos", "key", "value")
+
+
 def _algebra(spark: SparkSession, d: str) -> DataFrame:
     control = _with_drains(spark, d)
     cells = folds.all_cells(control, SPEC, {"total": F.sum("value")})
@@ -173,6 +187,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fold_drain_epochs": lambda s, d: _drained(s, d).select("key", "idx", "epoch", "place", "total"),
         "fold_drain_suffix": _drain_suffix,
         "fold_counter_algebra": _algebra,
+        "graph_drained_suffix": _drain_graph,
         "fold_python_span": _python_span,
         "flow_generator": _generated,
         "stream_ordered_concat": lambda s, d: _stream_fold(s, d, True),
@@ -239,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "fold_drain_suffix": _drains_sql("SELECT place AS pos, right(key, 1) AS key, total AS value, epoch, sum(total) OVER (PARTITION BY right(key, 1) ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS running_total FROM z2"),
         "fold_counter_algebra": _drains_sql(f"""SELECT a.*, created, emitted, created - emitted AS retained, finalized AS finalized_memberships, every - finalized AS retained_memberships
 FROM (SELECT {counted} FROM f) a, (SELECT count(*) AS created, sum(input_count)::BIGINT AS every FROM w), (SELECT count(*) AS emitted, coalesce(sum(input_count), 0)::BIGINT AS finalized FROM z2)"""),
+        "graph_drained_suffix": _drains_sql("SELECT place AS pos, right(key, 1) AS key, row_number() OVER (PARTITION BY right(key, 1) ORDER BY place) || ':' || total || '@' || epoch AS value FROM z2").replace("WHERE op = 'process')", "WHERE op = 'process' AND value % 2 = 0)"),
         "fold_python_span": C._fold_sql("tumbling", span),
         "flow_generator": f"WITH {C._R} SELECT pos, k AS ordinal, key, value // (1 << k) AS value FROM (SELECT *, unnest(range(value % 4)) AS k FROM r)",
         "stream_ordered_concat": C._fold_sql("tumbling", "count(*) AS input_count, string_agg(event_type, '|' ORDER BY tick, pos) AS value"),

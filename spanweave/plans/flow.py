@@ -159,14 +159,21 @@ def _join(inputs: list[tuple[str, DataFrame]], join: Callable[..., DataFrame], s
 
 def _window(node: Node, inputs: list[DataFrame]) -> DataFrame:
     """Prefix records carry their tick in value.timestamp (JSON) or column timestamp; closed windows become records in order
-    of window, then key."""
+    of window, then key. With drains (True, or "strict": nothing may come while a closed window waits) control holds drain rows,
+    only drained windows go on, with their epoch, and their position is their place among all drained ones: each runs through the
+    suffix before the next, so a suffix that changes keys meets them in order of epoch, window and key."""
     spec, aggregates, control = (node.function[k] for k in ("spec", "aggregates", "control"))
+    drains = node.function.get("drains", False)
     data = inputs[0]
     rows = data.select((F.col("pos") * 2).alias("pos"), F.lit("process").alias("op"), F.col("timestamp") if "timestamp" in data.columns else F.get_json_object("value", "$.timestamp").cast("long").alias("timestamp"), "key", "value")
     marks = control.select((F.col("pos") * 2 + 1).alias("pos"), "op", "timestamp", F.lit(None).cast("string").alias("key"), F.lit(None).cast(dict(data.dtypes)["value"]).alias("value"))
-    out = folds.fold(rows.unionByName(marks), spec, aggregates)
-    names = ["start", "end", "input_count", *aggregates]
-    return out.select(F.col("idx").alias("pos"), F.lit(0).cast("long").alias("ordinal"), "key", F.to_json(F.struct(*names)).alias("value"))
+    every = rows.unionByName(marks)
+    if drains:
+        out = folds.drain(folds.all_cells(every, spec, aggregates), every, spec, drains == "strict").withColumn("epoch", F.expr("epoch div 2")).withColumn("pos", F.col("place"))
+    else:
+        out = folds.fold(every, spec, aggregates).withColumn("pos", F.col("idx"))
+    names = ["start", "end", "input_count", *(["epoch"] if drains else []), *aggregates]
+    return out.select("pos", F.lit(0).cast("long").alias("ordinal"), "key", F.to_json(F.struct(*names)).alias("value"))
 
 
 _APPLY: dict[str, Callable] = {
