@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanweave.operators.scan import number_rows, prefix_scan
 from spanweave.operators.stateful import fold_groups
 from spanweave.schema import MAX_TICK, LateEventError, ValidationError
+from spanweave.session import saved
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ def closed_by(control: DataFrame, indexes: DataFrame, spec: FoldWindow, block: i
     """(idx, closer): the position of the control row that made each window of indexes (idx) eligible - the first watermark that
     reached its end, else the finish; without one the window isn't closed. Both are put in falling order of time, so the closer
     is a running minimum of positions."""
-    marks = with_watermark(control).where("op = 'watermark'").groupBy("watermark").agg(F.min("pos").alias("closer")).select(F.col("watermark").alias("tick"), F.lit(0).alias("kind"), "closer", F.lit(None).cast("long").alias("idx"))
+    marks = control.where("op = 'watermark'").groupBy("timestamp").agg(F.min("pos").alias("closer")).select(F.col("timestamp").alias("tick"), F.lit(0).alias("kind"), "closer", F.lit(None).cast("long").alias("idx"))
     ends = indexes.select((spec.start(F.col("idx")) + spec.width).alias("tick"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("closer"), "idx")
     found = prefix_scan(marks.unionByName(ends), {"first": ("min", F.col("closer"))}, F.call_function("div", -F.col("tick"), F.lit(block * spec.hop).cast("long")), [F.col("tick").desc(), "kind"])
     finish = control.where("op = 'finish'").agg(F.min("pos").alias("_finish"))  # one row
@@ -119,17 +120,20 @@ def drain(cells: DataFrame, control: DataFrame, spec: FoldWindow, strict: bool =
     arrival or watermark may come while an eligible window waits.
     """
     wide = F.lit(1 << 45).cast("long")
+    cells = saved(cells, "cells")
     closers = closed_by(control, cells.select("idx").distinct(), spec)
     ready = number_rows(cells.join(closers, "idx"), ["idx", "key"], "place")
     sizes = ready.groupBy(F.col("closer").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
-    steps = control.where("op <> 'drain'").groupBy("pos").agg(F.max(F.when(F.col("op").isin("process", "watermark"), F.col("pos"))).alias("input")).join(sizes, "pos", "left")
-    steps = steps.select("pos", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("cap"), "input", F.lit(False).alias("drains"))
+    steps = sizes.select("pos", "n", F.lit(0).cast("long").alias("cap"), F.lit(None).cast("long").alias("input"), F.lit(False).alias("drains"))
+    if strict:  # what comes in, to see whether a window waits then
+        inputs = control.where("op IN ('process', 'watermark')").select("pos", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("cap"), F.col("pos").alias("input"), F.lit(False).alias("drains"))
+        steps = steps.unionByName(inputs).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("cap").alias("cap"), F.max("input").alias("input"), F.lit(False).alias("drains"))
     drains = control.where("op = 'drain'").select("pos", F.lit(0).cast("long").alias("n"), F.coalesce("timestamp", wide).alias("cap"), F.lit(None).cast("long").alias("input"), F.lit(True).alias("drains"))
     line = F.call_function("div", F.col("pos"), F.lit(block).cast("long"))
-    scan = prefix_scan(steps.unionByName(drains), {"eligible": ("sum", F.col("n").cast("long")), "room": ("sum", F.col("cap"))}, line, ["pos"])
-    scan = prefix_scan(scan, {"low": ("min", F.when(F.col("drains"), F.col("eligible") - F.col("room")))}, line, ["pos"])
+    scan = prefix_scan(saved(steps.unionByName(drains), "steps"), {"eligible": ("sum", F.col("n").cast("long")), "room": ("sum", F.col("cap"))}, line, ["pos"])
+    scan = prefix_scan(saved(scan, "steps"), {"low": ("min", F.when(F.col("drains"), F.col("eligible") - F.col("room")))}, line, ["pos"])
     taken = F.coalesce(F.col("room") + F.least(F.col("low"), F.lit(0).cast("long")), F.lit(0).cast("long"))
-    scan = scan.withColumn("taken", F.greatest(taken, F.lit(0).cast("long")))
+    scan = saved(scan.withColumn("taken", F.greatest(taken, F.lit(0).cast("long"))), "steps")
     if strict:
         scan = prefix_scan(scan, {"_taken": ("max", F.when(F.col("drains"), F.col("taken")))}, line, ["pos"])
         waiting = F.col("input").isNotNull() & (F.coalesce("eligible_before", F.lit(0)) > F.coalesce("_taken_before", F.lit(0)))
