@@ -33,14 +33,20 @@ from spanweave.llm.arrow import small_batches
 from spanweave.session import saved
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
+WORDS_KEPT, BYTES_AT_ONCE = 200_000, 2_000_000  # of a task; half of both where ids go out as well
 CLASSES, GAP, PASSES, ROUNDS = 192, 0.05, 7, 150  # of the configuration program
 _PUNCTUATION = ".,!?;:&%$#*"  # trailing signs that are split off
 
 
-def _stays_letters(stems: pa.Array) -> list[bool]:
-    """Whether each stem (null: none) consists of letters alone in the tokenizer's normal form."""
-    ascii_only = pc.string_is_ascii(stems).to_pylist()
-    return [bool(plain) or (s is not None and (s == "" or unicodedata.normalize("NFC", s).lower().isalpha())) for plain, s in zip(ascii_only, stems.to_pylist(), strict=True)]
+_MARKED: list[str] = []
+
+
+def _marked() -> str:
+    """A class of the letters that are more than letters in the tokenizer's normal form (composed and in lower case)."""
+    if not _MARKED:
+        odd = [c for c in map(chr, range(0x80, 0x32000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+        _MARKED.append("[" + "".join(odd) + "]")
+    return _MARKED[0]
 
 
 class WordIds:
@@ -53,7 +59,7 @@ class WordIds:
     At most about `most` units are kept; beyond that the store starts anew.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,7 +99,7 @@ class WordIds:
         found = pc.extract_regex(words.dictionary, rf"\A(?P<a>\pL*)(?P<b>[{_PUNCTUATION}]*)\z")
         two = found.is_valid()
         stem = pc.struct_field(found, "a")
-        two = pc.and_(two, pa.array(_stays_letters(stem)))
+        two = pc.and_(two, pc.invert(pc.fill_null(pc.match_substring_regex(stem, _marked()), True)))
         stem = pc.if_else(two, stem, words.dictionary)
         stem = pc.if_else(pc.and_(two, pc.string_is_ascii(stem)), pc.ascii_lower(stem), stem)
         units = pa.concat_arrays([stem, pc.if_else(two, pc.struct_field(found, "b"), "")]).dictionary_encode()
@@ -134,11 +140,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian 32-bit) if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of, half = word_ids(tokenizer), 1 + with_ids
+        ids_of.most = WORDS_KEPT // half
         try:
             for batch in batches:
                 sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy())
-                for a, b in _parts(sizes):
+                for a, b in _parts(sizes, BYTES_AT_ONCE // half):
                     yield _pieces_of(batch["doc_id"].slice(a, b - a), *ids_of.many(batch["text"].slice(a, b - a)), capacity, names)
         finally:  # a worker serves many tasks, of other operators too
             ids_of.forget()
@@ -169,7 +176,7 @@ def _pieces_of(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: in
     return pa.RecordBatch.from_arrays(out, names=names)
 
 
-def _parts(ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(ends: np.ndarray, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes, or of one row."""
     a = 0
     while a < len(ends):
