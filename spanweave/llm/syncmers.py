@@ -1,13 +1,17 @@
 """Document fingerprints by closed syncmers, in built-in functions only.
 
-A text's units are its lower-case words; texts of up to SHORT code points are fingerprinted on code points as well. A k-mer
-of units is a closed syncmer if the smallest hash of its inner s-mers lies at its first or last place. Whether it is one
-depends on its own units alone, so equal passages give equal anchors wherever they stand, and in any k - s + 1 consecutive
-k-mers there is one at least. The fingerprint is the list of the anchors' 32-bit hashes in text order. A text with units but
-without a syncmer has the hash of all its units as its one anchor.
-
-Likeness is the Dice coefficient of the distinct anchors: of those on code points if both texts are short, else of those on
-words. Null texts count as empty; two empty fingerprints are alike (1), an empty one and another aren't (0).
+A text's units are its lower-case words; characters of scripts written without spaces (UNSPACED) are units of their own, and
+words of more than LONG code points give their code points. This rule is the same for texts of every length. EDGE units
+stand before the first and after the last unit, so that the shortest texts have anchors too. A k-mer of units is a closed
+syncmer if the smallest hash of its inner s-mers lies at its first or last place. Whether it is one depends on its own units
+alone, so equal passages give equal anchors wherever they stand, and in any k - s + 1 consecutive k-mers there is one at
+least. The fingerprint is the list of the anchors' 32-bit hashes in text order. A text without units has none.
+
+Likeness matches anchors by place: the first occurrences of each anchor that both texts have are paired, and a pair counts if
+the shift of its places is within BAND of the texts' mean number of distinct anchors from the median shift of all pairs (the
+diagonal on which the texts lie above each other). It is the Dice coefficient of the pairs that count. So texts whose halves
+are swapped are about half alike. Null texts count as empty; two empty fingerprints are alike (1), an empty one and
+another aren't (0).
 
 edited_pairs() meets every text with the next one in descending doc_id (null last; ties by a hash of the text; after the last
 the first). Ranges of doc_id are dealt to partitions, and the first row of each range goes to the range before it as well, so
@@ -20,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHORT = 512
-WORD_K, WORD_S = 5, 1
-CHAR_K, CHAR_S = 5, 2
+K, S = 5, 1
+LONG = 32
+BAND = 0.25
+UNSPACED = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Hangul", "Thai", "Lao", "Khmer", "Myanmar"))
+EDGE = (1 << 63) - 1  # hashes of units meet it hardly ever; as the largest number it is smaller than none of them
 
 
 def _anchors(units: str, k: int, s: int) -> Column:
@@ -43,29 +49,49 @@ def _anchors(units: str, k: int, s: int) -> Column:
     return F.when(size == 0, F.array().cast("array<int>")).when(F.size(found) == 0, F.array(F.hash(u))).otherwise(found)
 
 
-def add_anchors(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds {prefix}words and {prefix}chars (null for long texts): the anchors of column text, which must not be null."""
-    words = F.transform(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    chars = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).when(F.length(text) <= SHORT, F.transform(F.split(F.col(text), ""), lambda c: F.xxhash64(c)))
-    out = df.withColumn("_w", words).withColumn("_c", chars)
-    return out.withColumn(f"{prefix}words", _anchors("_w", WORD_K, WORD_S)).withColumn(f"{prefix}chars", F.when(F.col("_c").isNotNull(), _anchors("_c", CHAR_K, CHAR_S))).drop("_w", "_c")
+def add_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds name: the anchors of column text, which must not be null."""
+    lower = F.lower(F.col(text))
+    apart = rf"[^\p{{L}}\p{{N}}]+|(?=[{UNSPACED}])|(?<=[{UNSPACED}])"
+    words = F.when(F.length(text) == F.octet_length(text), F.split(lower, r"[^\p{L}\p{N}]+")).otherwise(F.split(lower, apart))
+    out = df.withColumn("_w", F.filter(words, lambda w: w != ""))
+    long = F.exists("_w", lambda w: F.length(w) > LONG)
+    pieces = F.flatten(F.transform("_w", lambda w: F.when(F.length(w) <= LONG, F.array(w)).otherwise(F.split(w, ""))))
+    units = F.transform(F.when(long, pieces).otherwise(F.col("_w")), lambda w: F.xxhash64(w))
+    edge = F.array_repeat(F.lit(EDGE), K - 1)
+    out = out.withColumn("_u", F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(F.concat(edge, units, edge)))
+    return out.withColumn(name, _anchors("_u", K, S)).drop("_w", "_u")
+
+
+def fingerprint(anchors: str) -> Column:
+    """Anchors in hexadecimal, joined."""
+    return F.array_join(F.transform(anchors, lambda h: F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), ".")
+
+
+_PLACE = (1 << 31) - 1
+
 
+def add_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds name: the likeness of the anchors in columns a and b.
 
-def fingerprint(prefix: str) -> Column:
-    """Anchors in hexadecimal, joined: those on words, and after a slash those on code points if there are any."""
-    text = lambda c: F.array_join(F.transform(c, lambda h: F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), ".")
-    return F.when(F.col(f"{prefix}chars").isNull(), text(f"{prefix}words")).otherwise(F.concat(text(f"{prefix}words"), F.lit("/"), text(f"{prefix}chars")))
+    Anchor, side and place are packed into one number, so that sorting brings the occurrences of an anchor together; of each
+    side the first is kept, and those of both sides are neighbours then."""
 
+    def packed(c: str, side: int) -> Column:
+        return F.transform(c, lambda h, i: F.shiftleft(h.cast("long"), 32).bitwiseOR(F.lit(side << 31)).bitwiseOR(i.cast("long")))
 
-def likeness(a: str, b: str) -> Column:
-    def dice(x: str, y: str) -> Column:
-        x_, y_ = F.array_distinct(x), F.array_distinct(y)
-        both = F.size(F.array_intersect(x, y))
-        total = F.size(x_) + F.size(y_)
-        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / total)
+    def before(c: str, i: Column) -> Column:
+        return F.element_at(c, F.greatest(i, F.lit(1)))  # place i - 1 counted from 0
 
-    short = F.col(f"{a}chars").isNotNull() & F.col(f"{b}chars").isNotNull()
-    return F.when(short, dice(f"{a}chars", f"{b}chars")).otherwise(dice(f"{a}words", f"{b}words"))
+    out = df.withColumn("_all", F.sort_array(F.concat(packed(a, 0), packed(b, 1))))
+    first = F.filter("_all", lambda x, i: (i == 0) | (F.shiftright(x, 31) != F.shiftright(before("_all", i), 31)))
+    out = out.withColumn("_first", first).drop("_all")
+    shift = lambda x, i: F.when((i > 0) & (F.shiftright(x, 32) == F.shiftright(before("_first", i), 32)), x.bitwiseAND(F.lit(_PLACE)) - before("_first", i).bitwiseAND(F.lit(_PLACE)))
+    out = out.withColumn("_shifts", F.sort_array(F.filter(F.transform("_first", shift), lambda d: d.isNotNull())))
+    out = out.withColumn("_median", F.try_element_at("_shifts", (F.floor(F.size("_shifts") / 2) + 1).cast("int")))
+    total = F.size("_first")
+    near = F.size(F.filter("_shifts", lambda d: F.abs(d - F.col("_median")) <= BAND / 2 * total))
+    return out.withColumn(name, F.when(total == 0, F.lit(1.0)).otherwise(2.0 * near / total)).drop("_first", "_shifts", "_median")
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -93,30 +119,31 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document with its edited text: the last third of its code points replaced by the first as many of the next's."""
     dealt = _dealt(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = add_anchors(dealt.repartition(parts, "_range"), "_text", "_a_")
+    rows = add_anchors(dealt.repartition(parts, "_range"), "_text", "_a")
     order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("_text"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = {c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in ("_text", "_a_words")}
-    out = rows.withColumns({"_next": following["_text"], "_n_words": following["_a_words"], "_n_chars": F.when(F.lead("_text").over(order).isNull(), F.first("_a_chars").over(whole)).otherwise(F.lead("_a_chars").over(order))}).where("_guest = 0").drop("_range", "_guest")
+    following = {c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in ("_text", "_a")}
+    out = rows.withColumns({"_next": following["_text"], "_n": following["_a"]}).where("_guest = 0").drop("_range", "_guest")
     n = F.length("_text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - cut), F.substring("_next", F.lit(1), cut))
-    return add_anchors(out.withColumn("_edited", edited).drop("_next"), "_edited", "_e_")
+    return add_anchors(out.withColumn("_edited", edited).drop("_next"), "_edited", "_e")
 
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
-    return edited_pairs(docs).select(
+    pairs = add_likeness(add_likeness(edited_pairs(docs), "_a", "_e", "near_edited"), "_a", "_n", "near_next")
+    return pairs.select(
         "doc_id",
         F.length("_text").cast("long").alias("n_chars"),
         F.sha2("_edited", 256).alias("edited_sha256"),
-        fingerprint("_a_").alias("fingerprint"),
-        fingerprint("_e_").alias("edited_fingerprint"),
-        likeness("_a_", "_e_").alias("near_edited"),
-        likeness("_a_", "_n_").alias("near_next"),
+        fingerprint("_a").alias("fingerprint"),
+        fingerprint("_e").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    return add_anchors(rows, "_text", "_a_").select("doc_id", fingerprint("_a_").alias("fingerprint"))
+    return add_anchors(rows, "_text", "_a").select("doc_id", fingerprint("_a").alias("fingerprint"))
