@@ -11,13 +11,19 @@ from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch: whole texts are long, so that Spark's usual 10,000 rows would be tens of megabytes several times over.
 ROWS_A_BATCH = 1000
+#: Bytes of an Arrow batch, for texts that are longer still.
+BYTES_A_BATCH = 1 << 25
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's batch size (if larger), which plans read when they run; it has no effect on results."""
+    """Sets the session's batch sizes (if larger), which plans read when they run; they have no effect on results."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
         spark.conf.set(name, str(ROWS_A_BATCH))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = str(spark.conf.get(name)).removesuffix("b")
+    if not told.isdigit() or not 0 < int(told) <= BYTES_A_BATCH:
+        spark.conf.set(name, str(BYTES_A_BATCH))
 
 
 def byte_parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:

@@ -1,9 +1,10 @@
 """Secret scans: a trigram inverted index per block of texts, Boolean trigram queries, then the regexes.
 
-Every rule's regex yields a Boolean query over trigrams that any match must hold. Each block of rows (an Arrow batch)
+Every rule's regex yields a Boolean query over trigrams that any match must hold. Each block of rows (a part of an Arrow batch)
 gets an inverted index, made of its texts' own trigrams as far as a query names them; the postings are intersected and united as the query says, and only the
 candidate rows meet the regex. A rule with no mandatory trigram (the hex rule) scans every row. The index follows the
-data's own blocks, so nothing is shuffled and its size is bounded by the batch.
+data's own blocks, so nothing is shuffled. A block ends at BLOCK code points (or holds one text), and its bytes are looked up
+in slices, so that memory follows the longest text and not the number of rows.
 
 Null and empty texts have no spans. Rows are independent: ties, repeated rows and extra columns have no effect.
 """
@@ -126,6 +127,9 @@ def _compiled(rules: tuple[Rule, ...]):
     return [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
 
 
+BLOCK = 1 << 20  # code points of a block's texts
+_SLICE = 1 << 21  # bytes looked up at once
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z in lower case
 
@@ -143,10 +147,17 @@ def build_index(texts: list[str], trigrams: set[str]) -> dict[str, np.ndarray]:
     known, data = np.zeros(1 << 24, bool), [x.encode("utf-8", "surrogatepass") for x in texts]
     known[list(wanted)] = True
     ends = np.cumsum([len(x) + 1 for x in data])
-    flat = _FOLD[np.frombuffer(b"\0".join([*data, b""]), np.uint8)].astype(np.uint32)
-    codes = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:] if len(flat) > 2 else np.empty(0, np.uint32)
-    hits = np.flatnonzero(known[codes])
-    rows, codes = np.searchsorted(ends, hits, "right"), codes[hits]
+    flat = np.frombuffer(b"\0".join([*data, b""]), np.uint8)
+    places, found = [], []
+    for a in range(0, len(flat) - 2, _SLICE):
+        part = _FOLD[flat[a : a + _SLICE + 2]].astype(np.uint32)
+        codes = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+        hits = np.flatnonzero(known[codes])
+        places.append(hits + a)
+        found.append(codes[hits])
+    if not places:
+        return {t: np.empty(0, np.int64) for t in trigrams}
+    rows, codes = np.searchsorted(ends, np.concatenate(places), "right"), np.concatenate(found)
     return {t: np.unique(rows[codes == c]) for c, t in wanted.items()}
 
 
@@ -165,6 +176,18 @@ def candidates(index: dict[str, np.ndarray], query: Query, rows: int) -> np.ndar
     return found.astype(np.int64)
 
 
+def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have at most `most` code points together, or of one row."""
+    a = size = 0
+    for i, text in enumerate(texts):
+        if i > a and size + len(text) > most:
+            yield a, i
+            a, size = i, 0
+        size += len(text)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def scan_block(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, rule number, end) in order of start, then of rules."""
     plans = _compiled(rules)
@@ -189,8 +212,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = scan_block(pdf["text"].tolist(), rules)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "kinds": [[rules[k].kind for _, k, _ in s] for s in spans], "starts": [[a for a, _, _ in s] for s in spans], "ends": [[e for _, _, e in s] for s in spans]})
+            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            for a, b in blocks(texts):
+                spans = scan_block(texts[a:b], rules)
+                yield pd.DataFrame({"doc_id": ids[a:b], "kinds": [[rules[k].kind for _, k, _ in s] for s in spans], "starts": [[a for a, _, _ in s] for s in spans], "ends": [[e for _, _, e in s] for s in spans]})
 
     small_batches(docs.sparkSession)
     texts = docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "coalesce(text, '') AS text")

@@ -51,3 +51,18 @@ def test_against_scan_without_index(spark):
 
 def test_empty_table(spark):
     assert S.secret_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_and_slices_change_nothing(monkeypatch):
+    texts = [(x or "") * n for n in (1, 40) for x in TEXTS]
+    whole = S.scan_block(texts)
+    assert whole == [brute(x) for x in texts]
+    for most in (1, 30, 10**9):
+        ranges = list(S.blocks(texts, most))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(map(len, texts[a:b])) <= most for a, b in ranges)
+        assert [s for a, b in ranges for s in S.scan_block(texts[a:b])] == whole
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(S, "_SLICE", size)
+        assert S.scan_block(texts) == whole
+    assert list(S.blocks([])) == [] and S.scan_block([]) == [] and S.scan_block(["", "a"]) == [[], []]
