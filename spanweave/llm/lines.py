@@ -36,12 +36,31 @@ from pyspark.sql import functions as F
 from spanweave.session import saved
 
 MIN_WORDS = 5
+#: What a regular expression calls \s.
+WHITE = " \t\n\x0b\f\r"
 
 
 def _pieces(text: str | Column) -> Column:
     return F.split(text, r"(?<=\n)(?=[^\n])")
 
 
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(_doc, _pos, _line): the trimmed lines that aren't blank; _pos counts _pieces(). Regular expressions would look at every
+    character many times, and at runs of white space inside a line in the square of their length. Each piece has one run without
+    line feeds, but for a first one of line feeds alone."""
+    runs = keyed.select("_doc", F.startswith("text", F.lit("\n")).cast("int").alias("_lead"), F.posexplode(F.array_remove(F.split("text", "\n"), "")).alias("_run", "_line"))
+    return runs.select("_doc", (F.col("_run") + F.col("_lead")).alias("_pos"), F.btrim("_line", F.lit(WHITE)).alias("_line")).where("_line <> ''")
+
+
+def _n_words(line: str) -> Column:
+    """Words of a trimmed line that isn't blank: its spaces and one, unless it has other gaps than single spaces."""
+    other = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\f", "\x0b"):
+        other = other | F.contains(line, F.lit(gap))
+    single = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+    return F.when(other, F.size(F.split(line, r"\s+"))).otherwise(single)
+
+
 def _increasing(values: list[int]) -> list[int]:
     """Positions of a longest increasing subsequence (patience sorting)."""
     tops, at, back = [], [], [-1] * len(values)
@@ -94,9 +113,7 @@ def aligned_positions(first: tuple[list, list], later: tuple[list, list]) -> lis
 def line_marks(docs: DataFrame, every: bool = False) -> DataFrame:
     """Rows (_doc, _pos, _words, _blank) of documents with aligned lines: those lines, in order; _doc as in _keyed()."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    line = F.trim(F.regexp_replace("_line", r"^\s+|\s+$", ""))
-    lines = keyed.select("_doc", F.posexplode(_pieces("text")).alias("_pos", "_line")).select("_doc", "_pos", line.alias("_line")).where("_line <> ''")
-    lines = saved(lines.select("_doc", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"), F.size(F.split("_line", r"\s+")).alias("_words")).distinct(), "lines")
+    lines = saved(_lines(keyed).select("_doc", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"), _n_words("_line").alias("_words")).distinct(), "lines")
 
     holders = lines.groupBy("_h", "_g").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first <> _last").drop("_last")
     shared = saved(lines.join(holders, ["_h", "_g"]), "shared")
@@ -189,15 +206,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False
     """The columns of docs, with text without the deleted blocks and n_chars (if there) its length, and n_deleted (lines), which
     stands in for a column of that name in docs.
     every: align with all earlier holders of a line, not with its first one alone."""
-    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
+    rest = [c for c in docs.columns if c != "text"]  # the text is shuffled once
+    keyed = _keyed(docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")).drop("doc_id")
     gone = deletions(docs, min_words, every)
     out = keyed.join(gone, "_doc", "left")
     places = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "gone")
-    kept = F.array_join(F.transform(places, lambda i: F.get("_pieces", i)), "")
     out = out.withColumn("_pieces", F.when(F.col("gone").isNotNull(), _pieces("text")))
-    out = out.withColumn("_new", F.when(F.col("gone").isNull(), F.col("text")).when(F.regexp_replace(kept, r"^\s+$", "") == "", F.lit("")).otherwise(kept))
+    out = out.withColumn("_kept", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(places, lambda i: F.get("_pieces", i)), "")))
+    out = out.withColumn("_new", F.when(F.col("gone").isNull(), F.col("text")).when(F.btrim("_kept", F.lit(WHITE)) == "", F.lit("")).otherwise(F.col("_kept")))
     new = {"text": F.col("_new"), "n_chars": F.coalesce(F.length("_new"), F.lit(0)).cast("long")}
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns if c != "n_deleted"], F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"))
+    return out.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns if c != "n_deleted"], F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
