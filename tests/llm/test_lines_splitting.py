@@ -9,7 +9,7 @@ WHITE = " \t\n\x0b\f\r"
 
 def test_places_and_words_of_lines(spark):
     texts = ["".join(x) for n in range(6) for x in itertools.product("\n a", repeat=n)]
-    texts += [None, "a\tb  c\n\x0bd\x0ce\r\n f g \n \n　h i ", "é ü\n\n\nß", "\n\n\r\n x  y\tz\x0bw"]
+    texts += [None, "a\tb  c\n\x0bd\x0ce\r\n f g\u2028\n\u00a0\n\u3000h i ", "é ü\n\n\nß", "\n\n\r\n x  y\tz\x0bw"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = L._lines(L._keyed(docs))
     got = sorted((r._doc._id, r._pos, r._line, r.n) for r in found.select("*", L._n_words("_line").alias("n")).collect())
@@ -19,7 +19,7 @@ def test_places_and_words_of_lines(spark):
 
 def test_last_line_that_ends_with_a_separator(spark):
     """A regular expression's $ also stands before U+2028 at the very end, so the same line differed there."""
-    line = "one line of six words here  "
+    line = "one line of six words here \u2028"
     docs = spark.createDataFrame([(1, f"own 1\n{line}\nown 2"), (2, f"own 3\n{line}")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in L.line_dedup_digest(docs).collect()) == [(1, f"own 1\n{line}\nown 2"), (2, "own 3\n")]
 
