@@ -14,6 +14,7 @@ Null and empty texts are one end id. Repeated rows are packed each for itself; a
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import unicodedata
@@ -36,6 +37,15 @@ CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 WORDS_KEPT, BYTES_AT_ONCE = 200_000, 2_000_000  # of a task; half of both where ids go out as well
 CLASSES, GAP, PASSES, ROUNDS = 192, 0.05, 7, 150  # of the configuration program
 _PUNCTUATION = ".,!?;:&%$#*"  # trailing signs that are split off
+_SMALL = "a-zß-öø-ÿ"  # small Latin letters, which neither compose with each other nor change in lower case
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_RUNS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 _MARKED: list[str] = []
@@ -49,14 +59,66 @@ def _marked() -> str:
     return _MARKED[0]
 
 
+def _reached(pairs: list[tuple[int, int]], first: int) -> bool:
+    """Whether merging the lowest pair again and again makes each token (the k-th pair's is first + k) from its own bytes by its
+    own pair last. Then two neighbours that spell a token are always that token's pair, so a pair is known by its bytes."""
+    made = {pair: first + k for k, pair in enumerate(pairs)}
+    if len(made) != len(pairs):
+        return False
+    for k, (a, b) in enumerate(pairs):
+        if max(a, b) >= first + k:
+            return False
+        lowest = first + k  # the pair must be able to stand side by side until its turn: undo both, the later merge first
+        while a >= first or b >= first:
+            if made.get((a, b), lowest) < lowest:
+                return False
+            if b >= first and (a < first or a <= b):
+                lowest, b = b + 1, pairs[b - first][0]
+            else:
+                lowest, a = a, pairs[a - first][1]
+        if made.get((a, b), lowest) < lowest:
+            return False
+    return True
+
+
+def _by_ranks(path: str):
+    """An encoder by ranks of words of small Latin letters that each end in a space, and which ids end a word. None unless the
+    tokenizer leaves such words alone and merges their bytes in the order of its ids. The space stands for the end of a word:
+    a word's last byte and it are one symbol, whose id is below those of all merges."""
+    import tiktoken
+
+    with open(path) as f:
+        whole = json.load(f)
+    model, end = whole["model"], whole["model"].get("end_of_word_suffix")
+    usual = model["type"] == "BPE" and end and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    if not usual or whole["normalizer"] != _NORMAL or whole["pre_tokenizer"] != _RUNS or any(len(t["content"]) < 2 or t["content"].isalpha() for t in whole["added_tokens"]):
+        return None
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in letters]
+    byte = {chr(c): x for c, x in zip([*letters, *range(256, 256 + len(rest))], [*letters, *rest], strict=True)}
+    vocab, ranks = model["vocab"], {}
+    for token, k in vocab.items():
+        ranks[bytes(map(byte.__getitem__, token.removesuffix(end))) + b" " * token.endswith(end)] = k
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    first = len(vocab) - len(pairs)
+    if first != 512 or len(ranks) != len(vocab) or [vocab.get(a + b) for a, b in pairs] != [*range(first, len(vocab))]:
+        return None
+    if any(vocab.get(c + e, first) >= first for c in byte for e in ("", end)) or not _reached([(vocab[a], vocab[b]) for a, b in pairs], first):
+        return None
+    ends = np.zeros(len(vocab), bool)
+    ends[[k for token, k in vocab.items() if token.endswith(end)]] = True
+    return tiktoken.Encoding("own", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), ends
+
+
 class WordIds:
     """Token ids of texts, with the ids of words kept from one call to the next.
 
     The tokenizer drops white space and no token, composition or case rule reaches across an ASCII space, so a text's ids
     are those of its words. A word of letters that stay letters when composed and in lower case (a capital I with a dot becomes
     a letter and a mark, which joins the signs after it) with trailing punctuation is two runs to the tokenizer, so both count
-    as units of their own. Arrow splits texts and finds the different words; Python sees each different unit of a call once.
-    At most about `most` units are kept; beyond that the store starts anew.
+    as units of their own. Arrow splits texts and finds the different words; each different unit of a call is encoded once,
+    words of Latin letters by ranks if the tokenizer allows it, which takes less time than to keep them.
+    At most about `most` other units are kept; beyond that the store starts anew.
     """
 
     def __init__(self, path: str, most: int = WORDS_KEPT):
@@ -64,6 +126,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.ranked = _by_ranks(path)
 
     def _each(self, words: list[str]) -> None:
         if words:
@@ -82,7 +145,7 @@ class WordIds:
             ends = [*(4 * starts[1:]).tolist(), len(data)]
             self.known.update(zip(some, map(data.__getitem__, map(slice, (4 * starts).tolist(), ends)), strict=True))
 
-    def _units(self, units: list[str]) -> list[bytes]:
+    def _kept(self, units: list[str]) -> list[bytes]:
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known = {"": b""}
@@ -92,6 +155,23 @@ class WordIds:
         self._each([u for u, x in zip(new, letters, strict=True) if not x])
         return [self.known[u] for u in units]
 
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different units in a row, how many each has, and the order in which the units stand there."""
+        plain = np.zeros(len(units), bool)
+        if self.ranked:
+            plain = pc.match_substring_regex(units, rf"\A[{_SMALL}]+\z").to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        ids = self._kept(units.take(pa.array(order[n:])).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if n:
+            encoding, ends = self.ranked
+            fast = encoding.encode_to_numpy(" ".join([*units.take(pa.array(order[:n])).to_pylist(), ""]))
+            flat = np.concatenate([fast.astype("<u4", copy=False), flat])
+            sizes = np.concatenate([np.diff(np.flatnonzero(ends[fast]), prepend=-1).astype(np.int32), sizes])
+        return flat, sizes, order
+
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the places where a text's ids begin (one more than texts)."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -101,12 +181,14 @@ class WordIds:
         stem = pc.struct_field(found, "a")
         two = pc.and_(two, pc.invert(pc.fill_null(pc.match_substring_regex(stem, _marked()), True)))
         stem = pc.if_else(two, stem, words.dictionary)
-        stem = pc.if_else(pc.and_(two, pc.string_is_ascii(stem)), pc.ascii_lower(stem), stem)
+        latin = pc.match_substring_regex(stem, rf"\A[A-ZÀ-ÖØ-Þ{_SMALL}]*\z")
+        stem = pc.if_else(pc.and_(two, latin), pc.utf8_lower(stem), stem)
         units = pa.concat_arrays([stem, pc.if_else(two, pc.struct_field(found, "b"), "")]).dictionary_encode()
-        ids = self._units(units.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        of, n = units.indices.to_numpy(), len(words.dictionary)
+        flat, sizes, order = self._units(units.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        of, n = place[units.indices.to_numpy()], len(words.dictionary)
         codes = words.indices.to_numpy()
         own = np.empty(2 * len(codes), np.int32)
         own[0::2], own[1::2] = of[:n][codes], of[n:][codes]
