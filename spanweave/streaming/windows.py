@@ -8,7 +8,9 @@ windows that it takes, null for all) or finish.
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -46,12 +48,21 @@ class StreamWindow(StatefulProcessor):
         except Exception as error:
             raise WindowFoldError(f"{phase} of key {key!r}, idx {idx}: {type(error).__name__}: {error}") from error
 
-    def _fold(self, cells: dict, tick: int, key: str, value: Any) -> None:
+    def _fold(self, cells: dict, held: dict[int, list], heap: list[int], tick: int, key: str, value: Any) -> None:
         spec = self.spec
         for idx in range((tick - spec.origin - spec.width) // spec.hop + 1, (tick - spec.origin) // spec.hop + 1):
             n, state = cells.get((idx, key)) or (0, json.dumps(self._call("begin", self.begin, key, idx)))
+            if not n:
+                self._hold(held, heap, idx, key)
             cells[idx, key] = n + 1, json.dumps(self._call("fold", self.fold, key, idx, json.loads(state), value))
 
+    def _hold(self, held: dict[int, list], heap: list[int], idx: int, key: str) -> None:
+        """held: the keys of each window that hasn't closed; heap: these windows, the first to close on top."""
+        if idx not in held:
+            held[idx] = []
+            heapq.heappush(heap, idx)
+        held[idx].append(key)
+
     def _end(self, idx: int) -> int:
         return self.spec.origin + idx * self.spec.hop + self.spec.width
 
@@ -64,49 +75,62 @@ class StreamWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         mark, finished = self.mark.get() if self.mark.exists() else (None, False)
-        waiting = [tuple(x) for x in self.buffer.get()]
+        waiting = [(t, p, n, k, v) for n, (t, p, k, v) in enumerate(map(tuple, self.buffer.get()))]  # n: the order of arrival
+        heapq.heapify(waiting)
+        arrived = len(waiting)
         before = {tuple(k): tuple(v) for k, v in self.cells.iterator()}
         cells, out = dict(before), []
-
-        def closed() -> list[tuple]:
-            return sorted(c for c in cells if finished or mark is not None and self._end(c[0]) <= mark)
-
-        ready = closed()  # arrivals change nothing about it: they only enter the buffer
+        held, heap, ready = {}, [], deque()
+        for idx, own in before:
+            self._hold(held, heap, idx, own)
+
+        def release(below: int | None = None) -> None:
+            """Folds what waits (below a time) in order of time."""
+            while waiting and (below is None or waiting[0][0] < below):
+                t, _, _, k, v = heapq.heappop(waiting)
+                self._fold(cells, held, heap, t, k, v)
+
+        def close_due() -> None:
+            """Windows that have closed since the last call go to the end of ready, as (idx, key) in order; only a watermark or the
+            finish closes any, so drains and arrivals look at none."""
+            while heap and (finished or mark is not None and self._end(heap[0]) <= mark):
+                idx = heapq.heappop(heap)
+                ready.extend((idx, own) for own in sorted(held.pop(idx)))
+
+        close_due()
         for pos, op, tick, own, value in _sorted(rows)[["pos", "op", "timestamp", "key", "value"]].astype(object).itertuples(index=False):
             tick = None if tick is None or tick != tick else int(tick)  # pandas makes a column with nulls double
             if op == "drain":
-                out += self._drained(cells, ready[:tick], pos)
-                ready = closed()
+                out += self._drained(cells, [ready.popleft() for _ in range(len(ready))[:tick]], pos)
             elif op == "finish":
                 if not finished and ready and waiting:
                     raise ValidationError(f"position {pos}: drain closed windows before the buffer can be finished")
                 if not finished:
-                    for t, _, k, v in sorted(waiting, key=lambda x: x[:2]):
-                        self._fold(cells, t, k, v)
-                    waiting, finished = [], True
-                    ready = closed()
+                    release()
+                    finished = True
+                    close_due()
             elif finished or ready:
                 raise ValidationError(f"{op} at position {pos} {'after the finish' if finished else 'while closed windows wait for a drain'}")
             elif op == "watermark":
                 if mark is not None and tick < mark:
                     raise ValidationError(f"the watermark goes back from {mark} to {tick}")
-                for t, _, k, v in sorted((x for x in waiting if x[0] < tick), key=lambda x: x[:2]):
-                    self._fold(cells, t, k, v)
-                waiting, mark = [x for x in waiting if x[0] >= tick], tick
-                ready = closed()
+                release(tick)
+                mark = tick
+                close_due()
             else:
                 if mark is not None and tick < mark:
                     if not self.ordered and self.spec.late_policy == "drop":
                         continue
                     raise LateEventError(f"arrival {pos} at {tick} is below the watermark {mark}")
                 if not self.ordered:
-                    self._fold(cells, tick, own, value)
+                    self._fold(cells, held, heap, tick, own, value)
                 elif len(waiting) >= self.most:
                     raise LimitError(f"more than {self.most} arrivals wait for the watermark")
                 else:
-                    waiting.append((tick, pos, own, value))
+                    heapq.heappush(waiting, (tick, pos, arrived, own, value))
+                    arrived += 1
         if waiting:
-            self.buffer.put(waiting)
+            self.buffer.put([(t, p, k, v) for t, p, _, k, v in sorted(waiting, key=lambda x: x[2])])
         else:
             self.buffer.clear()
         for cell in before.keys() - cells.keys():
