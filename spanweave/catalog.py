@@ -46,10 +46,16 @@ def _millis(c: str = "ts") -> Column:
     return F.call_function("div", _micros(c), F.lit(1000).cast("long"))
 
 
+def _nearest_millis(c: str = "ts") -> Column:
+    """Milliseconds as the SQL's epoch_ms gives them: rounded to the nearest, halves away from zero."""
+    us = _micros(c)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000).cast("long"))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as aligner events, with a deterministic disorder of up to two hours as arrival order."""
     ms = _micros() / F.lit(1000.0)
-    arrival = (_millis() + F.col("event_id") * 7919 % 7_200_000) * 1_000_000 + F.col("event_id")
+    arrival = (_nearest_millis() + F.col("event_id") * 7919 % 7_200_000) * 1_000_000 + F.col("event_id")
     return _table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id")).alias("id"), F.col("event_type").alias("stream"), F.col("event_type").alias("modality"), ms.alias("timestamp_ms"), (F.col("event_id") % 4 * 900_000.0).alias("duration_ms"), arrival.alias("arrival_pos"))
 
 
@@ -99,7 +105,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def _control(spark: SparkSession, d: str) -> DataFrame:
     """Arrivals with up to two hours of disorder, and a watermark an hour back after every 50th."""
-    e = _table(spark, d, "events").withColumn("ms", _millis())
+    e = _table(spark, d, "events").withColumn("ms", _nearest_millis())
     cents = F.round(F.col("value") * 100).cast("long")
     data = e.select((F.col("event_id") * 2).alias("pos"), F.lit("process").alias("op"), (F.col("ms") - F.col("event_id") * 7919 % 7_200_000).alias("timestamp"), F.col("user_id").cast("string").alias("key"), cents.alias("value"), "event_type")
     marks = e.where("event_id % 50 = 0").select((F.col("event_id") * 2 + 1).alias("pos"), F.lit("watermark").alias("op"), (F.col("ms") - 3_600_000).alias("timestamp"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("value"), F.lit(None).cast("string").alias("event_type"))
